@@ -1,17 +1,16 @@
 """PII: format-preserving Feistel pseudonyms.
 
 Native: DataFrame functions only.  One regular expression finds candidates;
-each is validated (dates by the calendar, addresses by their octets), and its
-number is permuted by a keyed Feistel network within its own format.  Equal
+each is validated (cards by their check digit, dates by the calendar, addresses
+by their octets), and its number is permuted by a keyed Feistel network within its own format.  Equal
 values get equal pseudonyms in every document, and different values of one
 format get different ones.
 
 ========  ==================================  =====================================
 kind      found                               permuted
 ========  ==================================  =====================================
-card      13 to 19 digits                     all but the last digit; the last keeps
-                                              its offset from the Luhn check digit,
-                                              so valid numbers stay valid
+card      13 to 19 digits with a valid        all but the last digit; the last is the
+          Luhn check digit                    new check digit
 phone     +C (AAA) NNN-NNNN, AAA-NNN-NNNN     the ten national digits
 ssn       AAA-GG-SSSS                         the nine digits
 ip        four octets of 0 to 255             the 32 bits
@@ -31,7 +30,7 @@ PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|[0-9]{3}-[0-9]{3}
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
-CARD = r"[0-9]{13,19}(?![0-9])"
+CARD = r"[0-9]{13,19}(?![0-9A-Za-z])"
 ANY = rf"(?<![A-Za-z0-9._%+\-])(?:{EMAIL}|{PHONE}|{SSN}|{IP}|{DATE}|{CARD})"
 
 KINDS = ("card", "phone", "ssn", "ip", "date", "email")
@@ -95,8 +94,9 @@ def luhn_digit(prefix: Column) -> Column:
 
 def _card(m: Column, key: str) -> Column:
     front = F.substring(m, F.lit(1), F.length(m) - 1)
-    offset = F.substring(m, F.length(m), F.lit(1)).cast("int") - luhn_digit(front)
-    return _let(permute_digits(front, key, "card"), lambda p: F.concat(p, F.pmod(luhn_digit(p) + offset, F.lit(10)).cast("string")))
+    valid = F.substring(m, F.length(m), F.lit(1)).cast("int") == luhn_digit(front)
+    new = _let(permute_digits(front, key, "card"), lambda p: F.concat(p, luhn_digit(p).cast("string")))
+    return F.when(valid, new).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:

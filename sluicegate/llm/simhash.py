@@ -11,6 +11,11 @@ Within a bucket no pairs are listed.  Fingerprints that differ in two bits at
 most share a word that is one flip away from each or equal to one, so each
 member of a bucket of two or more emits itself with each free bit flipped, and
 equal words link their few holders.  Work is linear in a bucket's size.
+
+``near_duplicates`` links by differing bits.  ``similar_texts`` links by the
+Jaccard similarity of the shingle sets: the covering tables and a few min-wise
+tables propose, whole texts decide.  64 bits alone can't do that: texts of
+similarity 0.8 differ in 4 to 15 bits, and so do many that share little.
 """
 
 from __future__ import annotations
@@ -28,13 +33,14 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.empty(0, dtype=np.uint64)
-    h = xxhash.xxh64_intdigest
+    h, told = xxhash.xxh64_intdigest, b" ".join(w)
     if len(w) <= words:
-        return np.array([h(b" ".join(w), 42)], dtype=np.uint64)
-    if words == 3:
-        return np.fromiter((h(b"%b %b %b" % t, 42) for t in zip(w, w[1:], w[2:])), np.uint64, len(w) - 2)
-    join = b" ".join
-    return np.fromiter((h(join(w[i : i + words]), 42) for i in range(len(w) - words + 1)), np.uint64, len(w) - words + 1)
+        return np.array([h(told, 42)], dtype=np.uint64)
+    # a shingle is a slice of the words joined by single spaces
+    gaps = np.flatnonzero(np.frombuffer(told, dtype=np.uint8) == 32)
+    starts = [0, *(gaps + 1).tolist()]
+    ends = [*gaps[words - 1 :].tolist(), len(told)]
+    return np.array([h(told[a:b], 42) for a, b in zip(starts, ends)], dtype=np.uint64)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -97,8 +103,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
 
     component_id is the smallest id reachable by links, itself included.  A
     null or wordless text has fingerprint zero and is linked like any other.
-    A row with a null id gets its fingerprint and a null component.  A
-    repeated id names one node.  Further columns are ignored.
+    A row with a null id gets its fingerprint and a null component.  Each row
+    of a repeated id gets its own text's component; texts whose smallest id is
+    the same one are joined.  Further columns are ignored.
     """
     fps = cut(fingerprints(docs, words, id_col, text_col))
     groups = fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
@@ -115,3 +122,143 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
         "copies",
         (F.col("id") == F.col("component_id")).alias("kept"),
     )
+
+
+#: Min-wise tables of two shingles each: a pair at similarity 0.8 misses all with probability 0.0009.
+BANDS, BAND_ROWS = 7, 2
+BLOCK = 512
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each min-wise table, from the smallest shingle under each of its permutations."""
+    least = np.empty(BANDS * BAND_ROWS, dtype=np.uint64)
+    for i in range(len(least)):
+        x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+        least[i] = (x ^ (x >> np.uint64(32))).min()
+    pairs = least.reshape(BANDS, BAND_ROWS)
+    return (pairs[:, 0] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ pairs[:, 1]
+
+
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(k, fp, bands) of (k, text); a text without words has no bands."""
+
+    def run(batches):
+        for b in batches:
+            fps, bands = [], []
+            for t in b.column(1).to_pylist():
+                h = shingle_hashes(t, words)
+                fps.append(fingerprint(h))
+                bands.append(band_keys(h).view(np.int64).tolist() if len(h) else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["k", "fp", "bands"])
+
+    return texts.mapInArrow(run, "k string, fp long, bands array<bigint>")
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v), u < v, of the sets whose Jaccard similarity is high enough, by exact counts."""
+    n = len(sets)
+    if n < 2:
+        return np.empty(0, int), np.empty(0, int)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    owner, x = np.repeat(np.arange(n), sizes), np.concatenate(sets)
+    _, place, times = np.unique(x, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    shared = times[place] > 1  # what only one set has is in no intersection
+    owner, place = owner[shared], number[place[shared]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    common = np.zeros((n, n), dtype=np.float32)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        lo, hi = np.searchsorted(place, [at, at + columns])
+        part = np.zeros((n, columns), dtype=np.float32)
+        part[owner[lo:hi], place[lo:hi] - at] = 1
+        common += part @ part.T
+    u, v = np.nonzero(np.triu(common, 1))
+    both = common[u, v].astype(np.int64)
+    near = both >= similarity * (sizes[u] + sizes[v] - both) - 1e-9
+    return u[near], v[near]
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, component_id, kept.  Links are shingle sets of enough similarity.
+
+    component_id is the smallest id reachable by links, itself included.
+    Null texts and those without words are all alike.  A row with a null id
+    has a null component and ``kept``.  Repeated ids are as in
+    ``near_duplicates``.  Further columns are ignored.
+
+    Equal texts are folded first; of buckets that hold the same texts one is
+    looked into.  A bucket's texts are compared within a task, chunk by chunk
+    where it has more than a block of them, and only the links that span its
+    components leave the task.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.md5("text"))
+    drawn = cut(sketches(rows.where("id is not null").select("k", "text"), words))
+    one = drawn.groupBy("k").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    covering = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks(2))]
+    minwise = F.transform("bands", lambda x, i: F.struct((i + len(covering)).cast("int").alias("t"), x.alias("key")))
+    tables = one.select("k", F.explode(F.concat(F.array(*covering), minwise)).alias("b")).select("k", "b.t", "b.key")
+    sizes = tables.groupBy("t", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.sum(F.hash("k").cast("long")).alias("y")).where("n > 1")
+    sizes = sizes.groupBy("n", "x", "y").agg(F.min(F.struct("t", "key")).alias("b")).select("b.t", "b.key", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
+    members = cut(tables.join(sizes, ["t", "key"]))
+    needed = members.select("k").distinct()
+    texts = rows.where("id is not null").join(needed, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
+    chunk = F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int")
+    blocks = (
+        members.withColumn("chunk", chunk)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("t", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "k")
+        .join(texts, "k")
+    )
+    keys = ["t", "key", "i", "j"]
+
+    def compare(batches):
+        at, names, sets, out = None, [], [], []
+
+        def close():
+            u, v = similar_pairs(sets, similarity)
+            roots = spanning(len(sets), u, v)
+            out.extend((names[i], names[r]) for i, r in enumerate(roots.tolist()) if i != r)
+            names.clear()
+            sets.clear()
+
+        def told():
+            a, b = zip(*out) if out else ([], [])
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+        for batch in batches:
+            for *key, k, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at:
+                    close()
+                    at = key
+                h = np.unique(shingle_hashes(text, words))
+                names.append(k)
+                sets.append(h if len(h) else np.zeros(1, np.uint64))
+            yield told()
+        close()
+        yield told()
+
+    sorted_blocks = blocks.select(*keys, "k", "text").repartition(*keys).sortWithinPartitions(*keys, "k")
+    found = cut(sorted_blocks.mapInArrow(compare, "a string, b string").distinct())
+    named = cut(rows.where("id is not null").groupBy("k").agg(F.min("id").alias("rep")))
+    edges = found.join(named.toDF("a", "ra"), "a").join(named.toDF("b", "rb"), "b")
+    roots = components(edges, "ra", "rb")
+    whole = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", F.coalesce("root", "rep").alias("component_id"))
+    out = rows.select("id", "k").join(whole, "k", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def spanning(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest member of each one's component."""
+    root = np.arange(n)
+    while len(u):
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        for x in (u, v, root[u], root[v]):
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root

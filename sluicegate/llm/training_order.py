@@ -40,18 +40,25 @@ def permute(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.nda
     return out.astype(np.int64)
 
 
-def materialise(docs: DataFrame, path: str, key: int, seq_len: int = 2048, shard_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> int:
-    """Write the shards of a table's UTF-8 byte ids below ``path``; returns the number of sequences.
+def materialise(docs: DataFrame, path: str, key: int, seq_len: int = 2048, shard_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", ids_col: str | None = None) -> int:
+    """Write a table's token ids as shards below ``path``; returns the number of sequences.
+
+    The ids are the text's UTF-8 bytes, one byte each, or with ``ids_col`` that
+    column's array<int>, four bytes each.  Part files hold ascending ranges of
+    slots, each a row per shard of ``shard_rows`` records.
 
     ``docs`` must be a table that is scanned with nothing but projections and
     filters, so that its partitions hold the same rows in the same order
     whenever they are computed; this is checked.  The per-partition counts are
-    all that the driver holds.  Null and empty texts have no sequence; a null
+    all that the driver holds.  Null and empty texts or arrays have no sequence; a null
     id is written as -1; repeated rows are sequences of their own.
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text"))
-    n_seq = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / seq_len)
+    source = F.col(text_col if ids_col is None else ids_col).alias("source")
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), source)
+    width, size = (1, F.octet_length("source")) if ids_col is None else (4, F.when(F.col("source").isNotNull(), F.size("source")))
+    n_seq = F.ceil(F.coalesce(size, F.lit(0)) / seq_len)
+    seq_bytes = seq_len * width
     counts = {r["p"]: int(r["n"] or 0) for r in base.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(n_seq).alias("n")).collect()}
     offsets, total = {}, 0
     for p in sorted(counts):
@@ -77,11 +84,11 @@ def materialise(docs: DataFrame, path: str, key: int, seq_len: int = 2048, shard
                 return out
 
             for i, t in zip(ids, texts):
-                raw = (t or "").encode()
-                for k in range(0, len(raw), seq_len):
+                raw = (t or "").encode() if ids_col is None else np.array(t or [], dtype="<i4").tobytes()
+                for k in range(0, len(raw), seq_bytes):
                     own.append(i)
-                    no.append(k // seq_len)
-                    parts.append(raw[k : k + seq_len])
+                    no.append(k // seq_bytes)
+                    parts.append(raw[k : k + seq_bytes])
                     if len(parts) >= 8192:
                         yield flush()
             if parts:
@@ -89,7 +96,7 @@ def materialise(docs: DataFrame, path: str, key: int, seq_len: int = 2048, shard
         if at != end:
             raise RuntimeError("the table's partitions changed between two scans")
 
-    stride = HEAD + seq_len
+    stride = HEAD + seq_bytes
     slots = base.mapInArrow(sequences, "slot long, id long, seq int, tokens binary").withColumn("shard", F.expr(f"slot div {shard_rows}"))
     parts = max(1, min(-(-total // shard_rows), int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * 4))
 
@@ -106,20 +113,22 @@ def materialise(docs: DataFrame, path: str, key: int, seq_len: int = 2048, shard
                     if buffer:
                         yield out()
                     now, buffer, first = shard, [], slot
-                buffer.append(i.to_bytes(8, "little", signed=True) + seq.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw.ljust(seq_len, b"\0"))
+                buffer.append(i.to_bytes(8, "little", signed=True) + seq.to_bytes(4, "little") + (len(raw) // width).to_bytes(4, "little") + raw.ljust(seq_bytes, b"\0"))
         if buffer:
             yield out()
 
-    ranged = slots.repartition(parts, "shard").sortWithinPartitions("shard", "slot")
+    # slots are dense, so equal ranges of shards need no sampling
+    each = -(-max(1, -(-total // shard_rows)) // parts)
+    ranged = slots.repartitionById(parts, F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("slot")
     ranged.mapInArrow(shards, "shard long, first_slot long, n_slots int, stride int, payload binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
     return total
 
 
-def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
-    """(slot, id, seq, n_tokens, tokens) of the slots from ``start`` up to ``stop``.
+def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None, width: int = 1) -> DataFrame:
+    """(slot, id, seq, n_tokens, tokens as bytes) of the slots from ``start`` up to ``stop``.
 
     Shards outside the range aren't read, within a shard records are sought by
-    the stride.
+    the stride.  ``width`` is an id's bytes.
     """
     table = spark.read.parquet(path).where(F.col("first_slot") + F.col("n_slots") > start)
     if stop is not None:
@@ -136,7 +145,7 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
                     own.append(int.from_bytes(payload[at : at + 8], "little", signed=True))
                     seq.append(int.from_bytes(payload[at + 8 : at + 12], "little"))
                     size.append(int.from_bytes(payload[at + 12 : at + 16], "little"))
-                    raw.append(payload[at + HEAD : at + HEAD + size[-1]])
+                    raw.append(payload[at + HEAD : at + HEAD + size[-1] * width])
                 yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(own, pa.int64()), pa.array(seq, pa.int32()), pa.array(size, pa.int32()), pa.array(raw, pa.binary())], names=["slot", "id", "seq", "n_tokens", "tokens"])
 
     return table.select("first_slot", "n_slots", "stride", "payload").mapInArrow(run, "slot long, id long, seq int, n_tokens int, tokens binary")
