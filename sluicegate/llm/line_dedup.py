@@ -52,18 +52,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
     A null text stays null with no lines.  Texts of fewer than three lines
     stay as they are.  Null ids come first and are told apart by their text;
     rows of equal id and text are one document and all keep what it keeps.
-    ``count_col`` names a column to set to the new text's length.
+    ``count_col`` names a column to set to the new text's length.  Columns that
+    are named like the two new ones are replaced; all others are kept.
     """
-    cover = covered(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("lines").alias("_covered"))
-    d = docs.alias("_d").join(cover, F.col(f"_d.{id_col}").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"_d.{text_col}")) == F.col("_th")), "left")
-    text = F.col(f"_d.{text_col}")
+    cover = covered(docs, id_col, text_col)
+    own = [c for c in docs.columns if c not in ("_n_lines", "_n_removed")]
+    rows = docs.select(F.struct(*own).alias("row"))
+    text = F.col(f"row.{text_col}")
+    d = rows.join(cover, F.col(f"row.{id_col}").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("th")), "left").select("row", F.col("lines").alias("gone"))
     lines = F.split(text, "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("_covered")), lambda i: F.element_at(lines, i))
-    hit = F.col("_covered").isNotNull()
-    new = F.when(hit, F.array_join(left, "\n")).otherwise(text)
+    left = F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("gone")), lambda i: F.element_at(lines, i))
+    hit = F.col("gone").isNotNull()
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
-    rows = d.select("_d.*", new.alias("_new"), n_lines.alias("_n_lines"), F.when(hit, F.size("_covered")).otherwise(0).cast("long").alias("_n_removed"))
-    return rows.select(*[F.col("_new").alias(c) if c == text_col else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == count_col else F.col(c) for c in docs.columns], "_n_lines", "_n_removed")
+    d = d.select("row", F.when(hit, F.array_join(left, "\n")).otherwise(text).alias("new"), n_lines.alias("_n_lines"), F.when(hit, F.size("gone")).otherwise(0).cast("long").alias("_n_removed"))
+    kind = dict(docs.dtypes)
+    cols = [F.col("new").alias(c) if c == text_col else F.length("new").cast(kind[c]).alias(c) if c == count_col else F.col(f"row.{c}") for c in own]
+    return d.select(*cols, "_n_lines", "_n_removed")
 
 
 ORACLE = """

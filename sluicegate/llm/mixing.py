@@ -115,13 +115,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"), F.col("first_time").alias("_time")
     )
     p = p.groupBy("_id", "_source", "_size").agg(F.max("_copies").alias("_copies"), F.min("_time").alias("_time"))
-    own = docs.alias("d").join(
-        p, F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("_id")) & F.col(f"d.{source_col}").eqNullSafe(F.col("_source")) & (word_count(F.col(f"d.{text_col}")) == F.col("_size"))
+    row = docs.select(F.struct("*").alias("row"))
+    own = row.join(
+        p,
+        F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("_id")) & F.col(f"row.{source_col}").eqNullSafe(F.col("_source")) & (word_count(F.col(f"row.{text_col}")) == F.col("_size")),
     )
     own = own.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     if ordered:
         own = own.repartitionByRange("_time", "_id").sortWithinPartitions("_time", "_id", "_nth")
-    return own.select("d.*")
+    return own.select("row.*")
 
 
 ORACLE = r"""

@@ -211,13 +211,18 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in the text, and the columns _n_found and _n_replaced.
 
-    _n_found counts the candidates, _n_replaced those that got another value.  Null texts stay null with 0.
+    _n_found counts the candidates, _n_replaced those that got another value.
+    A null text stays null with 0, an empty one stays empty.  Equal rows give
+    equal rows.  Columns that are named like the two new ones are replaced;
+    all others are kept as they are.
     """
-    base = docs.withColumn("_found", F.coalesce(F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
-    base = base.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))))
-    gaps = F.split(F.col(text_col), ANY, -1)
-    woven = F.array_join(F.zip_with(gaps, "_new", lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    text = F.when(F.size("_found") > 0, woven).otherwise(F.col(text_col))
-    changed = F.when(F.size("_found") > 0, F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))).otherwise(0)
-    n = F.size("_found")
-    return base.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], n.cast("long").alias("_n_found"), changed.cast("long").alias("_n_replaced"))
+    own = [c for c in docs.columns if c not in ("_n_found", "_n_replaced")]
+    text = F.col(f"row.{text_col}")
+    found = F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    base = docs.select(F.struct(*own).alias("row")).withColumn("found", found)
+    base = base.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))))
+    gaps = F.split(text, ANY, -1)
+    woven = F.array_join(F.zip_with(gaps, "new", lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    changed = F.when(F.size("found") > 0, F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))).otherwise(0)
+    cols = [F.when(F.size("found") > 0, woven).otherwise(text).alias(c) if c == text_col else F.col(f"row.{c}") for c in own]
+    return base.select(*cols, F.size("found").cast("long").alias("_n_found"), changed.cast("long").alias("_n_replaced"))
