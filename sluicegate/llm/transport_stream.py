@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 PACKET, SYNC, PMT_PID, ES_PID, STREAM_ID, STREAM_TYPE = 188, 0x47, 0x1000, 0x0100, 0xBD, 0x06
 UNIT, TICKS = 16_384, 3003
@@ -221,9 +221,8 @@ def probe(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("
     Null, empty and broken streams give empty lists and the error's name.
     """
     part = media.select(*keep, F.col(media_col).alias("_media"))
-    out = part.drop("_media").schema
-    for name, kind in (("payload", "binary"), ("stamps", "array<bigint>"), ("random_access", "array<int>"), ("offsets", "array<bigint>"), ("packets", "bigint"), ("gaps", "bigint"), ("errors", "array<string>")):
-        out = out.add(name, kind)
+    parsed = T.StructType.fromDDL("payload binary, stamps array<bigint>, random_access array<int>, offsets array<bigint>, packets bigint, gaps bigint, errors array<string>")
+    out = T.StructType([*part.drop("_media").schema.fields, *parsed.fields])
 
     def run(batches):
         for b in batches:
