@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import slices
+
 UNKNOWN = "und"
 _TABLE_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -199,7 +201,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             got = shared.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["id", "lang_pred", "score"])
 
@@ -225,7 +227,7 @@ def keep(docs: DataFrame, model: Model, min_score: float, text_col: str = "text"
     text, lang = names.index(text_col), names.index(lang_col)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             got = shared.value.predict(b.column(text).to_pylist())
             cols = list(b.columns)
             cols[lang] = pa.array([g[0] if own is None else own for own, g in zip(b.column(lang).to_pylist(), got)], pa.string())

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import slices
 from .tokenizers import FOLDER, pieces
 
 
@@ -27,7 +28,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str = FO
 
     def run(batches):
         enc = pieces(model, folder)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             got = [enc.encode(t) for t in texts]
             same = [enc.decode(g) == (t or "") for g, t in zip(got, texts)]
@@ -43,7 +44,7 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", folder: str =
 
     def run(batches):
         enc = pieces(model, folder)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if i is None else enc.decode(i) for i in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
     return part.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
@@ -56,7 +57,7 @@ def digests(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str = F
 
     def run(batches):
         enc = pieces(model, folder)
-        for b in batches:
+        for b in slices(batches):
             n, sha, same = [], [], []
             for t in b.column(1).to_pylist():
                 ids = enc.encode(t)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, cut
+from .common import components, cut, slices
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     """(id, fp): the fingerprint of each whole text as a signed 64-bit number."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.fromiter((fingerprint(shingle_hashes(t, words)) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
@@ -143,7 +143,7 @@ def sketches(texts: DataFrame, words: int) -> DataFrame:
     """(k, fp, bands) of (k, text); a text without words has no bands."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps, bands = [], []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(t, words)
@@ -227,7 +227,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_c
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for *key, k, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != at:
                     close()

@@ -37,7 +37,7 @@ class PieceEncoder:
     their ids joined.  ``encode`` equals the library's result.
     """
 
-    def __init__(self, path: str, cache_rows: int = 200_000, cache_chars: int = 48):
+    def __init__(self, path: str, cache_rows: int = 60_000, cache_chars: int = 48):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
