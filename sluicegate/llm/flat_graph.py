@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import components, cut
 
-DEGREE, CANDIDATES, BEAM, WIDTH, SHARD, ALPHA = 16, 48, 32, 48, 256, 1.2
+DEGREE, CANDIDATES, BEAM, WIDTH, SHARD, ALPHA = 16, 48, 24, 48, 256, 1.2
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -256,7 +256,7 @@ def near_duplicates(
     label_col: str = "label",
     threshold: float = 0.93,
     overlap: int = 3,
-    cell_rows: int = 1500,
+    cell_rows: int = 600,
     block_rows: int = 4096,
     max_cells: int = 8192,
     fit_rows: int = 131_072,
@@ -271,7 +271,9 @@ def near_duplicates(
 
     ``fit_rows`` bounds the sample the centroids are fitted on (16 rows a
     centroid at most); every row is routed and searched.  ``max_cells`` bounds
-    the broadcast centroids.  A cell of more than ``block_rows`` vectors is
+    the broadcast centroids.  With ``overlap`` cells for each vector a cell has
+    about ``overlap * cell_rows`` of them; labels that small are one cell.  A
+    cell of more than ``block_rows`` vectors is
     cut into chunks whose pairs are searched as separate tasks.
     """
     spark = df.sparkSession
@@ -285,7 +287,7 @@ def near_duplicates(
     )
     reps = cut(rows.where(usable).groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("vec")))
     largest = reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    cells = max(1, min(max_cells, math.ceil(largest / cell_rows)))
+    cells = 1 if largest <= overlap * cell_rows else min(max_cells, math.ceil(largest / cell_rows))
     centroids: dict[int, np.ndarray] = {}
     if cells > 1:
         fit = reps.select("dim", "vec").orderBy(F.xxhash64("rep"), "rep").limit(min(fit_rows, max(2048, 16 * cells))).toPandas()
