@@ -88,7 +88,8 @@ def test_emptiness_rules(values):
     keep = {"keep_empty_or_null": True}
     out = obj(a=x("A"), b=x("B"), none=x("C"), kept=x("C", **keep), empty={"object": {"z": x("C")}}, kept_empty={"object": {"z": x("C")}, **keep}, list={"array": [x("A"), x("C"), x("B")]})
     assert values(out, "1|  \n") == [{"a": "1", "kept": None, "kept_empty": {}, "list": ["1"]}]
-    assert values(x("C"), "1|2") == [None]
+    assert values(func("coalesce", x("C")), "1|2") == [None]
+    assert values(x("C"), "1|2") == []  # FINAL_OUTPUT's path selects records
 
 
 def test_record_errors_and_null_types(values):
