@@ -1,15 +1,18 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
-Exact copies are folded first.  The distinct vectors are routed to overlapping
-cells around centroids that are fitted on a bounded sample.  A cell (or a pair
-of chunks of a cell that is too large for one task) is a block: the block's
-vectors are clustered into overlapping shards, each shard gets a robust-pruned
-graph, the shards' adjacency lists are united, and a range-expanding greedy
-search runs from the shards' medoids for every vector of the block.  An audit
-compares a sample of the searches with brute force; a block in which the audit
-misses anything is scanned exhaustively instead.  Pairs that the search reports
-are verified in double precision, and a pair is counted only in the first cell
-its two vectors share.
+Exact copies are folded first.  The distinct vectors have their home in the cell
+of the nearest of some centroids, which are fitted on a bounded sample, and
+visit every earlier cell in which a vector within the threshold could be at
+home (see ``visits``), so every pair that is to be linked meets in the home cell
+of one of the two, once.  Where that bound spares too little, all vectors are
+one cell; both ways are exact.  A cell, or a chunk of a cell that is too large
+for one task, is a block: the block's vectors are clustered into overlapping
+shards, each shard gets a robust-pruned graph, the shards' adjacency lists are
+united, and a range-expanding greedy search runs from the shards' medoids for
+every vector of the block.  An audit compares a sample of the searches with
+brute force; a block in which the audit misses anything is scanned exhaustively
+instead.  Two chunks of a cell are scanned against each other.  Pairs are
+verified in double precision.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import components, cut
 
 DEGREE, CANDIDATES, BEAM, WIDTH, SHARD, ALPHA = 16, 48, 24, 48, 256, 1.2
+#: Cells are used where a sample row is sent to this share, at most, of what it would be sent to without a bound.
+SPARED = 0.5
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -53,6 +58,31 @@ def nearest(x: np.ndarray, c: np.ndarray, m: int) -> np.ndarray:
     return np.sort(np.argpartition(-s, m - 1, axis=1)[:, :m], axis=1)
 
 
+def visits(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each row's home, its nearest centroid, and the cells it is sent to, its home the last.
+
+    A row v with home h is sent to each earlier cell k with
+    v.(h - k) <= sin(acos(threshold)) |h - k|.  That holds for the home k of
+    every row u with u.v >= threshold: v = cos(a) u + sin(a) w for a unit w, and
+    u.(h - k) <= 0.  So of two such rows the one of the later home is sent to
+    the other's home.  The slack is far above the error of double precision.
+    """
+    c = c.astype(np.float64)
+    sin = math.sqrt(max(0.0, 1 - threshold * threshold)) if threshold >= 0 else math.inf
+    homes, cells = [np.empty(0, dtype=np.int64)], []
+    number = np.arange(len(c))
+    for i in range(0, len(x), 1024):
+        s = x[i : i + 1024] @ c.T
+        home = s.argmax(axis=1)
+        own = c[home]
+        apart = np.sqrt(np.maximum((own * own).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * own @ c.T, 0))
+        sent = np.ones(s.shape, dtype=bool) if sin == math.inf else s[np.arange(len(s)), home][:, None] - s <= sin * apart + 1e-6
+        sent &= number <= home[:, None]
+        homes.append(home)
+        cells += [np.flatnonzero(row) for row in sent]
+    return np.concatenate(homes), cells
+
+
 def robust_prune(sims: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges of one shard, given its similarity matrix.
 
@@ -249,6 +279,23 @@ def block_links(vectors: np.ndarray, threshold: float, audit: int = 32):
     return key // n, key % n, recall
 
 
+def cross_links(vectors: np.ndarray, left: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All verified pairs, both ways, of a row of ``left`` and one that isn't, by brute force."""
+    xd = unit(vectors)
+    a, b = np.flatnonzero(left), np.flatnonzero(~left)
+    us, vs = [np.empty(0, int)], [np.empty(0, int)]
+    other = xd[b].astype(np.float32).T
+    for i in range(0, len(a), 512):
+        q, v = np.nonzero(xd[a[i : i + 512]].astype(np.float32) @ other >= threshold - 1e-4)
+        u, v = a[i + q], b[v]
+        for k in range(0, len(u), 65536):
+            p, q = u[k : k + 65536], v[k : k + 65536]
+            ok = (xd[p] * xd[q]).sum(axis=1) >= threshold
+            us += [p[ok], q[ok]]
+            vs += [q[ok], p[ok]]
+    return np.concatenate(us), np.concatenate(vs)
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "vec_id",
@@ -271,10 +318,11 @@ def near_duplicates(
 
     ``fit_rows`` bounds the sample the centroids are fitted on (16 rows a
     centroid at most); every row is routed and searched.  ``max_cells`` bounds
-    the broadcast centroids.  With ``overlap`` cells for each vector a cell has
-    about ``overlap * cell_rows`` of them; labels that small are one cell.  A
-    cell of more than ``block_rows`` vectors is
-    cut into chunks whose pairs are searched as separate tasks.
+    the broadcast centroids, one for ``cell_rows`` vectors of the largest label.
+    Labels of up to ``overlap * cell_rows`` vectors are one cell.  A cell of
+    more than ``block_rows`` vectors is cut into chunks whose pairs are searched
+    as separate tasks.  None of these changes which pairs are compared: where
+    vectors have no clusters, that is all pairs of a label.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
@@ -292,18 +340,22 @@ def near_duplicates(
     if cells > 1:
         fit = reps.select("dim", "vec").orderBy(F.xxhash64("rep"), "rep").limit(min(fit_rows, max(2048, 16 * cells))).toPandas()
         for dim, part in fit.groupby("dim"):
-            centroids[int(dim)] = fit_centroids(unit(np.stack(part["vec"].to_numpy())), cells)
+            x = unit(np.stack(part["vec"].to_numpy()))
+            c = fit_centroids(x, cells)
+            sent = sum(map(len, visits(x[:2048], c, threshold)[1])) / len(x[:2048])
+            if sent <= SPARED * (len(c) + 1) / 2:  # else chunks of one cell are fewer copies of each row
+                centroids[int(dim)] = c
     shared = spark.sparkContext.broadcast(centroids)
 
     def route(batches):
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
                 c = shared.value.get(int(dim))
-                own = [[0]] * len(part) if c is None else nearest(unit(np.stack(part["vec"].to_numpy())), c, overlap).tolist()
-                yield part.assign(cells=own)
+                home, own = ([0] * len(part), [[0]] * len(part)) if c is None else visits(unit(np.stack(part["vec"].to_numpy())), c, threshold)
+                yield part.assign(home=home, cells=[[int(k) for k in row] for row in own])
 
     kind = dict(reps.dtypes)
-    schema = f"label {kind['label']}, vec {kind['vec']}, rep long, copies long, dim int, cells array<int>"
+    schema = f"label {kind['label']}, vec {kind['vec']}, rep long, copies long, dim int, home int, cells array<int>"
     routed = reps.mapInPandas(route, schema).withColumn("cell", F.explode("cells"))
     sizes = routed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
@@ -311,24 +363,22 @@ def near_duplicates(
         routed.join(sizes, ["label", "dim", "cell"])
         .withColumn("chunk", chunk)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("label", "dim", "cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "copies", "cells", "vec")
+        .select("label", "dim", "cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "copies", "home", "vec")
     )
     keys = ["label", "dim", "cell", "i", "j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cell, i, j = key[2:]
-        u, v, recall = block_links(np.stack(pdf["vec"].to_numpy()), threshold)
-        ids, copies, chunks = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["chunk"].to_numpy()
-        own = np.stack(pdf["cells"].to_numpy())
-        if i != j:
-            cross = chunks[u] != chunks[v]
-            u, v = u[cross], v[cross]
-        first = np.ones(len(u), dtype=bool)  # no earlier cell has both
-        for a in range(own.shape[1]):
-            for b in range(own.shape[1]):
-                first &= ~((own[u, a] == own[v, b]) & (own[u, a] < cell))
-        n = np.bincount(u[first], weights=copies[v[first]], minlength=len(pdf)).astype(np.int64)
+        ids, copies, chunks, home = (pdf[c].to_numpy() for c in ("rep", "copies", "chunk", "home"))
+        vectors, recall = np.stack(pdf["vec"].to_numpy()), 1.0
+        if i == j:
+            u, v, recall = block_links(vectors, threshold)
+        else:
+            u, v = cross_links(vectors, chunks == i, threshold)
+        mine = (home[u] == cell) | (home[v] == cell)  # two visitors meet elsewhere
+        u, v = u[mine], v[mine]
+        n = np.bincount(u, weights=copies[v], minlength=len(pdf)).astype(np.int64)
         rank = np.argsort(ids, kind="stable")
         back = np.empty_like(rank)
         back[rank] = np.arange(len(rank))

@@ -108,6 +108,34 @@ def test_flat_graph_empty_and_clashing_columns(spark):
     assert [r["component_id"] for r in flat_graph.near_duplicates(df).orderBy("vec_id").collect()] == [1, 1]
 
 
+def scattered(n, pairs, seed=7, dim=24, cosine=0.932):
+    """Vectors without clusters, and pairs at a little over the threshold in any direction."""
+    rng = np.random.default_rng(seed)
+    x = flat_graph.unit(rng.normal(size=(n, dim)))
+    w = rng.normal(size=(pairs, dim))
+    w = flat_graph.unit(w - (w * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    return np.concatenate([x, cosine * x[:pairs] + np.sqrt(1 - cosine**2) * w])
+
+
+@pytest.mark.parametrize("spared", [0.5, 9])
+@pytest.mark.parametrize("options", [{"cell_rows": 20, "overlap": 1}, {"cell_rows": 20, "overlap": 1, "block_rows": 150}])
+def test_routing_loses_no_link(spark, monkeypatch, spared, options):
+    monkeypatch.setattr(flat_graph, "SPARED", spared, raising=False)  # 9: cells in any case
+    rows = [(i, row, 0) for i, row in enumerate(scattered(600, 200).astype(np.float32).tolist())]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors(spark, rows, **options).collect()}
+    assert got == brute_vectors(rows)
+
+
+def test_visits_bring_every_close_pair_to_a_home():
+    x = scattered(900, 300)
+    c = flat_graph.fit_centroids(x, 40)
+    home, cells = flat_graph.visits(x, c, 0.93)
+    close = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    assert len(close) >= 300
+    for u, v in close:
+        assert min(home[u], home[v]) in cells[u] and min(home[u], home[v]) in cells[v]
+
+
 def test_search_finds_what_a_scan_finds():
     x = flat_graph.unit(np.array([r[1] for r in clustered(700, 20, seed=3)])).astype(np.float32)
     adj, medoids = flat_graph.build_graph(x)
