@@ -5,14 +5,11 @@ of the nearest of some centroids, which are fitted on a bounded sample, and
 visit every earlier cell in which a vector within the threshold could be at
 home (see ``visits``), so every pair that is to be linked meets in the home cell
 of one of the two, once.  Where that bound spares too little, all vectors are
-one cell; both ways are exact.  A cell, or a chunk of a cell that is too large
-for one task, is a block: the block's vectors are clustered into overlapping
-shards, each shard gets a robust-pruned graph, the shards' adjacency lists are
-united, and a range-expanding greedy search runs from the shards' medoids for
-every vector of the block.  An audit compares a sample of the searches with
-brute force; a block in which the audit misses anything is scanned exhaustively
-instead.  Two chunks of a cell are scanned against each other.  Pairs are
-verified in double precision.
+one cell; both ways are exact.  A cell, or a pair of chunks of a cell that is
+too large for one task, is a block, and a block's vectors are all compared: in
+blocks of this size that costs less than the walk over the robust-pruned graph
+(``build_graph``, ``range_search``), which loses links and whose audit would
+have to be such a scan to be sure.  Pairs are verified in double precision.
 """
 
 from __future__ import annotations
@@ -254,46 +251,31 @@ def local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         root = new
 
 
-def block_links(vectors: np.ndarray, threshold: float, audit: int = 32):
-    """All verified pairs (u, v), u <> v, both ways, within a block, and the audit's recall."""
+def block_links(vectors: np.ndarray, threshold: float, copies: np.ndarray, home: np.ndarray, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How many copies each row of a block links with, and the smallest row of its component.
+
+    Every pair with a row that is at home is compared; where ``left`` is given,
+    every such pair of a row of it and a row that isn't.  Pairs are not kept.
+    """
     xd = unit(vectors)
     x = xd.astype(np.float32)
     n, floor = len(x), threshold - 1e-4
-    everyone = np.arange(n)
-    recall = 1.0
-    if n <= 64:
-        u, v = scan(x, everyone, floor)
-    else:
-        adj, medoids = build_graph(x)
-        u, v = range_search(x, everyone, adj, medoids, floor)
-        sample = everyone[:: max(1, n // audit)]
-        true = len(scan(x, sample, floor)[0])
-        recall = np.isin(u, sample).sum() / true if true else 1.0
-        if recall < 1:
-            u, v = scan(x, everyone, floor)
-    keep = u != v
-    u, v = u[keep], v[keep]
-    ok = np.concatenate([np.empty(0, bool), *((xd[u[i : i + 65536]] * xd[v[i : i + 65536]]).sum(axis=1) >= threshold for i in range(0, len(u), 65536))])
-    u, v = u[ok], v[ok]
-    key = np.unique(np.concatenate([u * n + v, v * n + u])) if len(u) else np.empty(0, int)
-    return key // n, key % n, recall
-
-
-def cross_links(vectors: np.ndarray, left: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All verified pairs, both ways, of a row of ``left`` and one that isn't, by brute force."""
-    xd = unit(vectors)
-    a, b = np.flatnonzero(left), np.flatnonzero(~left)
-    us, vs = [np.empty(0, int)], [np.empty(0, int)]
-    other = xd[b].astype(np.float32).T
+    a, b = (np.arange(n), np.arange(n)) if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
+    everyone, root, linked = np.arange(n), np.arange(n), np.zeros(n)
     for i in range(0, len(a), 512):
-        q, v = np.nonzero(xd[a[i : i + 512]].astype(np.float32) @ other >= threshold - 1e-4)
-        u, v = a[i + q], b[v]
-        for k in range(0, len(u), 65536):
-            p, q = u[k : k + 65536], v[k : k + 65536]
-            ok = (xd[p] * xd[q]).sum(axis=1) >= threshold
-            us += [p[ok], q[ok]]
-            vs += [q[ok], p[ok]]
-    return np.concatenate(us), np.concatenate(vs)
+        other = b[i:] if left is None else b
+        q, v = np.nonzero(x[a[i : i + 512]] @ x[other].T >= floor)
+        u, v = a[i + q], other[v]
+        ok = home[u] | home[v]  # two visitors meet elsewhere
+        if left is None:
+            ok &= u < v
+        u, v = u[ok], v[ok]
+        ok = np.concatenate([np.empty(0, bool), *((xd[u[k : k + 65536]] * xd[v[k : k + 65536]]).sum(axis=1) >= threshold for k in range(0, len(u), 65536))])
+        u, v = u[ok], v[ok]
+        if len(u):
+            linked += np.bincount(u, weights=copies[v], minlength=n) + np.bincount(v, weights=copies[u], minlength=n)
+            root = local_roots(n, np.concatenate([u, everyone]), np.concatenate([v, root]))
+    return linked.astype(np.int64), root
 
 
 def near_duplicates(
@@ -317,10 +299,10 @@ def near_duplicates(
     result of an empty table is empty; further columns are ignored.
 
     ``fit_rows`` bounds the sample the centroids are fitted on (16 rows a
-    centroid at most); every row is routed and searched.  ``max_cells`` bounds
+    centroid at most); every row is routed and compared.  ``max_cells`` bounds
     the broadcast centroids, one for ``cell_rows`` vectors of the largest label.
     Labels of up to ``overlap * cell_rows`` vectors are one cell.  A cell of
-    more than ``block_rows`` vectors is cut into chunks whose pairs are searched
+    more than ``block_rows`` vectors is cut into chunks whose pairs are compared
     as separate tasks.  None of these changes which pairs are compared: where
     vectors have no clusters, that is all pairs of a label.
     """
@@ -370,23 +352,13 @@ def near_duplicates(
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cell, i, j = key[2:]
+        pdf = pdf.sort_values("rep", ignore_index=True)
         ids, copies, chunks, home = (pdf[c].to_numpy() for c in ("rep", "copies", "chunk", "home"))
-        vectors, recall = np.stack(pdf["vec"].to_numpy()), 1.0
-        if i == j:
-            u, v, recall = block_links(vectors, threshold)
-        else:
-            u, v = cross_links(vectors, chunks == i, threshold)
-        mine = (home[u] == cell) | (home[v] == cell)  # two visitors meet elsewhere
-        u, v = u[mine], v[mine]
-        n = np.bincount(u, weights=copies[v], minlength=len(pdf)).astype(np.int64)
-        rank = np.argsort(ids, kind="stable")
-        back = np.empty_like(rank)
-        back[rank] = np.arange(len(rank))
-        root = ids[rank[local_roots(len(ids), back[u], back[v])[back]]]
-        some = (n > 0) | (root != ids)
-        return pd.DataFrame({"rep": ids[some], "n": n[some], "root": root[some], "recall": recall})
-
-    found = cut(blocks.repartition(parts, *keys).groupBy(*keys).applyInPandas(search, "rep long, n long, root long, recall double"))
+        n, root = block_links(np.stack(pdf["vec"].to_numpy()), threshold, copies, home == cell, None if i == j else chunks == i)
+        some = n > 0
+        return pd.DataFrame({"rep": ids[some], "n": n[some], "root": ids[root][some]})
+
+    found = cut(blocks.repartition(parts, *keys).groupBy(*keys).applyInPandas(search, "rep long, n long, root long"))
     roots = components(found.where("rep <> root").select("rep", "root"), "rep", "root")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     per_rep = (

@@ -121,7 +121,7 @@ def scattered(n, pairs, seed=7, dim=24, cosine=0.932):
 @pytest.mark.parametrize("options", [{"cell_rows": 20, "overlap": 1}, {"cell_rows": 20, "overlap": 1, "block_rows": 150}])
 def test_routing_loses_no_link(spark, monkeypatch, spared, options):
     monkeypatch.setattr(flat_graph, "SPARED", spared, raising=False)  # 9: cells in any case
-    rows = [(i, row, 0) for i, row in enumerate(scattered(600, 200).astype(np.float32).tolist())]
+    rows = [(i, row, 0) for i, row in enumerate(scattered(350, 120).astype(np.float32).tolist())]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors(spark, rows, **options).collect()}
     assert got == brute_vectors(rows)
 
@@ -136,6 +136,31 @@ def test_visits_bring_every_close_pair_to_a_home():
         assert min(home[u], home[v]) in cells[u] and min(home[u], home[v]) in cells[v]
 
 
+@pytest.mark.parametrize("halves", [False, True])
+def test_a_block_misses_no_link_of_few_rows(monkeypatch, halves):
+    """Ten rows among 1,300 have links, and the walk reports none of them."""
+    walk = flat_graph.range_search
+
+    def blind(x, queries, *rest, **options):
+        u, v = walk(x, queries, *rest, **options)
+        return u[u == v], v[u == v]
+
+    monkeypatch.setattr(flat_graph, "range_search", blind)
+    x = scattered(1300, 5, dim=64)
+    rng = np.random.default_rng(2)
+    copies, home, left = rng.integers(1, 4, len(x)), rng.random(len(x)) < 0.9, rng.random(len(x)) < 0.5
+    s = np.triu(flat_graph.unit(x) @ flat_graph.unit(x).T >= 0.93, 1)
+    pairs = [(u, v) for u, v in np.argwhere(s).tolist() if (home[u] or home[v]) and (not halves or left[u] != left[v])]
+    assert pairs
+    want = {u: 0 for u in range(len(x))}
+    for u, v in pairs:
+        want[u] += copies[v]
+        want[v] += copies[u]
+    n, root = flat_graph.block_links(x, 0.93, copies, home, left if halves else None)
+    assert n.tolist() == list(want.values())
+    assert dict(enumerate(root.tolist())) == closure(range(len(x)), pairs)
+
+
 def test_search_finds_what_a_scan_finds():
     x = flat_graph.unit(np.array([r[1] for r in clustered(700, 20, seed=3)])).astype(np.float32)
     adj, medoids = flat_graph.build_graph(x)
