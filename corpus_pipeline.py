@@ -28,9 +28,7 @@ def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that shares 0.8 or more of its five-word shingles."""
     ship(spark)
-    groups = simhash.similar_texts(docs, words=5, similarity=0.8)
-    gone = groups.where("doc_id is not null and not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

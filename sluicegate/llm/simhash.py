@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import components, cut, slices
 
@@ -179,21 +179,15 @@ def similar_pairs(sets: list[np.ndarray], similarity: float, columns: int = 4096
     return u[near], v[near]
 
 
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, component_id, kept.  Links are shingle sets of enough similarity.
-
-    component_id is the smallest id reachable by links, itself included.
-    Null texts and those without words are all alike.  A row with a null id
-    has a null component and ``kept``.  Repeated ids are as in
-    ``near_duplicates``.  Further columns are ignored.
+def _similar_digests(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links between the digests k of similar texts, of rows (k, text); checkpointed.
 
     Equal texts are folded first; of buckets that hold the same texts one is
     looked into.  A bucket's texts are compared within a task, chunk by chunk
     where it has more than a block of them, and only the links that span its
     components leave the task.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.md5("text"))
-    drawn = cut(sketches(rows.where("id is not null").select("k", "text"), words))
+    drawn = cut(sketches(rows.select("k", "text"), words))
     one = drawn.groupBy("k").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     covering = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks(2))]
     minwise = F.transform("bands", lambda x, i: F.struct((i + len(covering)).cast("int").alias("t"), x.alias("key")))
@@ -202,7 +196,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_c
     sizes = sizes.groupBy("n", "x", "y").agg(F.min(F.struct("t", "key")).alias("b")).select("b.t", "b.key", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
     members = cut(tables.join(sizes, ["t", "key"]))
     needed = members.select("k").distinct()
-    texts = rows.where("id is not null").join(needed, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
+    texts = rows.join(needed, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
     chunk = F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int")
     blocks = (
         members.withColumn("chunk", chunk)
@@ -240,7 +234,19 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_c
         yield told()
 
     sorted_blocks = blocks.select(*keys, "k", "text").repartition(*keys).sortWithinPartitions(*keys, "k")
-    found = cut(sorted_blocks.mapInArrow(compare, "a string, b string").distinct())
+    return cut(sorted_blocks.mapInArrow(compare, "a string, b string").distinct())
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, component_id, kept.  Links are shingle sets of enough similarity.
+
+    component_id is the smallest id reachable by links, itself included.
+    Null texts and those without words are all alike.  A row with a null id
+    has a null component and ``kept``.  Repeated ids are as in
+    ``near_duplicates``.  Further columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.md5("text"))
+    found = _similar_digests(rows.where("id is not null").select("k", "text"), words, similarity)
     named = cut(rows.where("id is not null").groupBy("k").agg(F.min("id").alias("rep")))
     edges = found.join(named.toDF("a", "ra"), "a").join(named.toDF("b", "rb"), "b")
     roots = components(edges, "ra", "rb")
@@ -249,6 +255,37 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_c
     return out.select(F.col("id").alias(id_col), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are the first of their group of similar texts.
+
+    Groups are of texts, not of ids: two unlike texts of one id stay apart.
+    The first row has the smallest id, null ids last, then the smallest digest
+    of the text; of rows equal in both, one stays.  Links are as in
+    ``similar_texts``; all columns are kept.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.md5("text"))
+    found = _similar_digests(rows.select("k", "text"), words, similarity)
+    # numbers are fixed by the checkpoint
+    nodes = cut(found.select(F.col("a").alias("k")).union(found.select("b")).distinct().withColumn("node", F.monotonically_increasing_id()))
+    edges = found.join(nodes.toDF("a", "na"), "a").join(nodes.toDF("b", "nb"), "b")
+    roots = components(edges, "na", "nb")
+    group = nodes.join(roots, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
+    copies = rows.groupBy("id", "k").agg(F.count("*").alias("n")).join(group, "k", "left")
+    copies = cut(copies.select(F.struct(F.col("id").isNull().alias("last"), "id", "k").alias("row"), "n", F.coalesce(F.col("root").cast("string"), F.col("k")).alias("g")))
+    first = copies.groupBy("g").agg(F.min("row").alias("first"))
+    named = lambda x: x.select(F.col("row.id").alias("_id"), F.col("row.k").alias("_k"))
+    gone = named(copies.join(first, "g").where("row <> first"))
+    own = docs.select(F.struct(*docs.columns).alias("row"))
+    same = F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(F.col(f"row.{text_col}"), F.lit(""))) == F.col("_k"))
+    left = own.join(gone, same, "left_anti")
+    twice = named(copies.where("n > 1"))
+    if not twice.isEmpty():
+        order = Window.partitionBy("_id", "_k").orderBy(F.xxhash64("row"))
+        repeated = left.join(twice, same).withColumn("no", F.row_number().over(order)).where("no = 1").select("row")
+        left = left.join(twice, same, "left_anti").union(repeated)
+    return left.select("row.*")
+
+
 def spanning(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The smallest member of each one's component."""
     root = np.arange(n)

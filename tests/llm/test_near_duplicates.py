@@ -292,3 +292,14 @@ def test_similar_texts_edge_cases(spark):
     long = "a b c d e f " * 20_000
     got = simhash.similar_texts(docs(spark, [(1, long), (2, long + "end"), (3, "z " + long[:60_000])])).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_similar([(1, long), (2, long + "end"), (3, "z " + long[:60_000])])
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    x, y = " ".join(f"x{i}" for i in range(100)), "quite another text of more than five words"
+    rows = [(5, x, "a"), (5, y, "b"), (3, x + " end", "c"), (7, "one text twice in all", "d"), (7, "one text twice in all", "d"), (None, y, "e"), (None, "no id but twice here", "f"), (None, "no id but twice here", "f"), (9, "alone in all of this", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(r["source"] for r in out.collect()) == ["b", "c", "d", "f", "g"]
