@@ -3,8 +3,9 @@
 A payload becomes one elementary stream of access units, each in a packetised
 elementary packet with a presentation timestamp; every ``rap_every``-th access
 unit is a random-access point.  The parser follows the program association
-table to the program map table to the elementary stream, checks both tables'
-CRC and every packet's continuity counter, and reassembles the packets.
+table to the program map tables to all elementary streams, reassembles sections
+over packets, checks the tables' CRC and every packet's continuity counter, and
+reassembles the packets.
 """
 
 from __future__ import annotations
@@ -101,52 +102,111 @@ class Stream:
 
 
 def _sections(view: np.ndarray, pid: int, pids: np.ndarray) -> list[bytes]:
-    out = []
-    for row in view[(pids == pid) & (view[:, 1] & 0x40 != 0)]:
+    """The sections on a PID, each once; a section may span packets and a packet hold several."""
+    out: list[bytes] = []
+    buffer, before = None, b""
+
+    def take():
+        nonlocal buffer
+        while buffer and buffer[0] != 0xFF and len(buffer) >= 3:
+            size = 3 + (int.from_bytes(buffer[1:3], "big") & 0xFFF)
+            if len(buffer) < size:
+                return
+            out.append(buffer[:size])
+            buffer = buffer[size:]
+        if buffer and buffer[0] == 0xFF:
+            buffer = None
+
+    for row in view[pids == pid]:
         raw = row.tobytes()
+        if not raw[3] & 0x10 or raw == before:
+            continue
+        if before and raw[3] & 15 != (before[3] + 1) & 15 and not raw[1] & 0x40:
+            if buffer:
+                out.append(buffer)  # a lost packet: the CRC tells
+            buffer = None
+        before = raw
         at = 4 + (raw[3] & 0x20 and 1 + raw[4])
-        at += 1 + raw[at]
-        size = 3 + (int.from_bytes(raw[at + 1 : at + 3], "big") & 0xFFF)
-        out.append(raw[at : at + size])
-    return out
+        if raw[1] & 0x40:
+            pointer = raw[at] if at < PACKET else 0
+            if buffer:
+                buffer += raw[at + 1 : at + 1 + pointer]
+                take()
+                if buffer:
+                    out.append(buffer)
+            buffer = raw[at + 1 + pointer :]
+        elif buffer is not None:
+            buffer += raw[at:]
+        take()
+    if buffer:
+        out.append(buffer)
+    return [*dict.fromkeys(out)]
 
 
 def parse(data: bytes | None) -> Stream:
-    """Parse the first program's first elementary stream."""
-    s = Stream()
+    """The first of ``parse_all``; its errors name how many further streams there are."""
+    first, *rest = parse_all(data)
+    if rest:
+        first.errors.append(f"{len(rest)} more streams")
+    return first
+
+
+def parse_all(data: bytes | None) -> list[Stream]:
+    """An entry for each elementary stream of each program, in the tables' order.
+
+    A program without a readable map or without streams has an entry that names
+    the error, and so has a transport stream that can't be read.  Errors of the
+    transport and of the program table are in every entry.
+    """
+    whole = Stream()
     if not data or len(data) % PACKET:
-        s.errors.append("length")
-        return s
+        whole.errors.append("length")
+        return [whole]
     view = np.frombuffer(data, dtype=np.uint8).reshape(-1, PACKET)
-    s.packets = len(view)
+    whole.packets = len(view)
     if (view[:, 0] != SYNC).any():
-        s.errors.append("sync")
-        return s
+        whole.errors.append("sync")
+        return [whole]
     if (view[:, 1] & 0x80).any():
-        s.errors.append("transport")
+        whole.errors.append("transport")
     pids = (view[:, 1].astype(np.int32) & 0x1F) << 8 | view[:, 2]
-    pmt_pid = None
+    programs: dict[int, int] = {}
     for sec in _sections(view, 0, pids):
-        if crc32_mpeg(sec):
-            s.errors.append("pat crc")
+        if len(sec) < 12 or crc32_mpeg(sec):
+            whole.errors.append("pat crc")
             continue
         for i in range(8, len(sec) - 4, 4):
             number = int.from_bytes(sec[i : i + 2], "big")
-            if number and pmt_pid is None:
-                s.program, pmt_pid = number, int.from_bytes(sec[i + 2 : i + 4], "big") & 0x1FFF
-    if pmt_pid is None:
-        s.errors.append("no program")
-        return s
-    for sec in _sections(view, pmt_pid, pids):
-        if crc32_mpeg(sec):
-            s.errors.append("pmt crc")
-            continue
-        at = 12 + (int.from_bytes(sec[10:12], "big") & 0xFFF)
-        if at + 5 <= len(sec) - 4 and s.pid < 0:
-            s.stream_type, s.pid = sec[at], int.from_bytes(sec[at + 1 : at + 3], "big") & 0x1FFF
-    if s.pid < 0:
-        s.errors.append("no stream")
-        return s
+            if number:
+                programs.setdefault(number, int.from_bytes(sec[i + 2 : i + 4], "big") & 0x1FFF)
+    if not programs:
+        whole.errors.append("no program")
+        return [whole]
+    out = []
+    tables = {pid: _sections(view, pid, pids) for pid in {*programs.values()}}
+    for program, pmt_pid in programs.items():
+        errors, streams = list(whole.errors), {}
+        for sec in tables[pmt_pid]:
+            if len(sec) < 16 or crc32_mpeg(sec):
+                errors.append("pmt crc")
+                continue
+            if sec[0] != 2 or (int.from_bytes(sec[3:5], "big") != program and len(programs) > 1):
+                continue  # several programs may share a PID
+            at = 12 + (int.from_bytes(sec[10:12], "big") & 0xFFF)
+            while at + 5 <= len(sec) - 4:
+                streams.setdefault(int.from_bytes(sec[at + 1 : at + 3], "big") & 0x1FFF, sec[at])
+                at += 5 + (int.from_bytes(sec[at + 3 : at + 5], "big") & 0xFFF)
+        if not streams:
+            out.append(Stream(packets=len(view), program=program, errors=[*errors, "no stream"]))
+        for pid, kind in streams.items():
+            s = Stream(packets=len(view), program=program, stream_type=kind, pid=pid, errors=list(errors))
+            _read(s, view, pids)
+            out.append(s)
+    return out
+
+
+def _read(s: Stream, view: np.ndarray, pids: np.ndarray) -> None:
+    """Fill in what the packets of the stream's PID hold."""
     own = view[pids == s.pid]
     control, count = own[:, 3] >> 4 & 3, own[:, 3] & 15
     own, control, count = own[control & 1 == 1], control[control & 1 == 1], count[control & 1 == 1]
@@ -183,16 +243,16 @@ def parse(data: bytes | None) -> Stream:
         s.offsets.append(sum(map(len, parts)) if len(parts) < 2 else s.offsets[-1] + len(parts[-1]))
         parts.append(pes[9 + pes[8] :])
     s.payload = b"".join(parts)
-    return s
 
 
 def features(s: Stream) -> str:
-    """A summary: units, random-access points, timestamps, packets, and the payload's moments."""
+    """A summary: units, random-access points (the first four and a digest of all), timestamps, packets, and the payload's moments."""
     x = np.frombuffer(s.payload, dtype=np.uint8)
     total = int(x.sum(dtype=np.int64))
     square = int((x.astype(np.int64) ** 2).sum()) if len(x) < 1 << 20 else sum(int((x[i : i + (1 << 20)].astype(np.int64) ** 2).sum()) for i in range(0, len(x), 1 << 20))
     raps = ",".join(f"{s.stamps[i]}@{s.offsets[i]}" for i in s.random_access[:4]) + (",..." if len(s.random_access) > 4 else "")
-    return f"prog={s.program};type={s.stream_type};units={len(s.stamps)};rap={len(s.random_access)};points={raps};last_pts={max(s.stamps, default=-1)};packets={s.packets};gaps={s.gaps};sum={total};sumsq={square};errors={'|'.join(s.errors)}"
+    digest = zlib.crc32(",".join(f"{s.stamps[i]}@{s.offsets[i]}" for i in s.random_access).encode())
+    return f"prog={s.program};type={s.stream_type};units={len(s.stamps)};rap={len(s.random_access)};points={raps};points_crc32={digest};last_pts={max(s.stamps, default=-1)};packets={s.packets};gaps={s.gaps};sum={total};sumsq={square};errors={'|'.join(s.errors)}"
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -216,18 +276,21 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def probe(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """The ``keep`` columns with timestamps, random-access points and errors of each stream.
+    """The ``keep`` columns with timestamps, random-access points and errors, a row for each elementary stream.
 
     Null, empty and broken streams give empty lists and the error's name.
     """
     part = media.select(*keep, F.col(media_col).alias("_media"))
-    parsed = T.StructType.fromDDL("payload binary, stamps array<bigint>, random_access array<int>, offsets array<bigint>, packets bigint, gaps bigint, errors array<string>")
+    parsed = T.StructType.fromDDL("program int, stream_type int, pid int, payload binary, stamps array<bigint>, random_access array<int>, offsets array<bigint>, packets bigint, gaps bigint, errors array<string>")
     out = T.StructType([*part.drop("_media").schema.fields, *parsed.fields])
 
     def run(batches):
         for b in batches:
-            got = [parse(m) for m in b.column(b.num_columns - 1).to_pylist()]
-            cols = [pa.array([g.payload for g in got], pa.binary()), pa.array([g.stamps for g in got], pa.list_(pa.int64())), pa.array([g.random_access for g in got], pa.list_(pa.int32())), pa.array([g.offsets for g in got], pa.list_(pa.int64())), pa.array([g.packets for g in got], pa.int64()), pa.array([g.gaps for g in got], pa.int64()), pa.array([g.errors for g in got], pa.list_(pa.string()))]
+            each = [parse_all(m) for m in b.column(b.num_columns - 1).to_pylist()]
+            got = [g for streams in each for g in streams]
+            b = b.take(pa.array([i for i, streams in enumerate(each) for _ in streams], pa.int64()))
+            numbers = [pa.array([getattr(g, c) for g in got], pa.int32()) for c in ("program", "stream_type", "pid")]
+            cols = [*numbers, pa.array([g.payload for g in got], pa.binary()), pa.array([g.stamps for g in got], pa.list_(pa.int64())), pa.array([g.random_access for g in got], pa.list_(pa.int32())), pa.array([g.offsets for g in got], pa.list_(pa.int64())), pa.array([g.packets for g in got], pa.int64()), pa.array([g.gaps for g in got], pa.int64()), pa.array([g.errors for g in got], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=out.names)
 
     return part.mapInArrow(run, out)

@@ -137,6 +137,59 @@ def test_lost_repeated_and_broken_packets_are_noticed():
     assert ts.parse(b"".join([*p[:5], other, *p[5:]])).payload == payload
 
 
+def section_packets(pid, section):
+    """A section of any length in packets of one PID."""
+    out, data = [], b"\0" + section
+    for k in range(0, len(data), 184):
+        out.append((bytes([ts.SYNC, (0 if k else 0x40) | pid >> 8, pid & 0xFF, 0x10 | k // 184]) + data[k : k + 184]).ljust(ts.PACKET, b"\xff"))
+    return out
+
+
+def elementary(payload, pid, unit):
+    """The packets of ``write`` without tables, on another PID."""
+    return [p[:1] + bytes([p[1] & 0xE0 | pid >> 8, pid & 0xFF]) + p[3:] for p in packets(ts.write(payload, unit, 1))[2:]]
+
+
+def several_streams():
+    """Two programs: one of two streams with a map of 400 bytes and more, one of a single stream."""
+    two = lambda x: (0xE000 | x).to_bytes(2, "big")
+    entry = lambda kind, pid, info=b"": bytes([kind]) + two(pid) + (0xF000 | len(info)).to_bytes(2, "big") + info
+    pat = ts._section(0, 1, b"".join(n.to_bytes(2, "big") + two(pid) for n, pid in ((0, 0x10), (1, 0x1000), (2, 0x1001))))
+    first = ts._section(2, 1, two(0x100) + b"\xf0\x00" + entry(0x1B, 0x100, b"d" * 250) + entry(0x0F, 0x101, b"e" * 150))
+    second = ts._section(2, 2, two(0x200) + b"\xf0\x00" + entry(0x06, 0x200))
+    payloads = {0x100: b"video" * 300, 0x101: b"sound" * 90, 0x200: b"other" * 200}
+    bodies = [elementary(p, pid, 200) for pid, p in payloads.items()]
+    mixed = [p for k in range(max(map(len, bodies))) for b in bodies for p in b[k : k + 1]]
+    tables = [p for pid, sec in ((0, pat), (0x1000, first), (0x1001, second)) for p in section_packets(pid, sec)]
+    return b"".join(tables + mixed), payloads
+
+
+def test_all_programs_and_streams_are_read(spark):
+    media, payloads = several_streams()
+    got = ts.parse_all(media)
+    assert [(s.program, s.stream_type, s.pid) for s in got] == [(1, 0x1B, 0x100), (1, 0x0F, 0x101), (2, 0x06, 0x200)]
+    for s in got:
+        assert (s.payload, s.errors) == (payloads[s.pid], [])
+        assert s.random_access == list(range(-(-len(s.payload) // 200)))
+    assert ts.parse(media).errors == ["2 more streams"]
+    df = spark.createDataFrame([(1, 0, bytearray(media)), (2, 0, None)], "doc_id long, n_bytes long, media binary")
+    rows = ts.probe(df).collect()
+    assert {(r["doc_id"], r["pid"]): r["payload"] for r in rows} == {(1, pid): p for pid, p in payloads.items()} | {(2, -1): b""}
+
+
+def test_a_lost_packet_of_a_long_map_is_told():
+    media, _ = several_streams()
+    p = packets(media)
+    assert [s.errors for s in ts.parse_all(b"".join(p[:2] + p[3:]))][0] == ["pmt crc", "no stream"]
+
+
+def test_features_tell_all_random_access_points_apart():
+    a = ts.parse(ts.write(b"x" * 1000, 100, 1))
+    b = ts.parse(ts.write(b"x" * 1000, 100, 1))
+    b.stamps[7] += 1
+    assert max(a.stamps) == max(b.stamps) and ts.features(a) != ts.features(b)
+
+
 def test_media_columns_in_a_table(spark):
     df = spark.createDataFrame([(1, "abc", "x"), (2, None, "y"), (3, "é" * 40_000, "z"), (None, "", "w")], "doc_id long, text string, media string")
     stored = ts.store(df)
