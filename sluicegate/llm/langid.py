@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import slices
 
@@ -174,19 +174,21 @@ def fit(docs: DataFrame, per_language: int = 300, max_rows: int = 6000, max_char
     """Fit on a bounded sample of the labelled rows that aren't held out.
 
     The sample's bounds are ``per_language`` rows of each language in
-    expectation, ``max_rows`` rows in all, of ``max_chars`` characters at most
-    each; which rows it takes depends on a hash of id and text only.
+    expectation, ``max_rows`` rows in all, of each text its first ``max_chars``
+    characters; which rows it takes depends on a hash of id and text only.  Rows
+    are taken in turn: no language gives its second before all gave their first.
+    Of more than ``max_rows`` languages only the most frequent are learned.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     if held_out is not None:
         rows = rows.where(~F.coalesce(held_out(F.col("id")), F.lit(True)))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    if not counts:
-        return train([], **options)
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows)
     draw = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).orderBy(draw, "id").limit(max_rows).select("text", "lang").collect()
+    drawn = rows.withColumn("draw", draw).join(F.broadcast(counts), "lang").where(F.col("draw") < F.lit(float(per_language)) / F.col("n"))
+    drawn = drawn.select("id", "draw", "lang", F.substring("text", 1, max_chars).alias("text"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
+    sample = drawn.withColumn("turn", turn).orderBy("turn", "draw", "id", "lang", "text").limit(max_rows).select("text", "lang").collect()
     return train([(r["text"], r["lang"]) for r in sample], **options)
 
 

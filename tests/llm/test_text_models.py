@@ -66,6 +66,13 @@ def test_nothing_to_learn_from(spark):
     assert langid.identify(df.limit(0)).collect() == []
 
 
+def test_every_language_keeps_its_part_of_the_sample(spark):
+    rows = [(i, f"word{i % 7} of language {k}", f"l{k:02}") for k in range(24) for i in range(1000 * k, 1000 * k + 200)]
+    rows += [(90_000 + i, f"seldom heard speech {i}", "rare") for i in range(3)] + [(99_000, "very long " * 5000, "long")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20, max_rows=80)
+    assert model.labels == sorted({y for *_, y in rows})
+
+
 def test_identify_edge_cases_and_clashing_columns(spark):
     rows = [(i, t, y, "und", 0.5) for i, (t, y) in enumerate(ROWS)] + [(None, "the cat sat", "en", "x", 1.0), (3, "der hund", None, "x", 1.0), (3, "der hund", None, "x", 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
