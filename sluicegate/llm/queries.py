@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, one per operator, and their SQL."""
+"""The registered queries of this subpackage, one per operator (op7 has two), and their SQL."""
 
 from __future__ import annotations
 
@@ -71,6 +71,15 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("slot", F.col("id").alias("doc_id"), "seq", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
 
 
+def op7_training_order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the byte-level vocabulary's ids, tokenised once into a written table."""
+    table, path = _shared(spark, "ids"), _shared(spark, "shards")
+    training_order.tokenise(_read(spark, sf_dir, "documents"), table)
+    training_order.materialise(spark.read.parquet(table), path, key=20_240_229, ids_col="ids")
+    back = training_order.read_slots(spark, path, width=4)
+    return back.select("slot", F.col("id").alias("doc_id"), "seq", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
+
+
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and features of every text stored as an MPEG transport stream and read back."""
     return transport_stream.summary(_read(spark, sf_dir, "documents"))
@@ -98,6 +107,7 @@ QUERIES = {
         op5_fair_queue_mix,
         op6_sentencepiece,
         op7_training_order,
+        op7_training_order_ids,
         op8_transport_stream,
         op9_line_windows,
         op10_pii_pseudonyms,

@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import slices
+from .tokenizers import FOLDER, byte_bpe
+
 HEAD = 16  # int64 document id, int32 sequence number, int32 tokens
 
 
@@ -40,6 +43,20 @@ def permute(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.nda
     return out.astype(np.int64)
 
 
+def tokenise(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = FOLDER, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write (id, ids) of each whole text below ``path``, a table that can be scanned again; null gives null."""
+    part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = part.schema[0].dataType.simpleString()
+
+    def run(batches):
+        enc = byte_bpe(vocabulary, folder)
+        for b in slices(batches):
+            ids = [None if t is None else enc.encode_ordinary(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+
+    part.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col).write.mode("overwrite").parquet(path)
+
+
 def materialise(docs: DataFrame, path: str, key: int, seq_len: int = 2048, shard_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", ids_col: str | None = None) -> int:
     """Write a table's token ids as shards below ``path``; returns the number of sequences.
 

@@ -91,6 +91,18 @@ def test_order_query_equals_brute_force(spark, data):
     assert sorted(r["slot"] for r in got) == list(range(len(want)))
 
 
+def test_order_query_over_vocabulary_ids(spark, data):
+    from sluicegate.llm.tokenizers import byte_bpe
+
+    encode, want = byte_bpe().encode_ordinary, []
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        ids = encode(r["text"] or "")
+        want += [(r["doc_id"], k // 2048, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<i4").tobytes())) for k in range(0, len(ids), 2048)]
+    got = queries.op7_training_order_ids(spark, data).collect()
+    assert sorted((r["doc_id"], r["seq"], r["n_tokens"], r["tokens_crc32"]) for r in got) == sorted(want)
+    assert sorted(r["slot"] for r in got) == list(range(len(want)))
+
+
 # --- transport streams ------------------------------------------------------
 
 
