@@ -9,15 +9,20 @@ row plan.
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.builtin import takes_null
-from ..operators.nodes import DOC, Node
-from ..schema.errors import RecordError
+from ..operators.nodes import DOC, Node, dump
+from ..schema.errors import RecordError, SchemaError
 from ..sources.readers import Format
 from ..sources.segments import raw_segments
-from ..streaming.ingest import Framer
-from .engine import Engine
+from ..streaming.ingest import Framer, frame_lines, stream_files
+from .engine import Engine, Plan
+from .sinks import json_array, write_json_lines
 
 VERSION = "sluice.2.1"
 QUERIES: dict = {}
@@ -86,8 +91,8 @@ def ran(spark: SparkSession, s: dict, df: DataFrame, hints: dict | None = None,
     return out if errors else out.where("_error is null").drop("_error")
 
 
-def lined(spark: SparkSession, s: dict, lines: DataFrame, engine: Engine | None = None, errors: bool = False, **more) -> DataFrame:
-    out = (engine or Engine(spark)).compile(s, **more).lines(lines)
+def lined(spark: SparkSession, s: dict, lines: DataFrame, engine: Engine | None = None, errors: bool = False, first: str | None = None, **more) -> DataFrame:
+    out = (engine or Engine(spark)).compile(s, **more).lines(lines, first=first)
     return out if errors else out.where("_error is null").drop("_error")
 
 
@@ -97,24 +102,24 @@ _ORDER_LINE = {"delimiter": "|", "records": [{"name": "HEADER", "header": "^ORDE
 
 
 def _order_lines(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select(joined("|", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority").alias("line"))
-    return rows.union(spark.range(1).select(F.lit("ORDERKEY|PRICE|STATUS|PRIORITY").alias("line")))
+    rows = table(spark, sf_dir, "orders").select(joined("|", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority").alias("line"), F.lit(False).alias("first"))
+    return rows.union(spark.range(1).select(F.lit("ORDERKEY|PRICE|STATUS|PRIORITY"), F.lit(True)))
 
 
 @query("SELECT o_orderkey AS orderkey, o_totalprice AS price, o_orderstatus AS status FROM orders")
 def csv2_single_row(spark, sf_dir):
-    return lined(spark, schema("csv2", obj(orderkey=x("KEY", "int"), price=x("PRICE", "float"), status=x("STATUS")), _ORDER_LINE), _order_lines(spark, sf_dir))
+    return lined(spark, schema("csv2", obj(orderkey=x("KEY", "int"), price=x("PRICE", "float"), status=x("STATUS")), _ORDER_LINE), _order_lines(spark, sf_dir), first="first")
 
 
 @query("SELECT o_orderkey AS orderkey, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'F'")
 def csv2_selector_filter(spark, sf_dir):
-    return lined(spark, schema("csv2", obj(".[STATUS != 'F']", orderkey=x("KEY", "int"), price=x("PRICE", "float"), status=x("STATUS")), _ORDER_LINE), _order_lines(spark, sf_dir))
+    return lined(spark, schema("csv2", obj(".[STATUS != 'F']", orderkey=x("KEY", "int"), price=x("PRICE", "float"), status=x("STATUS")), _ORDER_LINE), _order_lines(spark, sf_dir), first="first")
 
 
 @query("SELECT o_orderkey AS orderkey FROM orders WHERE o_totalprice < 100000 AND NOT (o_orderpriority = '5-LOW' OR o_orderstatus = 'P')")
 def selector_boolean_number(spark, sf_dir):
     s = schema("csv2", obj(".[PRICE < 100000 and not(PRIORITY = '5-LOW' or STATUS = 'P')]", orderkey=x("KEY", "int")), _ORDER_LINE)
-    return lined(spark, s, _order_lines(spark, sf_dir))
+    return lined(spark, s, _order_lines(spark, sf_dir), first="first")
 
 
 _CUSTOMER = {"delimiter": "|", "records": [{"name": "C", "columns": columns("KEY", "NAME", "BAL", "SEG")}]}
@@ -433,7 +438,7 @@ def fn_uuidv3(spark, sf_dir):
 
 
 def _event_lines(spark, sf_dir, *cols):
-    return table(spark, sf_dir, "events").select(F.lit("").alias("input_name"), joined("|", *cols).alias("text"))
+    return table(spark, sf_dir, "events").select(joined("|", *cols).alias("line"))
 
 
 _PLAIN = lambda *names: {"delimiter": "|", "records": [{"columns": columns(*names)}]}
@@ -444,21 +449,21 @@ _PLAIN = lambda *names: {"delimiter": "|", "records": [{"columns": columns(*name
 def fn_datetime_rfc3339(spark, sf_dir):
     df = _event_lines(spark, sf_dir, "event_id", F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.date_format("ts", "yyyyMMdd'T'HHmmss'-05'"))
     out = obj(event_id=x("A", "int"), plain=func("dateTimeToRFC3339", x("B"), "", ""), stamped=func("dateTimeToRFC3339", x("B"), "America/Los_Angeles", ""), moved=func("dateTimeToRFC3339", x("C"), "Asia/Tokyo", "UTC"))
-    return ran(spark, schema("csv2", out, _PLAIN("A", "B", "C")), df)
+    return lined(spark, schema("csv2", out, _PLAIN("A", "B", "C")), df)
 
 
 @query("SELECT o_orderkey AS orderkey, strftime(o_orderdate, '%Y-%m-%dT00:00:00') AS day, strftime(o_orderdate, '%Y-%m-%dT10:30:00') || '+09:00' AS stamped FROM orders")
 def fn_datetime_layout(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").select(F.lit("").alias("input_name"), joined("|", "o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy"), F.date_format("o_orderdate", "MMM d, yyyy '10:30 AM'")).alias("text"))
+    df = table(spark, sf_dir, "orders").select(joined("|", "o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy"), F.date_format("o_orderdate", "MMM d, yyyy '10:30 AM'")).alias("line"))
     out = obj(orderkey=x("A", "int"), day=func("dateTimeLayoutToRFC3339", x("B"), "02.01.2006", "false", "", ""), stamped=func("dateTimeLayoutToRFC3339", x("C"), "Jan 2, 2006 3:04 PM", "false", "Asia/Tokyo", ""))
-    return ran(spark, schema("csv2", out, _PLAIN("A", "B", "C")), df)
+    return lined(spark, schema("csv2", out, _PLAIN("A", "B", "C")), df)
 
 
 @query("SELECT event_id, epoch(date_trunc('second', ts))::BIGINT::VARCHAR AS seconds, (epoch(date_trunc('second', ts))::BIGINT * 1000 + 5 * 3600000)::VARCHAR AS millis FROM events")
 def fn_epoch(spark, sf_dir):
     df = _event_lines(spark, sf_dir, "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     out = obj(event_id=x("A", "int"), seconds=func("dateTimeToEpoch", x("B"), "", "SECOND"), millis=func("dateTimeToEpoch", x("B"), "Etc/GMT+5", "MILLISECOND"))
-    return ran(spark, schema("csv2", out, _PLAIN("A", "B")), df)
+    return lined(spark, schema("csv2", out, _PLAIN("A", "B")), df)
 
 
 def _since_1970(unit: str) -> Column:
@@ -474,7 +479,7 @@ def fn_epoch_to_dt(spark, sf_dir):
 @query("SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS back FROM events")
 def fn_epoch_to_zone(spark, sf_dir):
     df = _event_lines(spark, sf_dir, "event_id", _since_1970("SECOND"))
-    return ran(spark, schema("csv2", obj(event_id=x("A", "int"), back=func("epochToDateTimeRFC3339", x("B"), "SECOND", "Asia/Tokyo")), _PLAIN("A", "B")), df)
+    return lined(spark, schema("csv2", obj(event_id=x("A", "int"), back=func("epochToDateTimeRFC3339", x("B"), "SECOND", "Asia/Tokyo")), _PLAIN("A", "B")), df)
 
 
 # --- scripts ---------------------------------------------------------------
@@ -555,18 +560,18 @@ def type_casts(spark, sf_dir):
     done = F.when(F.col("o_orderstatus") == "F", "T").otherwise("0")
     lines = table(spark, sf_dir, "orders").select(joined("|", "o_orderkey", "o_totalprice", done, F.when(F.col("o_orderstatus") == "P", "1d").otherwise("7")).alias("line"))
     d = _PLAIN("KEY", "PRICE", "DONE", "ODD")
-    good = lined(spark, schema("csv2", obj(orderkey=x("KEY", "int"), price=x("PRICE", "float"), done=x("DONE", "boolean"), text=x("KEY", "string")), d), lines)
-    bad = lined(spark, schema("csv2", obj(orderkey=x("KEY", "int"), odd=x("ODD", "float")), d), lines).select("orderkey", F.lit(False).alias("failed"))
-    return good.join(bad, "orderkey", "left").withColumn("failed", F.coalesce("failed", F.lit(True)))
+    out = obj(orderkey=x("KEY", "int"), price=x("PRICE", "float"), done=x("DONE", "boolean"), text=x("KEY", "string"))
+    odd = Engine(spark).compile(schema("csv2", obj(odd=x("ODD", "float")), d)).lines(lines, keep=("line",)).select("line", F.col("_error").isNotNull().alias("failed"))
+    return Engine(spark).compile(schema("csv2", out, d)).lines(odd, keep=("failed",)).drop("_error")
 
 
 @query("SELECT o_orderkey AS orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%dT00:00:00') END AS day FROM orders")
 def ignore_error(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").select(F.lit("").alias("input_name"), joined("|", "o_orderkey", F.when(F.col("o_orderstatus") == "F", "no date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("text"))
-    return ran(spark, schema("csv2", obj(orderkey=x("A", "int"), day=func("dateTimeToRFC3339", x("B"), "", "", ignore_error=True)), _PLAIN("A", "B")), df)
+    df = table(spark, sf_dir, "orders").select(joined("|", "o_orderkey", F.when(F.col("o_orderstatus") == "F", "no date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("line"))
+    return lined(spark, schema("csv2", obj(orderkey=x("A", "int"), day=func("dateTimeToRFC3339", x("B"), "", "", ignore_error=True)), _PLAIN("A", "B")), df)
 
 
-@query("SELECT CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderkey END AS orderkey, CASE WHEN o_orderstatus = 'P' THEN 'fail to convert value ''' || o_orderkey || 'x'' to type ''int'' on ''FINAL_OUTPUT.orderkey''' END AS error FROM orders")
+@query("SELECT CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderkey END AS orderkey, CASE WHEN o_orderstatus = 'P' THEN 'fail to convert value ''' || o_orderkey || 'x'' to type ''int'' on ''FINAL_OUTPUT.orderkey'': no whole number of 64 bits' END AS error FROM orders")
 def record_error_channel(spark, sf_dir):
     """Records that fail come out with their error; the others go on."""
     lines = table(spark, sf_dir, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "P", "x").otherwise("")).alias("line"))
@@ -602,7 +607,8 @@ def _severity(ctx, kind):
 @query("SELECT event_id, CASE event_type WHEN 'error' THEN 'E' WHEN 'purchase' THEN 'P' ELSE '-' END AS code FROM events")
 def custom_func_udf(spark, sf_dir):
     engine = Engine(spark, custom_funcs={"severity": _severity})
-    return ran(spark, schema("csv2", obj(event_id=x("A", "int"), code=func("severity", x("B"))), _PLAIN("A", "B")), _event_lines(spark, sf_dir, "event_id", "event_type"), engine=engine)
+    df = _event_lines(spark, sf_dir, "event_id", "event_type").select(F.lit("").alias("input_name"), F.col("line").alias("text"))
+    return ran(spark, schema("csv2", obj(event_id=x("A", "int"), code=func("severity", x("B"))), _PLAIN("A", "B")), df, engine=engine)
 
 
 @query("SELECT event_id, CASE event_type WHEN 'error' THEN 'E' WHEN 'purchase' THEN 'P' ELSE '-' END AS code FROM events")
@@ -678,3 +684,309 @@ def framed_lines(spark, sf_dir):
     framed = df.mapInPandas(frame, "input_name string, text string").where("text is not null")
     d = {"delimiter": ",", "records": [{"name": "O", "header": "^B", "footer": "^E", "columns": [{"name": "KEY", "index": 2, "line_pattern": "^B"}, {"name": "STATUS", "index": 2, "line_pattern": "^S"}]}]}
     return ran(spark, schema("csv2", obj(orderkey=x("KEY", "int"), status=x("STATUS")), d), framed)
+
+
+# --- both plans agree ------------------------------------------------------
+
+
+@query("SELECT c_custkey AS custkey, c_name || ', \"' || c_mktsegment || '\"' AS name, c_acctbal AS balance FROM customer")
+def native_quoted_cells(spark, sf_dir):
+    """Quoted cells with delimiters and doubled quotes, read line by line in Catalyst."""
+    lines = table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit(', ""'), "c_mktsegment", F.lit('""","'), F.col("c_acctbal").cast("string"), F.lit('"')).alias("line"))
+    s = schema("csv", obj(custkey=x("KEY", "int"), name=x("NAME"), balance=x("BAL", "float")), {"delimiter": ",", "data_row_index": 1, "columns": columns("KEY", "NAME", "BAL")})
+    return lined(spark, s, lines)
+
+
+_HEADED = {"delimiter": "|", "records": [{"name": "H", "header": "^K", "max": 1}, {"name": "R", "is_target": True, "columns": columns("KEY", "NAME")}]}
+
+
+@query("SELECT c_nationkey::VARCHAR AS nation, 'K' || c_custkey AS key, c_name AS name FROM customer")
+def native_header_once(spark, sf_dir):
+    """Data lines that look like the header are records; only an input's first line is its header."""
+    df = inputs(table(spark, sf_dir, "customer"), "c_nationkey", ["c_custkey"], F.concat(F.lit("K"), joined("|", "c_custkey", "c_name")), head=F.lit("KEY|NAME"))
+    out = Engine(spark).compile(schema("csv2", obj(key=x("KEY"), name=x("NAME")), _HEADED)).transform_df(df, "text", "input_name")
+    return out.select(F.col("input_name").alias("nation"), "key", "name")
+
+
+@query("SELECT n_nationkey AS nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS good, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 1 END::BIGINT AS failed FROM nation")
+def native_header_missing(spark, sf_dir):
+    """An input without the header record that it must begin with gives nothing but its fatal row."""
+    text = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "KEY|NAME\n").otherwise(""), F.lit("1|a\n2|b"))
+    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("input_name"), text.alias("text"))
+    d = {**_HEADED, "records": [{**_HEADED["records"][0], "min": 1}, _HEADED["records"][1]]}
+    out = Engine(spark).compile(schema("csv2", obj(key=x("KEY", "int"), name=x("NAME")), d)).transform_df(df, "text", "input_name")
+    return out.groupBy(F.col("input_name").cast("int").alias("nationkey")).agg(F.count_if(F.col("_error").isNull()).alias("good"), F.count_if(F.col("_error").isNotNull()).alias("failed"))
+
+
+@query("SELECT o_orderkey AS orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS price, o_orderstatus = 'F' AS failed FROM orders")
+def float_overflow(spark, sf_dir):
+    """A number beyond a float's range is a record's error, in both plans."""
+    price = F.when(F.col("o_orderstatus") == "F", F.concat(F.col("o_totalprice").cast("string"), F.lit("e400"))).otherwise(F.col("o_totalprice").cast("string"))
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", price.alias("line"))
+    out = Engine(spark).compile(schema("csv2", obj(price=x("PRICE", "float")), _PLAIN("PRICE"))).lines(lines, keep=("o_orderkey",))
+    return out.select(F.col("o_orderkey").alias("orderkey"), "price", F.col("_error").isNotNull().alias("failed"))
+
+
+@query("SELECT c_custkey AS custkey, c_name AS name FROM customer")
+def csv2_pattern_unquoted(spark, sf_dir):
+    """Patterns see a row without its quotes."""
+    lines = table(spark, sf_dir, "customer").select(F.concat(F.lit('"C","'), F.col("c_custkey").cast("string"), F.lit('","'), "c_name", F.lit('"')).alias("line"))
+    d = {"delimiter": ",", "records": [{"header": "^C,[0-9]+,", "columns": [{"name": "KEY", "index": 2}, {"name": "NAME"}]}]}
+    return lined(spark, schema("csv2", obj(custkey=x("KEY", "int"), name=x("NAME")), d), lines)
+
+
+# --- how inputs end, and what fails ----------------------------------------
+
+
+def _outcome(spark, s: dict, df: DataFrame, **more) -> DataFrame:
+    """Good, failed and fatal records of each nation's input."""
+    rows = Engine(spark).compile(s, **more).rows(df, "text", "input_name")
+    return rows.groupBy(F.col("input_name").cast("int").alias("nationkey")).agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull() & ~F.col("fatal")).alias("failed"), F.count_if(F.col("fatal")).alias("fatal"))
+
+
+def _by_nation(spark, sf_dir, even: str, odd: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").cast("string").alias("input_name"), F.when(F.col("n_nationkey") % 2 == 0, even).otherwise(odd).alias("text"))
+
+
+def _outcome_sql(even: tuple[int, int, int], odd: tuple[int, int, int]) -> str:
+    cols = ", ".join(f"CASE WHEN n_nationkey % 2 = 0 THEN {a} ELSE {b} END::BIGINT AS {c}" for a, b, c in zip(even, odd, ("good", "failed", "fatal")))
+    return f"SELECT n_nationkey AS nationkey, {cols} FROM nation"
+
+
+def _between(a: str, b: str, **more) -> dict:
+    return {"by_header_footer": {"header": a, "footer": b}, "columns": [{"name": "v", "start_pos": 2, "length": 1}], **more}
+
+
+_ENVELOPES = {"envelopes": [{"name": "A", "not_target": True, **_between("^A", "^Z")}, {"name": "B", **_between("^B", "^Z")}]}
+
+
+@query(_outcome_sql((1, 0, 0), (2, 0, 0)))
+def fixed_forward_only(spark, sf_dir):
+    """Envelopes go forward only: a line that no later one starts with ends the input without an error."""
+    df = _by_nation(spark, sf_dir, "A1\nZ\nB1\nZ\nA2\nZ\nB3\nZ", "A1\nZ\nB1\nZ\nB2\nZ\nX")
+    return _outcome(spark, schema("fixed-length", obj(v=x("v")), _ENVELOPES), df)
+
+
+@query(_outcome_sql((1, 0, 1), (2, 0, 0)))
+def fixed_incomplete(spark, sf_dir):
+    """An envelope without its footer is the input's fatal end."""
+    return _outcome(spark, schema("fixed-length", obj(v=x("v")), _ENVELOPES), _by_nation(spark, sf_dir, "B1\nZ\nB2\n", "B1\nZ\nB2\nZ"))
+
+
+@query(_outcome_sql((2, 0, 0), (3, 0, 0)))
+def fixed2_blank_lines(spark, sf_dir):
+    s = schema("fixedlength2", obj(v=x("v")), {"envelopes": [{"columns": [{"name": "v", "start_pos": 1, "length": 1}]}]})
+    return _outcome(spark, s, _by_nation(spark, sf_dir, "\n\na\n\r\nb\n", "a\nb\n\nc"))
+
+
+_LIMITS = {"delimiter": ",", "records": [{"name": "H", "header": "^H", "is_target": True, "min": 1, "max": 2, "columns": columns("V")}, {"name": "T", "header": "^T", "min": 1}]}
+
+
+@query(_outcome_sql((2, 0, 1), (1, 0, 0)))
+def occurrence_limits(spark, sf_dir):
+    """A third record of at most two is unexpected."""
+    return _outcome(spark, schema("csv2", obj(v=x("V")), _LIMITS), _by_nation(spark, sf_dir, "H\nH\nH\nT", "H\nT\nT"))
+
+
+@query(_outcome_sql((1, 0, 1), (0, 0, 1)))
+def occurrence_at_end(spark, sf_dir):
+    """At the end of an input the open declarations still ask for their least number."""
+    return _outcome(spark, schema("csv2", obj(v=x("V")), _LIMITS), _by_nation(spark, sf_dir, "H", "T"))
+
+
+@query(_outcome_sql((2, 1, 0), (1, 0, 0)))
+def csv_bad_row_goes_on(spark, sf_dir):
+    """A row that can't be read is an error of its own; reading goes on."""
+    s = schema("csv", obj(v=x("V")), {"delimiter": ",", "data_row_index": 1, "columns": columns("V")})
+    return _outcome(spark, s, _by_nation(spark, sf_dir, 'a\nb"c\nd', "a"))
+
+
+@query(_outcome_sql((2, 0, 1), (3, 0, 0)))
+def json_that_breaks_off(spark, sf_dir):
+    """The records before the break are kept."""
+    return _outcome(spark, schema("json", obj("/*", v=x("v"))), _by_nation(spark, sf_dir, '[{"v": 1}, {"v": [2]}, {"v": "', '[{"v": 1}, {"v": 2}, {"v": {"v": 3}}]'))
+
+
+@query(_outcome_sql((1, 0, 1), (2, 0, 0)))
+def edi_element_missing(spark, sf_dir):
+    """A declared element without a default that is missing ends the input."""
+    d = {"segment_delimiter": "~", "element_delimiter": "*", "segment_declarations": [{"name": "P", "min": 0, "max": -1, "is_target": True, "elements": [{"name": "k", "index": 1}]}]}
+    return _outcome(spark, schema("edi", obj(k=x("k")), d), _by_nation(spark, sf_dir, "P*1~P~", "P*1~P*2~"))
+
+
+@query(_outcome_sql((1, 0, 1), (1, 0, 0)))
+def xml_unknown_prefix(spark, sf_dir):
+    s = schema("xml", obj("r/a", v=x(".")))
+    return _outcome(spark, s, _by_nation(spark, sf_dir, "<r><a>1</a><p:a>2</p:a></r>", "<r xmlns:p='u'><a>1</a><p:b/></r>"))
+
+
+@query(_outcome_sql((1, 1, 0), (2, 0, 0)))
+def render_error(spark, sf_dir):
+    """A value that JSON can't hold is a record's error."""
+    engine = Engine(spark, custom_funcs={"odd": lambda ctx, v: float("nan") if v == "n" else v})
+    rows = engine.compile(schema("csv2", obj(v=func("odd", x("V"))), _PLAIN("V"))).rows(_by_nation(spark, sf_dir, "a\nn", "a\nb"), "text", "input_name")
+    return rows.groupBy(F.col("input_name").cast("int").alias("nationkey")).agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull() & ~F.col("fatal")).alias("failed"), F.count_if(F.col("fatal")).alias("fatal"))
+
+
+@query("SELECT n_nationkey AS nationkey, 2::BIGINT AS dropped, CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 2 END::BIGINT AS permissive FROM nation")
+def modes(spark, sf_dir):
+    """PERMISSIVE tells of failed records, DROP leaves them out."""
+    df = _by_nation(spark, sf_dir, "1\nx\n3", "1\n3")
+    s = schema("csv2", obj(v=x("V", "int")), _PLAIN("V"))
+    of = lambda mode: Engine(spark).compile(s, mode=mode).transform_df(df, "text", "input_name").groupBy("input_name").count()
+    both = of("DROP").withColumnRenamed("count", "dropped").join(of("PERMISSIVE").withColumnRenamed("count", "permissive"), "input_name")
+    return both.select(F.col("input_name").cast("int").alias("nationkey"), "dropped", "permissive")
+
+
+# --- schemas that are refused ----------------------------------------------
+
+_ONE = lambda **more: {"delimiter": "|", "records": [{"columns": columns("A"), **more}]}
+_REFUSED = {
+    "no version": {**schema("csv2", x("A"), _ONE()), "parser_settings": {"file_format_type": "csv2"}},
+    "unknown format": schema("none", x("A"), _ONE()),
+    "unknown encoding": schema("csv2", x("A"), _ONE(), encoding="utf-7"),
+    "long delimiter": schema("csv2", x("A"), {**_ONE(), "delimiter": "||"}),
+    "unknown key": schema("csv2", x("A"), {**_ONE(), "more": 1}),
+    "least above most": schema("csv2", x("A"), _ONE(min=2, max=1)),
+    "bad pattern": schema("csv2", x("A"), _ONE(header="(")),
+    "rows and header": schema("csv2", x("A"), _ONE(rows=2, header="^A")),
+    "footer alone": schema("csv2", x("A"), _ONE(footer="^A")),
+    "group without children": schema("csv2", x("A"), {"delimiter": "|", "records": [{"type": "record_group"}]}),
+    "two targets": schema("csv2", x("A"), {"delimiter": "|", "records": [{"name": "a", "is_target": True}, {"name": "b", "is_target": True}]}),
+    "index and pattern": schema("csv2", x("A"), {"delimiter": "|", "records": [{"columns": [{"name": "A", "line_index": 1, "line_pattern": "^A"}]}]}),
+    "edi without target": schema("edi", x("A"), {"segment_delimiter": "~", "element_delimiter": "*", "segment_declarations": [{"name": "A"}]}),
+    "csv name with space": schema("csv", x("A"), {"delimiter": ",", "data_row_index": 1, "columns": columns("A B")}),
+    "csv header after data": schema("csv", x("A"), {"delimiter": ",", "header_row_index": 2, "data_row_index": 2, "columns": columns("A")}),
+    "envelopes of two kinds": schema("fixed-length", x("A"), {"envelopes": [{"name": "A", "by_rows": 1}, {"name": "B", "not_target": True, **_between("^B", "^Z")}]}),
+    "no output": {**schema("csv2", x("A"), _ONE()), "transform_declarations": {}},
+    "unknown template": schema("csv2", {"template": "none"}, _ONE()),
+    "template of itself": schema("csv2", {"template": "a"}, _ONE(), a={"template": "a"}),
+    "unknown function": schema("csv2", func("none"), _ONE()),
+    "wrong arguments": schema("csv2", func("lower"), _ONE()),
+    "array in array": schema("csv2", {"array": [{"array": []}]}, _ONE()),
+    "invalid xpath": schema("csv2", x("a["), _ONE()),
+    "unknown type": schema("csv2", {"const": "1", "type": "date"}, _ONE()),
+    "two paths": schema("csv2", {"xpath": "a", "template": "t"}, _ONE(), t={"xpath": "b"}),
+    "jsonlog without selector": schema("jsonlog", obj(a=x("a"))),
+}
+_ACCEPTED = {"_comment": schema("csv2", {**obj(a=x("A")), "_comment": "said"}, _ONE()), "kinds without names": schema("csv2", obj(a={"const": "1"}, b=x("A"), c={"external": "e"}, d={"array": [x("A")]}, e=obj(z=x("A"))), _ONE())}
+
+
+@query("SELECT unnest(['" + "', '".join([*_REFUSED, *_ACCEPTED]) + f"']) AS schema, unnest([{', '.join(['true'] * len(_REFUSED) + ['false'] * len(_ACCEPTED))}]) AS refused")
+def schema_refusals(spark, sf_dir):
+    """Faulty schemas are refused when they are compiled, before any input is read."""
+
+    def refused(s):
+        try:
+            Engine(spark).compile(s)
+            return False
+        except SchemaError:
+            return True
+
+    return spark.createDataFrame([(k, refused(s)) for k, s in {**_REFUSED, **_ACCEPTED}.items()], "schema string, refused boolean")
+
+
+# --- sinks, streams, extensions --------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder for what a query writes, in the shared checkpoint folder where one is set."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluicegate-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation")
+def sink_json_lines(spark, sf_dir):
+    """Written as lines of JSON and read back."""
+    path = _folder(spark)
+    plan = Engine(spark).compile(schema("csv2", obj(key=x("KEY", "int"), name=x("NAME")), _NATION))
+    write_json_lines(plan.transform_texts(_nations(spark, sf_dir), "line"), path)
+    return spark.read.schema("key int, name string").json(path)
+
+
+@query("SELECT count(*)::BIGINT AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation")
+def sink_json_array(spark, sf_dir):
+    """One JSON array in the order of the records, and the same values from a text on the driver."""
+    plan = Engine(spark).compile(schema("csv2", obj(key=x("KEY", "int"), name=x("NAME")), _NATION))
+    text = "\n".join(r["line"] for r in _nations(spark, sf_dir).orderBy(F.split("line", "[|]")[0].cast("int")).collect())
+    values = json.loads("".join(json_array(plan.transform_texts(spark.createDataFrame([(text,)], "text string")))))
+    assert values == plan.transform_text(text)
+    return spark.createDataFrame([(len(values), ",".join(v["name"] for v in values))], "n long, names string")
+
+
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation")
+def stream_of_files(spark, sf_dir):
+    """Files that arrive in a folder, as a stream to Parquet."""
+    path = _folder(spark)
+    _nations(spark, sf_dir).withColumnRenamed("line", "value").repartition(2).write.text(f"{path}/in")
+    plan = Engine(spark).compile(schema("csv2", obj(key=x("KEY", "int"), name=x("NAME")), _NATION))
+    stream_files(plan, f"{path}/in").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/out")
+    return rows.select(F.get_json_object("value", "$.key").cast("int").alias("key"), F.get_json_object("value", "$.name").alias("name"))
+
+
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation")
+def stream_framed_state(spark, sf_dir):
+    """Records of three lines over a stream of lines, which comes in several batches; open ones are kept in state."""
+    path = _folder(spark)
+    parts = F.array(F.concat(F.lit("B,"), F.col("n_nationkey").cast("string")), F.concat(F.lit("N,"), F.col("n_name")), F.lit("E"))
+    lines = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("input_name"), F.col("n_nationkey").alias("k"), F.posexplode(parts).alias("p", "line"))
+    lines = lines.select("input_name", (F.col("k") * 3 + F.col("p")).cast("long").alias("line_no"), "line")
+    for at in (0, 1, 2):  # the second batch begins within records
+        lo, hi = (0, 31, 53, 1 << 30)[at], (31, 53, 1 << 30)[at]
+        lines.where(F.col("line_no").between(lo, hi - 1)).coalesce(1).write.mode("append").json(f"{path}/in")
+        source = spark.readStream.schema(lines.schema).json(f"{path}/in")
+        framed = frame_lines(source, Framer(header="^B", footer="^E"))
+        framed.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    d = {"delimiter": ",", "records": [{"header": "^B", "footer": "^E", "columns": [{"name": "KEY", "index": 2, "line_pattern": "^B"}, {"name": "NAME", "index": 2, "line_pattern": "^N"}]}]}
+    return ran(spark, schema("csv2", obj(key=x("KEY", "int"), name=x("NAME")), d), spark.read.parquet(f"{path}/out")).withColumn("key", F.col("key").cast("int"))
+
+
+@query("SELECT n_nationkey AS key, true AS recent FROM nation")
+def fn_now(spark, sf_dir):
+    df = _nations(spark, sf_dir).select(F.lit("").alias("input_name"), F.col("line").alias("text"))
+    out = ran(spark, schema("csv2", obj(key=x("KEY", "int"), at=func("now")), _NATION), df)
+    age = F.unix_timestamp() - F.unix_timestamp(F.to_timestamp("at"))
+    return out.select(F.col("key").cast("int").alias("key"), (F.col("at").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}Z$") & age.between(-600, 600)).alias("recent"))
+
+
+@query("SELECT n_nationkey AS key, 'handled:' || n_name AS name FROM nation")
+def schema_handlers(spark, sf_dir):
+    """A handler takes the schemas of its own version; others go on to the default one."""
+
+    def own(s, engine):
+        if s["parser_settings"]["version"] != "own.1":
+            return None
+        return engine.compile({**s, "parser_settings": {**s["parser_settings"], "version": VERSION}, "transform_declarations": {"FINAL_OUTPUT": obj(key=x("KEY", "int"), name=func("concat", "handled:", x("NAME")))}})
+
+    s = schema("csv2", obj(key=x("KEY", "int")), _NATION)
+    plan: Plan = Engine(spark, handlers=[own]).compile({**s, "parser_settings": {**s["parser_settings"], "version": "own.1"}})
+    return plan.transform_df(_nations(spark, sf_dir), "line").select(F.col("key").cast("int").alias("key"), "name")
+
+
+@query("SELECT n_nationkey AS key, 'document ' || q || q || n || '  element ' || q || 'KEY' || q || n || '    text ' || q || n_nationkey || q || n || '  element ' || q || 'NAME' || q || n || '    text ' || q || n_name || q || n AS tree FROM nation, (SELECT chr(39) AS q, chr(10) AS n)")
+def tree_dump(spark, sf_dir):
+    """A record's tree as text, by a parser of one's own."""
+    engine = Engine(spark, custom_parsers={"show": lambda ctx, node: dump(node)})
+    d = {"delimiter": "|", "data_row_index": 1, "columns": columns("KEY", "NAME")}
+    df = _nations(spark, sf_dir).select(F.lit("").alias("input_name"), F.regexp_extract("line", r"^[^|]*\|[^|]*", 0).alias("text"))
+    return ran(spark, schema("csv", obj(key=x("KEY", "int"), tree={"custom_parse": "show", "no_trim": True}), d), df).withColumn("key", F.col("key").cast("int"))
+
+
+@query("SELECT n_nationkey AS key, n_name || ' éü' AS name FROM nation")
+def encoding_iso_8859_1(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    content = F.concat(F.encode(joined("|", "n_nationkey", F.concat("n_name", F.lit(" "))), "iso-8859-1"), F.unhex(F.lit("E9FC")))
+    plan = Engine(spark).compile(schema("csv2", obj(key=x("A", "int"), name=x("B")), _PLAIN("A", "B"), encoding="iso-8859-1"))
+    out = plan.typed(plan.transform_bytes(n.select(content.alias("content"))))
+    return out.select(F.col("key").cast("int").alias("key"), "name")
+
+
+@query("SELECT o_orderkey AS orderkey, o_totalprice AS price FROM orders")
+def files_of_lines(spark, sf_dir):
+    """Text files whose lines are records, split over tasks and read in Catalyst."""
+    path = _folder(spark)
+    table(spark, sf_dir, "orders").select(joined("|", "o_orderkey", "o_totalprice").alias("value")).write.text(path)
+    plan = Engine(spark).compile(schema("csv2", obj(orderkey=x("KEY", "int"), price=x("PRICE", "float")), _PLAIN("KEY", "PRICE")))
+    return plan.transform_lines(path).select("orderkey", "price")

@@ -3,7 +3,10 @@
 There are two plans for a schema.  The native one expresses framing, selection
 and output as Catalyst columns over lines; it serves schemas whose records are
 single lines.  The row plan runs the interpreter over whole inputs in Arrow
-batches; it serves everything.  Both give the same records.
+batches; it serves everything.  Both give the same records: the front doors
+take the native plan where a schema allows it, and within it send single inputs
+that it can't read (quotes over several lines, a missing header, lines that
+start no record) through the row plan.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from ..operators.nodes import Node, RenderError, render, to_value
 from ..schema import bind, validate
 from ..schema.errors import FatalError, RecordError, SchemaError
 from ..shipping import ship
-from ..sources.files import decode_column, read_inputs
+from ..sources.files import decode_column, read_inputs, read_lines
 from ..sources.readers import FORMATS, Format
 from . import native
 
@@ -177,50 +180,91 @@ class Plan:
 
     @property
     def is_native(self) -> bool:
-        """Whether lines can be transformed without the interpreter."""
+        """Whether whole inputs can be transformed without the interpreter."""
+        return self._whole(self.spark.range(0).select(F.lit("").alias("text")), "text") is not None
+
+    def _whole(self, df: DataFrame, text: str):
+        """(inputs for the row plan or None if there can't be any, records, node, error); None if the schema needs the row plan."""
         try:
-            probe = self.spark.range(0).select(F.lit("").alias("line"))
-            native.compile_lines(probe, "line", self.format, self.root, self.external, self.column_functions)
-            return True
+            return native.compile_inputs(df, text, self.format, self.root, self.external, self.column_functions)
         except native.Unsupported:
-            return False
+            return None
+
+    def _moded(self, df: DataFrame, error: Column) -> DataFrame:
+        """``df`` with the column _error as the mode has it."""
+        if self.mode == "FAILFAST":
+            error = F.when(error.isNotNull(), F.raise_error(error)).otherwise(F.lit(None)).cast("string")
+        # a filter on a result would be moved below all that the result is made of and repeat it there
+        out = df.withColumn("_error", F.when(F.rand(0) >= 0, error))
+        return out.where("_error is null") if self.mode == "DROP" else out
 
-    def lines(self, df: DataFrame, line: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    def lines(self, df: DataFrame, line: str = "line", keep: tuple[str, ...] = (), first: str | None = None) -> DataFrame:
         """Records of a DataFrame of data lines, one line a record, all in Catalyst.
 
         The lines may come from any splittable source in any order; blank ones
-        and those of a declared leading header record are skipped.  A csv
-        schema's own header and skipped rows must not be among them.  Raises
-        Unsupported if the schema needs the row plan.
+        are skipped.  Where inputs may begin with a header record, ``first``
+        names the boolean column that tells which line is an input's first.  A
+        csv schema's own header and skipped rows must not be among the lines.
+        A line that is no record by itself is an error row.  Raises Unsupported
+        if the schema needs the row plan.
         """
-        kept, node, error = native.compile_lines(df, line, self.format, self.root, self.external, self.column_functions)
-        if isinstance(node.kind, tuple) and node.kind[0] == "struct":
-            value = node.value
-            fields = [F.when(F.col("_error").isNull(), F.col("_value")[k]).alias(k) for k in node.kind[1]]
-        else:
-            value = node.value
-            fields = [F.when(F.col("_error").isNull(), F.col("_value")).alias("value")]
-        if self.mode == "FAILFAST":
-            error = F.when(error.isNotNull(), F.raise_error(error)).otherwise(F.lit(None)).cast("string")
-        out = kept.select(*keep, value.alias("_value"), error.alias("_error"))
-        if self.mode == "DROP":
-            out = out.where("_error is null")
-        return out.select(*keep, *fields, "_error")
+        kept, node, error = native.compile_lines(df, line, self.format, self.root, self.external, self.column_functions, first)
+        out = self._moded(kept.withColumn("_value", node.value), error)
+        return out.select(*keep, *self._values(), "_error")
+
+    def _values(self) -> list[Column]:
+        """The column _value as the columns of a typed result."""
+        ok, value = F.col("_error").isNull(), F.col("_value")
+        return [F.when(ok, value[k]).alias(k) for k, _ in self.root.children] if self.root.kind == "object" else [F.when(ok, value).alias("value")]
 
     # -- front doors ---------------------------------------------------------
 
     def transform_df(self, df: DataFrame, text: str = "text", name: str | None = None, external: str | None = None) -> DataFrame:
-        """Typed records of inputs that are rows."""
-        return self.typed(self.rows(df, text, name, external))
+        """Typed records of inputs that are rows: input_name, rec_no, the values, _error."""
+        part = df.select((F.lit("") if name is None else F.col(name).cast("string")).alias("_name"), F.col(text).cast("string").alias("_text"), *([] if external is None else [F.col(external).alias("_external")]))
+        whole = None if external is not None else self._whole(part, "_text")
+        by_rows = lambda some: self.typed(self.rows(some, "_text", "_name", None if external is None else "_external"))
+        if whole is None or native.ddl(whole[2].kind) != output_type(self.root, self.hints):
+            return by_rows(part)
+        rest, records, node, error = whole
+        out = self._moded(records.withColumn("_value", node.value), error)
+        out = out.select(F.col("_name").alias("input_name"), F.col("_no").alias("rec_no"), *self._values(), "_error")
+        return out if rest is None else out.union(by_rows(rest))
+
+    def transform_texts(self, df: DataFrame, text: str = "text", name: str | None = None, external: str | None = None, raw: bool = False) -> DataFrame:
+        """JSON records of inputs that are rows, as ``rows`` gives them."""
+        part = df.select((F.lit("") if name is None else F.col(name).cast("string")).alias("_name"), F.col(text).cast("string").alias("_text"), *([] if external is None else [F.col(external).alias("_external")]))
+        by_rows = lambda some: self.rows(some, "_text", "_name", None if external is None else "_external", raw)
+        try:
+            whole = None if external is not None or raw else self._whole(part, "_text")
+            value = None if whole is None else F.coalesce(native.json_text(F.col("_value"), whole[2].kind), F.lit("null"))
+        except native.Unsupported:
+            whole = None
+        if whole is None:
+            return by_rows(part)
+        rest, records, node, error = whole
+        out = self._moded(records.withColumn("_value", node.value), error)
+        told = [F.col("_name").alias("input_name"), F.col("_no").alias("rec_no"), F.when(F.col("_error").isNull(), value).alias("value"), F.col("_error").alias("error"), F.lit(False).alias("fatal"), F.lit(None).cast("string").alias("raw")]
+        return out.select(*told) if rest is None else out.select(*told).union(by_rows(rest))
 
     def transform_files(self, paths: str | list[str], raw: bool = False) -> DataFrame:
         """JSON records of files, in the schema's encoding."""
-        return self.rows(read_inputs(self.spark, paths, self.encoding), "text", "input_name", raw=raw)
+        return self.transform_texts(read_inputs(self.spark, paths, self.encoding), "text", "input_name", raw=raw)
+
+    def transform_lines(self, paths: str | list[str]) -> DataFrame:
+        """Typed records of UTF-8 files of single-line records, which are split over tasks: input_name, the values, _error.
+
+        For schemas without header records or header rows; Unsupported otherwise.
+        """
+        form = native.Lines(self.format)
+        if self.encoding != "utf-8" or form.header is not None or form.head_row is not None or (form.data_row or 0) > 1:
+            raise native.Unsupported("the files' first lines, or their encoding, need whole inputs")
+        return self.lines(read_lines(self.spark, paths), "line", ("input_name",))
 
     def transform_bytes(self, df: DataFrame, content: str = "content", name: str | None = None) -> DataFrame:
         """JSON records of binary inputs."""
         cols = [F.lit("").alias("n") if name is None else F.col(name).alias("n"), decode_column(F.col(content), self.encoding).alias("t")]
-        return self.rows(df.select(*cols), "t", "n")
+        return self.transform_texts(df.select(*cols), "t", "n")
 
     def transform_text(self, text: str, name: str = "") -> list:
         """The values of one text, on the driver; stops at the first error."""
@@ -259,11 +303,12 @@ class Engine:
                 schema = json.loads(schema)
             except ValueError as e:
                 raise SchemaError(f"schema is no valid JSON: {e}") from None
-        validate.header(schema)
+        validate.header(schema, any_version=True)
         for h in self.handlers:
             plan = h(schema, self)
             if plan is not None:
                 return plan
+        validate.header(schema)
         return Plan(self.spark, Program(schema, self.functions, self.parsers, self.formats, param), mode, external or {}, result_types or {}, self.column_functions)
 
 

@@ -1,8 +1,10 @@
 """The native plan: schemas whose records are single lines, as Catalyst expressions.
 
 A declaration becomes a pair of columns (value, error); the error half is left
-out where nothing can fail.  Whatever can't be compiled raises Unsupported and
-the row interpreter takes over.
+out where nothing can fail.  What is used more than once is bound to a column
+of its own, so that expressions stay as small as their declarations.  Whatever
+can't be compiled raises Unsupported, and the plan's front doors then take the
+row interpreter.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as fc
-from ..operators import xpath as xp
+from ..operators import nodes, xpath as xp
+from ..operators.evaluate import SPACE
 from ..schema.bind import Decl
 from ..sources import readers
 from .script_lowering import lower
@@ -22,11 +25,12 @@ class Unsupported(Exception):
     """The schema needs the row interpreter."""
 
 
-SPACE = r"[\s\x{85}\x{a0}\p{Z}]"
+def trim(c: Column) -> Column:
+    return F.btrim(c, F.lit(SPACE))
 
 
-def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+#: What the row interpreter says of texts that don't convert.
+_REASON = {"int": "no whole number of 64 bits", "float": "no number, or one out of range", "boolean": "neither true nor false"}
 
 
 def cast(c: Column, kind: str, to: str) -> tuple[Column, Column | None]:
@@ -38,6 +42,7 @@ def cast(c: Column, kind: str, to: str) -> tuple[Column, Column | None]:
             v = F.when(c.rlike(r"^[+-]?[0-9]+$"), c.try_cast("bigint"))
         elif to == "float":
             v = F.when(c.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), c.try_cast("double"))
+            v = F.when(F.abs(v) != float("inf"), v)
         else:
             v = F.when(c.isin("1", "t", "T", "TRUE", "true", "True"), F.lit(True)).when(c.isin("0", "f", "F", "FALSE", "false", "False"), F.lit(False))
         return v, c.isNotNull() & v.isNull()
@@ -65,8 +70,8 @@ def first_error(errors: list[Column | None]) -> Column | None:
 class Compiler:
     """Declarations over a flat record of string columns."""
 
-    def __init__(self, fields: dict[str, Column], external: dict[str, str], column_functions: dict | None = None):
-        self.fields, self.external, self.own = fields, external, column_functions or {}
+    def __init__(self, fields: dict[str, Column], external: dict[str, str], column_functions: dict | None = None, bind=lambda c: c):
+        self.fields, self.external, self.own, self.bind = fields, external, column_functions or {}, bind
 
     # -- paths -------------------------------------------------------------
 
@@ -174,14 +179,18 @@ class Compiler:
         if kind == "string" and not d.no_trim:
             v = trim(v)
         if d.type is not None and not isinstance(kind, tuple):
+            v = self.bind(v)
             new, fails = cast(v, kind, d.type)
             if fails is not None:
-                told = F.when(fails, F.concat(F.lit("fail to convert value '"), v, F.lit(f"' to type '{d.type}' on '{d.name}'")))
+                new = self.bind(new)
+                fails = v.isNotNull() & new.isNull()
+                told = F.when(fails, F.concat(F.lit("fail to convert value '"), v, F.lit(f"' to type '{d.type}' on '{d.name}': {_REASON[d.type]}")))
                 error = first_error([error, told])
             v, kind = new, d.type
         if kind == "string" and not d.keep:
-            v = F.nullif(v, F.lit(""))
-        return Node(v, kind, error)
+            v = self.bind(v)
+            v = F.when(v != "", v)
+        return Node(self.bind(v) if d.kind == "custom_func" else v, kind, error)
 
     def object(self, d: Decl, here, present) -> Node:
         if d.keep:
@@ -228,7 +237,7 @@ class Compiler:
                 raise Unsupported(d.name)
             if any(a.kind not in ("string", "int", "float", "boolean") for a in args[2::2]):
                 raise Unsupported(d.name)
-            got = lower(d.children[0][1].value, {c.value: (a.value, a.kind) for c, a in zip(names, args[2::2])})
+            got = lower(d.children[0][1].value, {c.value: (self.bind(a.value), a.kind) for c, a in zip(names, args[2::2])}, self.bind)
             if got is None:
                 raise Unsupported(d.name)
             value, kind, fails = got
@@ -243,7 +252,7 @@ class Compiler:
         if f is None or any(a.kind != "string" for a in args):
             raise Unsupported(d.func)
         consts = [c.value if c.kind == "const" else None for _, c in d.children]
-        got = f([F.coalesce(a.value, F.lit("")) for a in args], consts)
+        got = f([F.coalesce(a.value, F.lit("")) for a in args], consts, self.bind)
         if got is None:
             raise Unsupported(d.func)
         value, fails = got
@@ -265,63 +274,237 @@ def ddl(kind) -> str:
 
 # --- framing ---------------------------------------------------------------
 
-
-def _cells(line: Column, delim: str, unquote: bool) -> Column:
-    if unquote:
-        line = F.translate(line, '"', "'")
-    return F.split(line, re.escape(delim), -1)
-
-
-def line_fields(fmt: readers.Format, line: Column) -> tuple[dict[str, Column], Column | None, Column | None]:
-    """(fields, which lines are records, which lines can't be read natively) of a single-line format."""
-    if isinstance(fmt, readers.Csv):
-        d = fmt.decl
-        cells = _cells(line, d["delimiter"], d.get("replace_double_quotes", False))
-        quoted = None if d.get("replace_double_quotes") else F.contains(line, F.lit('"'))
-        return {n: F.get(cells, F.lit(i)) for i, n in enumerate(fmt.names)}, None, quoted
-    if isinstance(fmt, (readers.Csv2, readers.Fixed2)):
-        target = [r for r in fmt.recs if r.target]
-        others = [r for r in fmt.recs if not r.target]
-        if not target or target[0].children or target[0].group or any(r.group or r.children for r in others):
-            raise Unsupported("nested records")
-        r = target[0]
-        if r.decl.get("rows", 1) != 1 or "footer" in r.decl or r.max >= 0 or r.min > 0:
-            raise Unsupported("records of several lines")
-        is_record = line.rlike(r.decl["header"]) if "header" in r.decl else None
-        for o in others:
-            # a leading header line that only its own pattern tells from the records
-            if "header" not in o.decl or "footer" in o.decl or fmt.recs.index(o) > fmt.recs.index(r) or o.max != 1:
+#: Stand for a delimiter and a quote inside of a quoted cell; a line that holds one of them is not read natively.
+_MARKS = "\x01\x02"
+_SINGLE = "records of several lines"
+
+
+def quoted_parts(line: Column) -> Column:
+    """The line cut at its quotes: what is outside of quotes stands at odd places."""
+    return F.split(line, '"', -1)
+
+
+def malformed(line: Column, delim: str) -> Column:
+    """Whether a line's quotes don't enclose whole cells of it."""
+    parts = quoted_parts(line)
+    n = F.size(parts)
+    d = F.lit(delim)
+
+    def fits(o: Column, i: Column) -> Column:
+        # around a quoted cell there is a delimiter or the line's end; nothing between two quotes is a doubled quote
+        opens = (i == 0) | F.startswith(o, d)
+        closes = (i == n - 1) | F.endswith(o, d)
+        return (i % 2 == 1) | (o == "") | (opens & closes)
+
+    wrong = (n % 2 == 0) | F.exists(F.transform(parts, lambda o, i: ~fits(o, i)), lambda x: x) | line.rlike(f"[{_MARKS}]")
+    return F.contains(line, F.lit('"')) & wrong
+
+
+def split_quoted(line: Column, delim: str) -> Column:
+    """The cells of a line that isn't malformed."""
+    parts = quoted_parts(line)
+    n = F.size(parts)
+    marked = F.transform(
+        parts,
+        lambda o, i: F.when(i % 2 == 1, F.replace(o, F.lit(delim), F.lit(_MARKS[0]))).when((o == "") & (i > 0) & (i < n - 1), F.lit(_MARKS[1])).otherwise(o),
+    )
+    cells = F.split(F.array_join(marked, ""), re.escape(delim), -1)
+    return F.transform(cells, lambda c: F.replace(F.replace(c, F.lit(_MARKS[0]), F.lit(delim)), F.lit(_MARKS[1]), F.lit('"')))
+
+
+class Lines:
+    """How single lines of a format become records; all its methods are of columns.
+
+    ``header`` is the pattern of a record that may come first, once, and
+    ``required`` tells whether it must; ``pattern`` is what records match.
+    ``skip`` and ``names`` are the line numbers and header names of positional
+    csv.  Raises Unsupported where records may span lines.
+    """
+
+    def __init__(self, fmt: readers.Format):
+        self.fmt, self.header, self.required, self.pattern = fmt, None, False, None
+        self.head_row = self.data_row = None
+        self.delim, self.replace = None, False
+        if isinstance(fmt, readers.Csv):
+            d = fmt.decl
+            self.delim, self.replace = d["delimiter"], d.get("replace_double_quotes", False)
+            self.head_row, self.data_row = d.get("header_row_index"), d["data_row_index"]
+            self.head_names = [c["name"].strip() for c in d["columns"]]
+            self.columns = [(n, lambda c, i=i: F.get(c, F.lit(i))) for i, n in enumerate(fmt.names)]
+            return
+        if isinstance(fmt, readers.Fixed):
+            if fmt.rows != 1 or any(p is not None for _, p, _ in fmt.envelopes[0][4]):
+                raise Unsupported(_SINGLE)
+            self.columns = [(c["name"], self._cut(c)) for c, _, _ in fmt.envelopes[0][4]]
+            return
+        if not isinstance(fmt, (readers.Csv2, readers.Fixed2)):
+            raise Unsupported(type(fmt).__name__)
+        *before, r = fmt.recs if fmt.recs[-1].target else [None, None]
+        if r is None or len(before) > 1 or any(x.group or x.children for x in fmt.recs):
+            raise Unsupported("records around the target")
+        if r.decl.get("rows", 1) != 1 or "footer" in r.decl or r.max >= 0 or r.min > 0 or any(c.get("line_index", 1) != 1 or "line_pattern" in c for c in r.decl.get("columns", [])):
+            raise Unsupported(_SINGLE)
+        for o in before:
+            if "header" not in o.decl or "footer" in o.decl or o.max != 1:
                 raise Unsupported("records around the target")
-            no = ~line.rlike(o.decl["header"])
-            is_record = no if is_record is None else is_record & no
-        if any(c.get("line_index", 1) != 1 or "line_pattern" in c for c in r.decl.get("columns", [])):
-            raise Unsupported("columns by line")
+            self.header, self.required = o.decl["header"], o.min > 0
+        self.pattern = r.decl.get("header")
         if isinstance(fmt, readers.Fixed2):
-            return {c["name"]: F.substring(line, c["start_pos"], c["length"]) for c in r.decl.get("columns", [])}, is_record, None
-        cells = _cells(line, fmt.decl["delimiter"], fmt.decl.get("replace_double_quotes", False))
-        quoted = None if fmt.decl.get("replace_double_quotes") else F.contains(line, F.lit('"'))
-        return {c["name"]: F.coalesce(F.get(cells, F.lit(c["index"] - 1)), F.lit("")) for c in r.decl.get("columns", [])}, is_record, quoted
-    if isinstance(fmt, readers.Fixed):
-        if fmt.rows != 1 or any(p is not None for _, p, _ in fmt.envelopes[0][4]):
-            raise Unsupported("envelopes of several lines")
-        return {c["name"]: F.substring(line, c["start_pos"], c["length"]) for c, _, _ in fmt.envelopes[0][4]}, None, None
-    raise Unsupported(type(fmt).__name__)
-
-
-def compile_lines(df: DataFrame, line_col: str, fmt: readers.Format, root: Decl, external: dict[str, str], column_functions: dict | None = None):
-    """(DataFrame with ``_value`` and ``_error`` after the selector, kind of the value)."""
-    line = F.regexp_replace(F.col(line_col), "\r$", "")
-    fields, is_record, quoted = line_fields(fmt, line)
-    c = Compiler(fields, external, column_functions)
+            self.columns = [(c["name"], self._cut(c)) for c in r.decl.get("columns", [])]
+        else:
+            self.delim, self.replace = fmt.decl["delimiter"], fmt.decl.get("replace_double_quotes", False)
+            self.columns = [(c["name"], lambda x, c=c: F.coalesce(F.get(x, F.lit(c["index"] - 1)), F.lit(""))) for c in r.decl.get("columns", [])]
+
+    @staticmethod
+    def _cut(c: dict):
+        return lambda line: F.substring(line, c["start_pos"], c["length"])
+
+    def clean(self, line: Column) -> Column:
+        line = F.when(F.endswith(line, F.lit("\r")), F.left(line, F.length(line) - 1)).otherwise(line)
+        return F.translate(line, '"', "'") if self.replace else line
+
+    def odd(self, line: Column) -> Column | None:
+        """Lines whose quotes need the row reader."""
+        return None if self.delim is None or self.replace else malformed(line, self.delim)
+
+    def cells(self, line: Column) -> Column:
+        """What the columns are taken from: the cells, or the line itself."""
+        if self.delim is None:
+            return line
+        plain = F.split(line, re.escape(self.delim), -1)
+        return plain if self.replace else F.when(F.contains(line, F.lit('"')), split_quoted(line, self.delim)).otherwise(plain)
+
+    def subject(self, line: Column) -> Column:
+        """What patterns are matched with: the line without its quotes."""
+        if self.delim is None or self.replace:
+            return line
+        return F.when(F.contains(line, F.lit('"')), F.array_join(split_quoted(line, self.delim), self.delim)).otherwise(line)
+
+    def fields(self, cells: Column) -> dict[str, Column]:
+        return {n: f(cells) for n, f in self.columns}
+
+
+class Stages:
+    """Columns computed once and then referred to by name."""
+
+    def __init__(self):
+        self.made: list[tuple[str, Column]] = []
+
+    def bind(self, c: Column) -> Column:
+        name = f"_stage{len(self.made)}"
+        self.made.append((name, c))
+        return F.col(name)
+
+    def over(self, df: DataFrame) -> DataFrame:
+        for name, c in self.made:
+            df = df.withColumn(name, c)
+        return df
+
+
+def compile_lines(df: DataFrame, line_col: str, fmt: readers.Format, root: Decl, external: dict[str, str], column_functions: dict | None = None, first: str | None = None):
+    """(DataFrame of records, node, error) of data lines, each of which is a record.
+
+    ``first`` names a boolean column that tells which line is the first of its
+    input; a schema whose inputs may begin with a header record needs it.
+    """
+    form = Lines(fmt)
+    stages = Stages()
+    line = stages.bind(form.clean(F.col(line_col)))
+    cells = stages.bind(form.cells(line))
+    c = Compiler(form.fields(cells), external, column_functions, stages.bind)
     node = c.compile(root, moved=True)
     keep = F.length(line) > 0
-    if is_record is not None:
-        keep = keep & is_record
+    told = []
+    odd = form.odd(line)
+    if odd is not None:
+        told.append(F.when(odd, F.lit("the line's quotes don't enclose whole cells of it")))
+    if form.header is not None:
+        if first is None:
+            raise Unsupported("a header record, and no column tells the first lines")
+        head = F.col(first) & form.subject(line).rlike(form.header)
+        keep = keep & ~head
+        if form.required:
+            told.append(F.when(F.col(first), F.lit("the input does not begin with its header record")))
+    if form.pattern is not None:
+        told.append(F.when(~form.subject(line).rlike(form.pattern), F.lit("the line starts no record")))
     where = c.predicate(fmt.selector)
     if where is not None:
-        keep = keep & where
-    error = node.error
-    if quoted is not None:
-        # a quoted cell needs the row reader; the line is reported, never misread
-        error = first_error([F.when(quoted, F.lit("quoted cells need the row reader")), error])
-    return df.where(keep), node, F.lit(None).cast("string") if error is None else error
+        broken = F.coalesce(*told).isNotNull() if told else F.lit(False)
+        keep = keep & (where | broken)
+    error = first_error([*told, node.error])
+    return stages.over(df).where(keep), node, F.lit(None).cast("string") if error is None else error
+
+
+def compile_inputs(df: DataFrame, text_col: str, fmt: readers.Format, root: Decl, external: dict[str, str], column_functions: dict | None = None):
+    """(inputs that aren't read here or None, the records of the others, node, error).
+
+    The records have the columns of ``df`` and ``_no``, their number in the
+    input.  Inputs with quotes over several lines or broken ones, without a
+    header that must be there, or with lines that start no record are not
+    read here.
+    """
+    form = Lines(fmt)
+    stages = Stages()
+    numbered = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct((i + 1).alias("no"), form.clean(x).alias("line")))
+    lines = F.filter(numbered, lambda s: F.length(s["line"]) > 0)
+    good, sure = F.lit(True), form.head_row is None and not form.required and form.pattern is None
+    if form.odd(F.lit("")) is not None:
+        sure = False
+        good = ~F.contains(F.col(text_col), F.lit('"')) | ~F.exists("_lines", lambda s: form.odd(s["line"]))
+    head_no = F.lit(0)
+    if form.head_row is not None:
+        head = F.get(F.filter("_lines", lambda s: s["no"] >= form.head_row), F.lit(0))
+        names = F.transform(form.cells(head["line"]), trim)
+        good = good & F.coalesce((F.size(names) >= len(form.head_names)) & (F.slice(names, 1, len(form.head_names)) == F.array(*map(F.lit, form.head_names))), F.lit(False))
+        head_no = head["no"]
+    if form.header is not None:
+        begins = F.coalesce(form.subject(F.get(F.col("_lines"), F.lit(0))["line"]).rlike(form.header), F.lit(False))
+        if form.required:
+            good = good & begins
+        head_no = F.when(begins, F.get(F.col("_lines"), F.lit(0))["no"]).otherwise(0)
+    start = form.data_row or 0
+    data = F.filter("_lines", lambda s: (s["no"] > F.col("_head")) & (s["no"] >= start))
+    if form.pattern is not None:
+        good = good & ~F.exists("_data", lambda s: ~form.subject(s["line"]).rlike(form.pattern))
+    base = df.withColumn("_lines", lines).withColumn("_head", head_no).withColumn("_data", data).withColumn("_good", F.coalesce(good, F.lit(False)))
+    probe = Compiler({}, external, column_functions, stages.bind)
+    if fmt.selector not in (None, "."):
+        probe.predicate(fmt.selector)  # Unsupported before anything is built
+
+    def chosen(s: Column) -> Column:
+        return Compiler(form.fields(form.cells(s["line"])), external, column_functions, stages.bind).predicate(fmt.selector)
+
+    kept = F.col("_data") if fmt.selector in (None, ".") else F.filter("_data", chosen)
+    records = (base if sure else base.where("_good")).select(*df.columns, F.posexplode(kept).alias("_no", "_one"))
+    cells = stages.bind(form.cells(F.col("_one.line")))
+    node = Compiler(form.fields(cells), external, column_functions, stages.bind).compile(root, moved=True)
+    records = stages.over(records.withColumn("_no", F.col("_no").cast("long") + 1))
+    error = F.lit(None).cast("string") if node.error is None else node.error
+    return None if sure else base.where("not _good").select(*df.columns), records, node, error
+
+
+# --- JSON ------------------------------------------------------------------
+
+_SPECIAL = "[\\x00-\\x1f\"\\\\<>&\u2028\u2029]"
+
+
+def _json_string(c: Column) -> Column:
+    out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for code, escape in nodes.ESCAPES.items():
+        if chr(code) != "\\":
+            out = F.replace(out, F.lit(chr(code)), F.lit(escape))
+    return F.concat(F.lit('"'), F.when(c.rlike(_SPECIAL), out).otherwise(c), F.lit('"'))
+
+
+def json_text(value: Column, kind) -> Column:
+    """The compact JSON of a compiled value, as the row plan renders it; Unsupported for floats."""
+    if isinstance(kind, tuple) and kind[0] == "array":
+        return F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: json_text(x, kind[1])), ","), F.lit("]"))
+    if isinstance(kind, tuple):
+        pairs = [F.concat(F.lit(nodes.render(k) + ":"), json_text(value[k], v)) for k, v in sorted(kind[1].items(), key=lambda x: x[0].encode())]
+        return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
+    if kind == "string":
+        return _json_string(value)
+    if kind in ("int", "boolean"):
+        return value.cast("string")
+    raise Unsupported("floats as JSON text")

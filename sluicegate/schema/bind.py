@@ -43,7 +43,7 @@ def bind(decls: dict, functions: dict, parsers: dict, arity: dict | None = None)
             if ref not in decls:
                 raise SchemaError(f"'{name}' refers to non-existent template '{ref}'")
             if ref in seen:
-                raise SchemaError(f"template circular dependency detected on '{name}': {' -> '.join((*seen, ref))}")
+                raise SchemaError(f"'{name}' refers to itself through templates: {' -> '.join((*seen, ref))}")
             t = copy.deepcopy(decls[ref])
             if ("xpath" in d or "xpath_dynamic" in d) and ("xpath" in t or "xpath_dynamic" in t):
                 raise SchemaError(f"'{name}' and its template '{ref}' can't both have an xpath")

@@ -153,14 +153,14 @@ def _fail(out: list[str], what: str) -> None:
         raise SchemaError(f"schema validation failed for {what}:\n" + "\n".join(sorted(out)))
 
 
-def header(schema: dict) -> dict:
-    """The checked ``parser_settings``."""
+def header(schema: dict, any_version: bool = False) -> dict:
+    """The checked ``parser_settings``; handlers of their own may have versions of their own."""
     out: list[str] = []
     shape = Obj({"parser_settings": Obj({"version": Str(1), "file_format_type": Str(1), "encoding": Str(enum=ENCODINGS)}, ["version", "file_format_type"])}, ["parser_settings"], open_=True)
     check(schema, shape, "(root)", out)
     _fail(out, "parser_settings")
     settings = schema["parser_settings"]
-    if not _VERSION.fullmatch(settings["version"]):
+    if not any_version and not _VERSION.fullmatch(settings["version"]):
         raise SchemaError(f"schema version {settings['version']!r} isn't supported")
     return settings
 

@@ -131,15 +131,15 @@ class Csv(Format):
         if head is not None:
             own = next(((no, r) for no, r in rows if no >= head), None)
             if own is None:
-                raise FatalError(f"input '{name}' line {head}: unable to read header: EOF")
+                raise FatalError(f"input '{name}' line {head}: the input ends before its header")
             no, cells = own
             if isinstance(cells, BadRow):
-                raise FatalError(f"input '{name}' line {no}: unable to read header: {cells}")
+                raise FatalError(f"input '{name}' line {no}: broken header: {cells}")
             if len(cells) < len(d["columns"]):
-                raise FatalError(f"input '{name}' line {no}: actual header column size ({len(cells)}) is less than the size ({len(d['columns'])}) declared in file_declaration.columns in schema")
+                raise FatalError(f"input '{name}' line {no}: the header has {len(cells)} cells for {len(d['columns'])} declared columns")
             for i, (c, x) in enumerate(zip(d["columns"], cells), 1):
                 if c["name"].strip() != x.strip():
-                    raise FatalError(f"input '{name}' line {no}: header column[{i}] '{x.strip()}' does not match declared column name '{c['name'].strip()}' in schema")
+                    raise FatalError(f"input '{name}' line {no}: cell {i} of the header is '{x.strip()}', declared is '{c['name'].strip()}'")
         for no, cells in rows:
             if no < d["data_row_index"]:
                 continue
@@ -312,7 +312,7 @@ class Fixed(Format):
                 if columns.count(c) > 1:
                     raise SchemaError(f"more than one column has the name '{c}' in envelope '{name}'")
             if ("by_rows" in e) and ("by_header_footer" in e):
-                raise SchemaError(f"envelope '{name}' can't have both by_rows and by_header_footer")
+                raise SchemaError(f"envelope '{name}' is cut either by rows or by header and footer")
             hf = e.get("by_header_footer")
             self.envelopes.append((name, not e.get("not_target", False), _regex(hf["header"], name) if hf else None, _regex(hf["footer"], name) if hf else None, _columns(e.get("columns", []), name)))
         plain = [e for e in d["envelopes"] if "by_header_footer" not in e]
@@ -330,7 +330,7 @@ class Fixed(Format):
             if self.rows is not None:
                 end, env = at + self.rows, self.envelopes[0]
                 if end > len(lines):
-                    raise FatalError(f"input '{name}' line {lines[at][0]}: incomplete envelope, missing {end - len(lines)} row(s)")
+                    raise FatalError(f"input '{name}' line {lines[at][0]}: the envelope lacks {end - len(lines)} of its rows")
             else:
                 hit = next((i for i in range(now, len(self.envelopes)) if self.envelopes[i][2].search(lines[at][1])), None)
                 if hit is None:
@@ -339,7 +339,7 @@ class Fixed(Format):
                 while end < len(lines) and not env[3].search(lines[end][1]):
                     end += 1
                 if end >= len(lines):
-                    raise FatalError(f"input '{name}' line {lines[at][0]}: incomplete envelope, missing footer")
+                    raise FatalError(f"input '{name}' line {lines[at][0]}: the envelope has no footer")
                 end += 1
             node = root.add(Node(ELEM, env[0]))
             for c, pattern, _ in env[4]:
@@ -488,33 +488,76 @@ class _Selector:
         return bool(xp._predicates([n], self.last, doc))
 
 
+class _Pairs(list):
+    """The members of a JSON object in order; a name may come twice."""
+
+
 class Json(Format):
-    """One JSON value; every node that the selector matches is a record."""
+    """One JSON value; every node that the selector matches is a record.
+
+    An input that breaks off, or is broken, gives the records that end before
+    that place, and then its fatal error.
+    """
 
     def __init__(self, schema, selector):
         super().__init__(schema, selector)
         _Selector(selector)
 
     def records(self, name, text):
-        try:
-            value, _ = json.JSONDecoder(parse_int=float, parse_constant=_bad_constant).raw_decode(text.lstrip())
-        except (ValueError, RecursionError) as e:
-            if not text.strip():
-                return
-            raise FatalError(f"input '{name}' before/near line {getattr(e, 'lineno', 1)}: {e}") from None
-        sel, doc = _Selector(self.selector), Node(DOC, tag="json-root")
-        if sel.itself:
-            for _ in self.fill(doc, value, None, doc):
-                pass
-            if sel.closes(doc, doc):
-                yield doc
+        if not text.strip():
             return
-        yield from self.fill(doc, value, sel, doc)
+        sel, doc = _Selector(self.selector), Node(DOC, tag="json-root")
+        whole = None if sel.itself else sel
+        try:
+            value, _ = json.JSONDecoder(parse_int=float, parse_constant=_bad_constant, object_pairs_hook=_Pairs).raw_decode(text.lstrip())
+        except (ValueError, RecursionError):
+            try:
+                yield from self.partly(doc, text, _blank(text, 0), whole, doc)
+            except ValueError as e:
+                raise FatalError(f"input '{name}' before/near line {getattr(e, 'lineno', 1)}: {e}") from None
+        else:
+            yield from self.fill(doc, value, whole, doc)
+        if sel.itself and sel.closes(doc, doc):
+            yield doc
+
+    def partly(self, n: Node, text: str, at: int, sel, doc):
+        """``fill`` for a text that is read piece by piece; returns the place after the value, raises ValueError."""
+        c = text[at : at + 1]
+        if c not in ("{", "["):
+            value, end = json.JSONDecoder(parse_int=float, parse_constant=_bad_constant).raw_decode(text, at)
+            yield from self.fill(n, value, sel, doc)
+            return end
+        n.tag, close = ("json-obj", "}") if c == "{" else ("json-arr", "]")
+        at = _blank(text, at + 1)
+        if text.startswith(close, at):
+            return at + 1
+        while True:
+            key = ""
+            if c == "{":
+                if not text.startswith('"', at):
+                    raise json.JSONDecodeError("a member's name is missing", text, at)
+                key, at = json.decoder.scanstring(text, at + 1, True)
+                at = _blank(text, at)
+                if not text.startswith(":", at):
+                    raise json.JSONDecodeError("a colon is missing", text, at)
+                at = _blank(text, at + 1)
+            kid = n.add(Node(ELEM, key, "json-prop" if c == "{" else "json-item"))
+            hit = sel is not None and sel.opens(kid, doc)
+            at = _blank(text, (yield from self.partly(kid, text, at, None if hit else sel, doc)))
+            if hit:
+                if sel.closes(kid, doc):
+                    yield kid
+                kid.detach()
+            if text.startswith(close, at):
+                return at + 1
+            if not text.startswith(",", at):
+                raise json.JSONDecodeError("a comma or the end is missing", text, at)
+            at = _blank(text, at + 1)
 
     def fill(self, n: Node, v, sel, doc) -> Iterator[Node]:
-        if isinstance(v, dict):
+        if isinstance(v, _Pairs):
             n.tag = "json-obj"
-            for k, x in v.items():
+            for k, x in v:
                 yield from self.child(n.add(Node(ELEM, k, "json-prop")), x, sel, doc)
         elif isinstance(v, list):
             n.tag = "json-arr"
@@ -538,6 +581,13 @@ class Json(Format):
             n.detach()
 
 
+def _blank(text: str, at: int) -> int:
+    """The next place that holds no white space."""
+    while at < len(text) and text[at] in " \t\r\n":
+        at += 1
+    return at
+
+
 def _bad_constant(s):
     raise ValueError(f"invalid character in {s}")
 
@@ -556,7 +606,7 @@ class JsonLog(Format):
             if not line.strip():
                 continue
             try:
-                v = json.loads(line, parse_int=float)
+                v = json.loads(line, parse_int=float, parse_constant=_bad_constant, object_pairs_hook=_Pairs)
             except ValueError as e:
                 yield RecordError(f"input '{name}' line {no}: {e}")
                 continue
