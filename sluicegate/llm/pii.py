@@ -6,18 +6,27 @@ by their octets), and its number is permuted by a keyed Feistel network within i
 values get equal pseudonyms in every document, and different values of one
 format get different ones.
 
-========  ==================================  =====================================
-kind      found                               permuted
-========  ==================================  =====================================
-card      13 to 19 digits with a valid        all but the last digit; the last is the
-          Luhn check digit                    new check digit
-phone     +C (AAA) NNN-NNNN, AAA-NNN-NNNN     the ten national digits
-ssn       AAA-GG-SSSS                         the nine digits
-ip        four octets of 0 to 255             the 32 bits
-date      YYYY-MM-DD, DD.MM.YYYY, MM/DD/YYYY  the day's number, 1900 to 2099
-email     local@domain                        the local part's letters and digits
-========  ==================================  =====================================
-
+========  ======================================  ==================================
+kind      found                                   permuted
+========  ======================================  ==================================
+card      13 to 19 digits, or 4-4-4-4 and 4-6-5   all but the last digit; the last is
+          with spaces or hyphens, with a valid    the new check digit
+          Luhn check digit
+iban      country, check digits, 11 to 30 more,   the digits after the check digits;
+          also in fours, valid modulo 97          these are computed anew
+phone     +C (AAA) NNN-NNNN, (AAA) NNN-NNNN,      the ten national digits
+          AAA-NNN-NNNN, AAA.NNN.NNNN
+          + and 8 to 15 digits                    the digits after the country code
+ssn       AAA-GG-SSSS, area 001 to 899 but 666,   its number among all such
+          group 01 and serial 0001 upwards
+ip        four octets of 0 to 255                 the 32 bits
+date      YYYY-MM-DD, DD.MM.YYYY, MM/DD/YYYY      the day's number, 1900 to 2099
+email     local@domain, up to 64 and 255          the local part's letters and digits
+          characters
+========  ======================================  ==================================
+
+The expressions repeat single characters or groups of fixed length only, so
+their work and their stack don't grow with what they match.
 A candidate that doesn't validate stays as it is.
 """
 
@@ -25,15 +34,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-EMAIL = r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
-PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])"
+EMAIL = r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]*[A-Za-z0-9]"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|\([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])|[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9.])|\+[0-9]{8,15}(?![0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
-CARD = r"[0-9]{13,19}(?![0-9A-Za-z])"
-ANY = rf"(?<![A-Za-z0-9._%+\-])(?:{EMAIL}|{PHONE}|{SSN}|{IP}|{DATE}|{CARD})"
+CARD = r"(?:[0-9]{4} ){3}[0-9]{4}(?![0-9A-Za-z])|(?:[0-9]{4}-){3}[0-9]{4}(?![0-9A-Za-z])|[0-9]{4} [0-9]{6} [0-9]{5}(?![0-9A-Za-z])|[0-9]{4}-[0-9]{6}-[0-9]{5}(?![0-9A-Za-z])|[0-9]{13,19}(?![0-9A-Za-z])"
+ANY = rf"(?<![A-Za-z0-9._%+\-])(?:{EMAIL}|{IBAN}|{PHONE}|{SSN}|{IP}|{DATE}|{CARD})"
+#: Country codes of one and two digits; all others have three (fixed values of the numbering plan).
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
-KINDS = ("card", "phone", "ssn", "ip", "date", "email")
+KINDS = ("card", "iban", "phone", "ssn", "ip", "date", "email")
 DIGITS = "0123456789"
 LETTERS = DIGITS + "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 FIRST_DAY, DAYS = "1900-01-01", 73_049
@@ -68,16 +80,27 @@ def _let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def permute_digits(d: Column, key: str, tweak: str) -> Column:
-    """Digits (2 to 19 of them) to as many digits."""
+def permute_digits(d: Column, key: str, tweak: Column | str) -> Column:
+    """Digits (1 to 19 of them) to as many digits."""
     n = F.length(d)
     u = F.floor(n / 2).cast("int")
     v = n - u
-    a, b = F.substring(d, F.lit(1), u).cast("long"), F.substring(d, u + 1, v).cast("long")
+    a, b = F.coalesce(F.substring(d, F.lit(1), u).try_cast("long"), F.lit(0)), F.substring(d, u + 1, v).cast("long")
+    left = lambda s: F.when(u > 0, F.lpad(s["a"].cast("string"), u, F.lit("0"))).otherwise("")
     return _let(
-        feistel(key, F.concat(F.lit(tweak), n.cast("string")), a, b, _power(10, u), _power(10, v)),
-        lambda s: F.concat(F.lpad(s["a"].cast("string"), u, F.lit("0")), F.lpad(s["b"].cast("string"), v, F.lit("0"))),
+        feistel(key, F.concat(F.lit(tweak) if isinstance(tweak, str) else tweak, n.cast("string")), a, b, _power(10, u), _power(10, v)),
+        lambda s: F.concat(left(s), F.lpad(s["b"].cast("string"), v, F.lit("0"))),
+    )
+
+
+def dealt(shape: Column, cells: Column, what: str) -> Column:
+    """``shape`` with the characters that match ``what`` replaced by those of ``cells``, in order."""
+    out = F.aggregate(
+        F.split(shape, ""),
+        F.struct(F.lit("").alias("s"), F.lit(1).alias("at")),
+        lambda s, c: F.when(c.rlike(what), F.struct(F.concat(s["s"], F.substring(cells, s["at"], F.lit(1))).alias("s"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["s"], c).alias("s"), s["at"].alias("at"))),
     )
+    return out["s"]
 
 
 def luhn_digit(prefix: Column) -> Column:
@@ -93,25 +116,66 @@ def luhn_digit(prefix: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    front = F.substring(m, F.lit(1), F.length(m) - 1)
-    valid = F.substring(m, F.length(m), F.lit(1)).cast("int") == luhn_digit(front)
-    new = _let(permute_digits(front, key, "card"), lambda p: F.concat(p, luhn_digit(p).cast("string")))
-    return F.when(valid, new).otherwise(m)
+    def of(digits):
+        front = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        valid = F.substring(digits, F.length(digits), F.lit(1)).cast("int") == luhn_digit(front)
+        new = _let(permute_digits(front, key, "card"), lambda p: F.concat(p, luhn_digit(p).cast("string")))
+        return F.when(valid, _let(new, lambda p: dealt(m, p, "[0-9]"))).otherwise(m)
+
+    return _let(F.translate(m, " -", ""), of)
+
+
+def modulo_97(s: Column) -> Column:
+    """A text of digits and capitals (A is 10, B is 11, ...) modulo 97."""
+
+    def step(r, c):
+        letter = F.ascii(c) >= 65
+        return F.when(letter, (r * 100 + F.ascii(c) - 55) % 97).otherwise((r * 10 + F.ascii(c) - 48) % 97)
+
+    return F.aggregate(F.split(s, ""), F.lit(0), step)
+
+
+def _iban(m: Column, key: str) -> Column:
+    def of(x):
+        country, rest = F.substring(x, F.lit(1), F.lit(2)), F.substring(x, F.lit(5), F.length(x))
+        digits = F.regexp_replace(rest, "[^0-9]", "")
+        chunks = F.regexp_extract_all(digits, F.lit(".{1,15}"), F.lit(0))
+        tweak = lambda i: F.concat(F.lit("iban"), country, F.length(x).cast("string"), F.lit("/"), i.cast("string"), F.lit("/"))
+        mapped = F.array_join(F.transform(chunks, lambda c, i: permute_digits(c, key, tweak(i))), "")
+        new = _let(mapped, lambda p: dealt(rest, p, "[0-9]"))
+        checked = _let(new, lambda r: F.concat(country, F.lpad((98 - modulo_97(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0"), r))
+        valid = (modulo_97(F.concat(rest, F.substring(x, F.lit(1), F.lit(4)))) == 1) & F.length(x).between(15, 34)
+        return F.when(valid, _let(checked, lambda r: dealt(m, r, "[^ ]"))).otherwise(m)
+
+    return _let(F.translate(m, " ", ""), of)
 
 
 def _phone(m: Column, key: str) -> Column:
-    national = F.regexp_replace(F.regexp_replace(m, r"^\+[0-9]+", ""), "[^0-9]", "")
-    country = F.regexp_extract(m, r"^\+[0-9]+", 0)
-    return _let(
-        permute_digits(national, key, "phone"),
-        lambda p: F.when(country != "", F.concat(country, F.lit(" ("), F.substring(p, 1, 3), F.lit(") "), F.substring(p, 4, 3), F.lit("-"), F.substring(p, 7, 4))).otherwise(
-            F.concat(F.substring(p, 1, 3), F.lit("-"), F.substring(p, 4, 3), F.lit("-"), F.substring(p, 7, 4))
-        ),
-    )
+    """All forms of ten national digits share one permutation, with +1 before them too."""
+    ten = F.regexp_replace(F.regexp_replace(m, r"^\+[0-9]+ |^\+1(?=[0-9]{10}$)", ""), "[^0-9]", "")
+    country = F.regexp_extract(m, COUNTRY, 0)
+    other = F.substring(m, F.length(country) + 1, F.length(m))
+    plain = ~m.rlike(r"^\+[0-9]+$")
+    national = _let(permute_digits(ten, key, "phone"), lambda p: F.when(plain, _after(m, r"^\+[0-9]+ ", p)).otherwise(F.concat(F.lit("+1"), p)))
+    return F.when(plain | m.rlike(r"^\+1[0-9]{10}$"), national).otherwise(F.concat(country, permute_digits(other, key, F.concat(F.lit("phone"), country, F.lit("/")))))
+
+
+def _after(m: Column, prefix: str, digits: Column) -> Column:
+    """``m`` with its digits beyond a prefix replaced."""
+    head = F.regexp_extract(m, prefix, 0)
+    return F.concat(head, dealt(F.substring(m, F.length(head) + 1, F.length(m)), digits, "[0-9]"))
+
+
+AREAS, REST = 898, 99 * 9999
 
 
 def _ssn(m: Column, key: str) -> Column:
-    return _let(permute_digits(F.regexp_replace(m, "-", ""), key, "ssn"), lambda p: F.concat(F.substring(p, 1, 3), F.lit("-"), F.substring(p, 4, 2), F.lit("-"), F.substring(p, 6, 4)))
+    area, group, serial = (F.substring(m, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    two = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    told = lambda s: F.concat_ws("-", two(s["a"] + F.when(s["a"] >= 665, 2).otherwise(1), 3), two(F.floor(s["b"] / 9999) + 1, 2), two(s["b"] % 9999 + 1, 4))
+    a, b = area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1
+    return F.when(valid, _let(feistel(key, F.lit("ssn"), a, b, F.lit(AREAS).cast("long"), F.lit(REST).cast("long")), told)).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -171,22 +235,16 @@ def _email(m: Column, key: str) -> Column:
     chunks = F.regexp_extract_all(plain, F.lit(f".{{1,{CHUNK}}}"), F.lit(0))
     mapped = F.array_join(F.transform(chunks, chunk), "")
 
-    def fill(p):
-        # marks stay where they are, letters and digits are dealt in order
-        cells = F.split(local, "")
-        dealt = F.aggregate(
-            cells,
-            F.struct(F.lit("").alias("s"), F.lit(1).alias("at")),
-            lambda s, c: F.when(c.rlike("[A-Za-z0-9]"), F.struct(F.concat(s["s"], F.substring(p, s["at"], F.lit(1))).alias("s"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["s"], c).alias("s"), s["at"].alias("at"))),
-        )
-        return F.concat(dealt["s"], F.lit("@"), domain)
-
-    return F.when(F.length(plain) > 0, _let(mapped, fill)).otherwise(m)
+    # marks stay where they are, letters and digits are dealt in order
+    new = _let(mapped, lambda p: F.concat(dealt(local, p, "[A-Za-z0-9]"), F.lit("@"), domain))
+    fits = (F.length(local) <= 64) & (F.length(domain) <= 255) & F.contains(domain, F.lit(".")) & ~domain.rlike(r"^[.\-]|\.\.")
+    return F.when(fits & (F.length(plain) > 0), new).otherwise(m)
 
 
 def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
+        .when(m.rlike(rf"^(?:{IBAN})$"), "iban")
         .when(m.rlike(rf"^(?:{CARD})$"), "card")
         .when(m.rlike(rf"^(?:{PHONE})$"), "phone")
         .when(m.rlike(rf"^(?:{SSN})$"), "ssn")
@@ -201,6 +259,7 @@ def pseudonym(m: Column, key: str) -> Column:
         kind_of(m),
         lambda k: F.when(k == "email", _email(m, key))
         .when(k == "card", _card(m, key))
+        .when(k == "iban", _iban(m, key))
         .when(k == "phone", _phone(m, key))
         .when(k == "ssn", _ssn(m, key))
         .when(k == "ip", _ip(m, key))

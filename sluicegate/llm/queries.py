@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import flat_graph, langid, line_dedup, mixing, pii, sentencepiece_codec, simhash, token_rollups, training_order, transport_stream
 from .common import cut, ensure_checkpoint_dir
 
-KEY = "sluicegate"
+#: The session setting of the pseudonyms' secret key, and what queries take where it is not set.
+KEY_SETTING, TEST_KEY = "spark.sluicegate.pii.key", "no secret, for tests only"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -93,7 +94,7 @@ def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with pseudonyms for personal numbers, dates and addresses."""
-    out = pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    out = pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, TEST_KEY))
     return out.select("doc_id", "text", F.col("_n_found").alias("n_found"), F.col("_n_replaced").alias("n_replaced"))
 
 

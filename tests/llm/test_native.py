@@ -234,3 +234,55 @@ def test_pseudonyms_of_nothing_and_clashing_columns(spark):
     r = pii.pseudonymise(df, "k").first()
     assert r.asDict().keys() == {"doc_id", "text", "found", "_new", "_n_found", "_n_replaced"}
     assert (r["found"], r["_new"], r["_n_found"]) == ("x", "y", 1)
+
+
+def iban_ok(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_bank_accounts_cards_in_groups_and_more_phones(spark):
+    # published example numbers
+    ibans = ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S"]
+    bad = ["GB82WEST12345698765431", "DE89370400440532013001"]
+    got = pseudonyms(spark, ibans + bad)
+    assert all(iban_ok(x) and x != v for x, v in zip(got, ibans)) and got[len(ibans) :] == bad
+    assert got[0].replace(" ", "") == got[1] and [c == " " for c in got[0]] == [c == " " for c in ibans[0]]
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "378282246310005"]
+    got = pseudonyms(spark, [*cards, "4111 1111 1111 1112"])
+    assert got[1].replace(" ", "") == got[0] == got[2].replace("-", "") and got[3].replace(" ", "") == got[4] and got[5] == "4111 1111 1111 1112"
+    assert all(luhn(re.sub("[ -]", "", x)) for x in got[:5])
+    phones = ["+1 (415) 555-2671", "(415) 555-2671", "415-555-2671", "415.555.2671", "+14155552671", "+442071838750"]
+    got = pseudonyms(spark, phones)
+    assert len({re.sub("[^0-9]", "", x.removeprefix("+1")) for x in got[:5]}) == 1 and got[0] != phones[0]
+    assert [re.sub("[0-9]", "9", x) for x in got] == [re.sub("[0-9]", "9", x) for x in phones] and got[5][:3] == "+44" != got[5]
+    ssn = ["001-01-0001", "899-99-9999", "665-12-3456", "667-12-3456", "000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000"]
+    got = pseudonyms(spark, ssn)
+    assert got[4:] == ssn[4:] and len({*got}) == 9
+    for x in got[:4]:
+        a, b, c = map(int, x.split("-"))
+        assert 1 <= a <= 899 and a != 666 and b and c
+
+
+def brute_pseudonyms(spark, texts, key):
+    """Python's own search, with every found value looked up one by one."""
+    found = {m for t in texts if t for m in re.findall(pii.ANY, t)}
+    told = dict(zip(sorted(found), pseudonyms(spark, sorted(found), key)))
+    return [None if t is None else re.sub(pii.ANY, lambda m: told[m[0]], t) for t in texts]
+
+
+def test_the_whole_query_equals_brute_force(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    want = dict(zip(texts, brute_pseudonyms(spark, list(texts.values()), queries.TEST_KEY)))
+    rows = queries.op10_pii_pseudonyms(spark, data).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == want
+    assert all(r["n_found"] == len(re.findall(pii.ANY, texts[r["doc_id"]] or "")) for r in rows)
+    assert sum(r["n_replaced"] for r in rows) > 0
+
+
+@pytest.mark.parametrize("piece,lead", [(".c", "a@b"), ("a", ""), ("a.", ""), ("1", ""), ("1 ", ""), ("1234-", ""), ("1.", ""), ("+1", ""), ("@", ""), ("a@", ""), ("GB82 ", ""), ("-", "a@b"), ("%", ""), ("(415) ", ""), ("A1", "GB82")])
+def test_very_long_texts_of_any_shape(spark, piece, lead):
+    text = lead + piece * (1_000_000 // len(piece))
+    r = pii.pseudonymise(spark.createDataFrame([(1, text), (2, text + " x@y.org")], "doc_id long, text string"), "k").collect()
+    assert r[0]["text"] == text or len(r[0]["text"]) == len(text)
+    assert len(r[1]["text"]) == len(text) + 8
