@@ -971,7 +971,7 @@ def tree_dump(spark, sf_dir):
     engine = Engine(spark, custom_parsers={"show": lambda ctx, node: dump(node)})
     d = {"delimiter": "|", "data_row_index": 1, "columns": columns("KEY", "NAME")}
     df = _nations(spark, sf_dir).select(F.lit("").alias("input_name"), F.regexp_extract("line", r"^[^|]*\|[^|]*", 0).alias("text"))
-    return ran(spark, schema("csv", obj(key=x("KEY", "int"), tree={"custom_parse": "show", "no_trim": True}), d), df).withColumn("key", F.col("key").cast("int"))
+    return ran(spark, schema("csv", obj(key=x("KEY", "int"), tree={"custom_parse": "show", "no_trim": True}), d), df, engine=engine).withColumn("key", F.col("key").cast("int"))
 
 
 @query("SELECT n_nationkey AS key, n_name || ' éü' AS name FROM nation")
