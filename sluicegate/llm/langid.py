@@ -2,7 +2,9 @@
 
 The kernel counts the n-grams, for all orders 1 to ``max_n``, that occur in
 both texts (presence, not frequency), divided by the geometric mean of the two
-texts' own counts.  Nystroem landmarks are labelled texts; a one-versus-rest
+texts' own counts of different n-grams, known to landmarks or not.  A text's
+own count is a linear count over hashed n-grams (its error is below 0.2 %).
+Nystroem landmarks are labelled texts; a one-versus-rest
 kernel ridge regression is solved on their feature space.  A text is scored
 through matrix products of its batch's presence matrix over the landmarks'
 n-grams with the landmarks' own presence matrix and the regression's weights.
@@ -10,6 +12,8 @@ n-grams with the landmarks' own presence matrix and the regression's weights.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -17,7 +21,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import slices
 
 UNKNOWN = "und"
+#: The presence matrix of a batch has no more cells than this.
+_CELLS = 1 << 24
 _TABLE_BITS = 22
+_COUNT_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,6 +85,22 @@ def grams(texts: list[str], max_n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_o), np.concatenate(out_h)
 
 
+def distinct(own: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
+    """How many different hashes each text has, by linear counting."""
+    size = 1 << _COUNT_BITS
+    seen, out = np.zeros(size, dtype=bool), np.zeros(texts)
+    order = np.argsort(own, kind="stable")  # the orders of n-grams follow one another
+    at = (h * _MIX >> np.uint64(64 - _COUNT_BITS)).astype(np.int32)[order]
+    ends = np.searchsorted(own[order], np.arange(texts + 1))
+    for i in range(texts):
+        part = at[ends[i] : ends[i + 1]]
+        seen[part] = True
+        ones = np.count_nonzero(seen)
+        out[i] = -size * np.log1p(-min(ones, size - 1) / size)
+        seen[part] = False
+    return out
+
+
 class Model:
     """What is broadcast: the landmarks' n-grams and the weights of each language."""
 
@@ -101,39 +124,44 @@ class Model:
         place[maybe[hit]] = at[hit]
         return place
 
-    def presence(self, texts: list[str]) -> np.ndarray:
+    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which n-grams of the vocabulary each text has, and the root of the number of all of its own."""
         out = np.zeros((len(texts), len(self.vocabulary)), dtype=np.float32)
+        own, h = grams(texts, self.max_n)
         if len(self.vocabulary):
-            own, h = grams(texts, self.max_n)
             place = self.lookup(h)
             hit = place >= 0
             out[own[hit], place[hit]] = 1
-        return out
+        return out, np.sqrt(np.maximum(distinct(own, h, len(texts)), 1))[:, None].astype(np.float32)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        p = self.presence(texts)
-        norm = np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+        p, norm = self.presence(texts)
         return (p @ self.weights) / norm + self.intercept
 
-    def predict(self, texts: list[str | None], batch_chars: int = 400_000) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    def decide(self, texts: list[str | None], batch_chars: int = 400_000) -> list[tuple[str, float, float]]:
+        """(language, its share after a softmax, its score in the regression) of each text."""
+        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, float("-inf"))] * len(texts)
         if not self.labels:
             return out
         todo = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+        most = max(1, min(256, _CELLS // max(1, len(self.vocabulary))))
         at = 0
         while at < len(todo):
             end, chars = at, 0
-            while end < len(todo) and (end == at or (chars < batch_chars and end - at < 256)):
+            while end < len(todo) and (end == at or (chars < batch_chars and end - at < most)):
                 chars += len(texts[todo[end]])
                 end += 1
-            s = self.scores([texts[i] for i in todo[at:end]]) * self.sharpness
-            e = np.exp(s - s.max(axis=1, keepdims=True))
+            raw = self.scores([texts[i] for i in todo[at:end]])
+            e = np.exp((raw - raw.max(axis=1, keepdims=True)) * self.sharpness)
             e /= e.sum(axis=1, keepdims=True)
-            for i, k, row in zip(todo[at:end], e.argmax(axis=1), e):
-                out[i] = (self.labels[k], float(row[k]))
+            for i, k, row, score in zip(todo[at:end], e.argmax(axis=1), e, raw):
+                out[i] = (self.labels[k], float(row[k]), float(score[k]))
             at = end
         return out
 
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [d[:2] for d in self.decide(texts)]
+
 
 def train(rows: list[tuple[str, str]], landmarks: int = 160, max_n: int = 4, ridge: float = 1e-2, sharpness: float = 12.0) -> Model:
     """Fit on (text, language) rows; landmarks are taken evenly from each language."""
@@ -150,8 +178,8 @@ def train(rows: list[tuple[str, str]], landmarks: int = 160, max_n: int = 4, rid
     model = Model(labels, max_n, vocabulary, np.zeros((0, 0), np.float32), np.zeros(0, np.float32), sharpness)
 
     def unit_presence(texts):
-        p = model.presence(texts)
-        return p / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+        p, norm = model.presence(texts)
+        return p / norm
 
     l_rows = unit_presence(marks)  # landmarks x vocabulary
     gram = (l_rows @ l_rows.T).astype(np.float64)
@@ -222,18 +250,25 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, model, id_col, text_col).select(id_col, F.coalesce(crc_held_out(F.col(id_col)), F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
-def keep(docs: DataFrame, model: Model, min_score: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is told with ``min_score`` or more; a null language is filled in."""
+def keep(docs: DataFrame, model: Model, least: float, short: int = 24, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose best score in the regression is ``least`` or more; a null language is filled in.
+
+    The score is 1 for a text like those of its language and -1 for one like
+    those of others; a text of few n-grams in common with any landmark comes
+    near the regression's intercepts.  Texts of fewer than ``short`` letters say
+    too little to be rejected by their score.  Null texts and those without a
+    letter go.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     text, lang = names.index(text_col), names.index(lang_col)
 
     def run(batches):
         for b in slices(batches):
-            got = shared.value.predict(b.column(text).to_pylist())
+            got = shared.value.decide(b.column(text).to_pylist())
             cols = list(b.columns)
             cols[lang] = pa.array([g[0] if own is None else own for own, g in zip(b.column(lang).to_pylist(), got)], pa.string())
             out = pa.RecordBatch.from_arrays(cols, names=names)
-            yield out.filter(pa.array([g[0] != UNKNOWN and g[1] >= min_score for g in got], pa.bool_()))
+            yield out.filter(pa.array([g[0] != UNKNOWN and (g[2] >= least or next(islice(filter(str.isalpha, t), short - 1, None), None) is None) for g, t in zip(got, b.column(text).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

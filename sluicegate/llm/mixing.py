@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, cut
 
-BUCKETS = 4096
+#: Rows of a bucket of the shuffled order and, at most, of a slice of the queue, on average; at least so many slices.
+BUCKET_ROWS, SLICE_ROWS, SLICES = 16_384, 4096, 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -51,79 +52,103 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
     )
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies, taken, first_time.
+def _planned(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, source, size, digest, nth, source_size, target, times): the finish times of the copies that the mix takes of each row.
 
-    ``copies`` (0 to ``max_repeats``) is how often the mix takes the document,
-    ``taken`` the words of these copies, ``first_time`` the first copy's
-    virtual finish time.  Null text: size 0, taken 0 words.  A null id or a
-    repeated id sorts by the same rule and is taken like any other row.  Rows
-    that tie in everything tie in the result.  Further columns are ignored.
+    ``nth`` numbers the rows that are equal in id, source, size and text.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
-    rows = cut(rows.withColumn("shuffle", digest).withColumn("bucket", F.conv(F.substring("shuffle", 1, 3), 16, 10).cast("int")))
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"))
+    rows = cut(rows.withColumn("shuffle", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))))
+    n_rows = rows.count()
+    buckets = max(16, n_rows // BUCKET_ROWS)
+    # ascending in the digest, so that buckets are ranges of the shuffled order
+    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("shuffle", 1, 12), 16, 10).cast("double") / float(1 << 48) * buckets).cast("long"))
     per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    per_source = targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_repeats)
+    per_source = cut(targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_repeats))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.withColumn("before", F.coalesce(F.sum("bucket_size").over(up_to), F.lit(0))).alias("b")
-    per_source = cut(per_source)
     placed = starts.join(per_source.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select(F.col("b.source").alias("source"), "bucket", "before", "source_size", "target").alias("p")
-    inner = Window.partitionBy("source", "bucket").orderBy("shuffle", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumn("own", F.sum("size").over(inner)).alias("r")
-    cum = summed.join(placed, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket"))).select("r.id", "r.source", "size", "shuffle", "source_size", "target", (F.col("before") + F.col("own")).alias("upto"))
+    order = ["shuffle", "id", "size", "digest"]
+    inner = Window.partitionBy("source", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    equal = Window.partitionBy("source", "bucket", *order).orderBy("own")
+    summed = rows.withColumn("own", F.sum("size").over(inner)).withColumn("nth", F.row_number().over(equal)).alias("r")
+    cum = summed.join(placed, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket"))).select("r.id", "r.source", "size", "digest", "nth", "shuffle", "source_size", "target", (F.col("before") + F.col("own")).alias("upto"))
     cum = cut(cum)
+    # a row with words is told from all others by its source and its cumulative words
     repeats = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("repeat")
     time = (F.col("repeat") * F.col("source_size") + F.col("upto")) / F.col("target")
     copies = cum.where("size > 0").select("id", "source", "size", "shuffle", "target", repeats, "source_size", "upto").withColumn("time", time)
     budget = F.lit(per_source.agg(F.sum("source_size")).first()[0] or 0).cast("long")
     # virtual time 1 is where all targets are met; a slice of time is a bucket of the global order
-    slice_ = F.when(F.col("time") < 2, F.floor(F.col("time") * BUCKETS)).otherwise(2 * BUCKETS - 2 + F.floor("time")).cast("long")
+    slices_ = max(SLICES, n_rows // SLICE_ROWS)
+    slice_ = F.when(F.col("time") < 2, F.floor(F.col("time") * slices_)).otherwise(2 * slices_ - 2 + F.floor("time")).cast("long")
     copies = copies.withColumn("slice", slice_)
     per_slice = copies.groupBy("slice").agg(F.sum("size").alias("slice_size"))
     slices = per_slice.withColumn("past", F.coalesce(F.sum("slice_size").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     slices = slices.where(F.col("past") < budget).select("slice", "past", (F.col("past") + F.col("slice_size") <= budget).alias("inside"))
     slices = cut(slices)
-    whole = copies.join(slices.where("inside").select("slice"), "slice").select("id", "source", "shuffle", "size", "time")
+    whole = copies.join(slices.where("inside").select("slice"), "slice").select("source", "upto", "time")
     edge_rows = copies.join(slices.where("not inside").select("slice", "past"), "slice")
-    edge_order = Window.partitionBy("slice").orderBy("time", "shuffle", F.col("source").isNull(), "source", "repeat", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge_rows.withColumn("upto_all", F.col("past") + F.sum("size").over(edge_order)).where(F.col("upto_all") <= budget).select("id", "source", "shuffle", "size", "time")
-    took = whole.union(edge).groupBy("id", "source", "size").agg(F.count("*").alias("n"), F.min("time").alias("first_time"))
-    same = cum.groupBy("id", "source", "size").agg(F.count("*").alias("rows"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    c, t = same.alias("c"), took.alias("t")
-    joined = c.join(t, F.col("c.id").eqNullSafe(F.col("t.id")) & F.col("c.source").eqNullSafe(F.col("t.source")) & (F.col("c.size") == F.col("t.size")), "left")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    # equal rows share the copies evenly, the first ones one more
-    return joined.select("c.id", "c.source", "c.size", "source_size", "target", n.alias("n"), "rows", "first_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("nth")).select(
-        F.col("id").alias(id_col),
-        F.col("source").alias(source_col),
-        "size",
-        "source_size",
-        "target",
-        (F.floor(F.col("n") / F.col("rows")) + (F.col("nth") <= F.col("n") % F.col("rows")).cast("long")).alias("copies"),
-        "first_time",
-    ).withColumn("taken", F.col("copies") * F.col("size"))
+    edge_order = Window.partitionBy("slice").orderBy("time", "shuffle", F.col("source").isNull(), "source", "repeat", "id", "size", "upto").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge_rows.withColumn("upto_all", F.col("past") + F.sum("size").over(edge_order)).where(F.col("upto_all") <= budget).select("source", "upto", "time")
+    took = whole.union(edge).groupBy("source", "upto").agg(F.array_sort(F.collect_list("time")).alias("times")).alias("t")
+    c = cum.withColumn("key", F.when(F.col("size") > 0, F.col("upto"))).alias("c")
+    joined = c.join(took, F.col("c.source").eqNullSafe(F.col("t.source")) & (F.col("c.key") == F.col("t.upto")), "left")
+    return joined.select("c.id", "c.source", "c.size", "c.digest", "c.nth", "c.source_size", "c.target", F.coalesce("t.times", F.array().cast("array<double>")).alias("times"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = True) -> DataFrame:
-    """The mixed documents themselves, with all their columns, a row for each copy.
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: id, source, size, source_size, target, copies, taken, first_time.
 
-    In ``ordered`` form the rows are range-sorted by virtual finish time of
-    the document's first copy.  A document of no words is in no mix.
+    ``copies`` (0 to ``max_repeats``) is how often the mix takes the document,
+    ``taken`` the words of these copies, ``first_time`` the first copy's
+    virtual finish time.  Null text: size 0, taken 0 words.  A null id or a
+    repeated id sorts by the same rule and is taken like any other row.  Of
+    rows that are equal in id, source and text each has a place of its own in
+    the order.  Further columns are ignored.
     """
-    p = plan(docs, weights, max_repeats, id_col, text_col, source_col).where("copies > 0").select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"), F.col("first_time").alias("_time")
+    n = F.size("times").cast("long")
+    return _planned(docs, weights, max_repeats, id_col, text_col, source_col).select(
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", n.alias("copies"), F.get("times", F.lit(0)).alias("first_time"), (n * F.col("size")).alias("taken")
     )
-    p = p.groupBy("_id", "_source", "_size").agg(F.max("_copies").alias("_copies"), F.min("_time").alias("_time"))
-    row = docs.select(F.struct("*").alias("row"))
-    own = row.join(
-        p,
-        F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("_id")) & F.col(f"row.{source_col}").eqNullSafe(F.col("_source")) & (word_count(F.col(f"row.{text_col}")) == F.col("_size")),
-    )
-    own = own.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = True) -> DataFrame:
+    """The mixed documents themselves, with all their columns, a row for each copy that ``plan`` takes.
+
+    In ``ordered`` form the rows are range-sorted by the virtual finish time of
+    each copy.  A document of no words is in no mix.  Rows that are equal in
+    id, source and text are numbered, each takes the copies of its own number.
+    """
+    planned = cut(_planned(docs, weights, max_repeats, id_col, text_col, source_col).where("size > 0"))
+    key = ["_id", "_source", "_size", "_digest"]
+    p = planned.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("digest").alias("_digest"), F.col("nth").alias("_nth"), F.col("times").alias("_times"))
+    text = F.col(f"row.{text_col}")
+    own = docs.select(F.struct("*").alias("row")).select("row", F.col(f"row.{id_col}").cast("long").alias("_id"), F.col(f"row.{source_col}").alias("_source"), word_count(text).alias("_size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_digest"))
+
+    def same(a, b, cols):
+        found = F.lit(True)
+        for c in cols:
+            found = found & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+        return found
+
+    def with_times(some, picked, cols):
+        return some.alias("o").join(picked.alias("p"), same("o", "p", cols)).select("o.row", "o._id", F.explode("p._times").alias("_time"))
+
+    twice = p.where("_nth = 2").select(*key)
+    if twice.isEmpty():
+        out = with_times(own, p.where(F.size("_times") > 0), key)
+    else:
+        mark = twice.withColumn("_more", F.lit(True))
+        told = own.alias("o").join(mark.alias("m"), same("o", "m", key), "left").select("o.*", "m._more")
+        once = told.where("_more is null").drop("_more").withColumn("_nth", F.lit(1))
+        # only rows that come more than once are sorted to be numbered
+        several = told.where("_more").drop("_more").withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row"))))
+        out = with_times(once.union(several), p.where(F.size("_times") > 0), [*key, "_nth"])
     if ordered:
-        own = own.repartitionByRange("_time", "_id").sortWithinPartitions("_time", "_id", "_nth")
-    return own.select("row.*")
+        out = out.repartitionByRange("_time", "_id").sortWithinPartitions("_time", "_id")
+    return out.select("row.*")
 
 
 ORACLE = r"""

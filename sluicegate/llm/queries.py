@@ -39,18 +39,22 @@ def op3_kernel_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals by source, language and tokenizer version after three batches and a replay.
+    """Token totals by source, language and tokenizer version after three batches and two replays.
 
-    All documents enter with their word counts, then every count is revised to
-    the tokenizer's; a replay of either batch changes nothing.
+    All documents enter with their word counts, every count is revised to the
+    tokenizer's, documents without a word are deleted; a replay, before or
+    after a compaction, changes nothing.
     """
     counts = cut(token_rollups.count_tokens(_read(spark, sf_dir, "documents")))
     rollup = token_rollups.Rollup(spark, _shared(spark, "rollup"))
     load = token_rollups.inserts(counts, "words", "n_words")
     revise = token_rollups.revisions(counts, "words", "n_words", "byte_bpe_50k", "n_tokens")
+    drop = token_rollups.deletes(counts.where("n_words = 0"), "byte_bpe_50k", "n_tokens")
     for batch, rows in (("load", load), ("revise", revise), ("load", load)):
         rollup.commit(batch, rows)
     rollup.compact()
+    for batch, rows in (("revise", revise), ("drop", drop)):
+        rollup.commit(batch, rows)
     return rollup.totals()
 
 
@@ -83,7 +87,9 @@ def op7_training_order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and features of every text stored as an MPEG transport stream and read back."""
-    return transport_stream.summary(_read(spark, sf_dir, "documents"))
+    path = _shared(spark, "media")
+    transport_stream.store(_read(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    return transport_stream.summary(spark.read.parquet(path))
 
 
 def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

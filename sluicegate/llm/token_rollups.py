@@ -4,18 +4,24 @@ A batch is a set of signed rows (source, lang, tokenizer, docs, tokens): +1
 for an inserted document, -1 for a deleted one, and -1 with the old and +1
 with the new count for a revised one.  A batch is folded to its sums and
 written as one folder named by its id; Spark's commit marker makes it visible.
-Committing an id again changes nothing.  Totals are the sums over all
-committed batches, or over the last compaction and the batches after it.
+Committing an id again changes nothing.  Totals are the sums over the last
+compaction and the batches after it.
+
+A compaction writes a new base with the list of the batches that it took in,
+and then moves their folders to ``merged``; what broke off between the two is
+finished by the next one.  So what is listed, read and held on the driver grows
+with the batches since the last compaction, not with all there ever were.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WORD
+from .common import WORD, slices
 from .tokenizers import FOLDER, byte_bpe
 
 KEYS = ["source", "lang", "tokenizer_version"]
@@ -28,7 +34,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", fol
 
     def run(batches):
         enc = byte_bpe(vocabulary, folder)
-        for b in batches:
+        for b in slices(batches):
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=out.names)
 
@@ -75,45 +81,60 @@ class Rollup:
         names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
         return sorted(n for n in names if n.startswith(f"{kind}-") and self._done(n))
 
+    @staticmethod
+    def _merged(batch: str) -> str:
+        return f"merged/{zlib.crc32(batch.encode()) % 256:02x}/{batch}"
+
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add a batch once; False if it was there already."""
         if not re.fullmatch(r"[A-Za-z0-9_.]+", batch_id):
             raise ValueError(f"bad batch id {batch_id!r}")
-        if self._done(f"batch-{batch_id}") or batch_id in self._compacted():
+        name = f"batch-{batch_id}"
+        if self._done(name) or self._done(self._merged(name)):
             return False
         sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id}")
+        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}")
         return True
 
-    def _base(self) -> list[str]:
-        return self._folders("base")[-1:]
+    def _state(self) -> tuple[list[str], list[str], list[str]]:
+        """(the base, if any; its batches that weren't moved yet; batches after it)."""
+        bases = self._folders("base")[-1:]
+        batches = self._folders("batch")
+        inside = set()
+        if bases and batches:  # the list is of one compaction's batches
+            inside = {r["batch"] for r in self.spark.read.parquet(f"{self.path}/{bases[0].replace('base-', 'members-')}").collect()}
+        return bases, [b for b in batches if b in inside], [b for b in batches if b not in inside]
 
-    def _compacted(self) -> set[str]:
-        found = self._base()
-        if not found:
-            return set()
-        return {r["batch"] for r in self.spark.read.parquet(f"{self.path}/{found[0].replace('base-', 'merged-')}").collect()}
+    def _rows(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders])
 
-    def _rows(self) -> tuple[DataFrame | None, list[str]]:
-        merged = self._compacted()
-        batches = [f for f in self._folders("batch") if f.removeprefix("batch-") not in merged]
-        paths = [f"{self.path}/{f}" for f in self._base() + batches]
-        return (self.spark.read.parquet(*paths) if paths else None), sorted(merged | {f.removeprefix("batch-") for f in batches})
+    def _move(self, batches: list[str]) -> None:
+        for b in batches:
+            fs, to = self._fs(f"{self.path}/{self._merged(b)}")
+            fs.mkdirs(to.getParent())
+            if not fs.rename(self._fs(f"{self.path}/{b}")[1], to):
+                raise OSError(f"can't move {b}")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens; groups at zero are left out."""
-        rows, _ = self._rows()
-        if rows is None:
+        base, _, after = self._state()
+        if not base + after:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long")
+        rows = self._rows(base + after)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into a new base; readers see the old or the new one."""
-        rows, batches = self._rows()
-        if rows is None:
+        """Fold the batches since the last base into a new one; readers see the old or the new one."""
+        base, inside, after = self._state()
+        self._move(inside)
+        if not after:
             return
-        n = len(self._folders("base"))
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/merged-{n:08d}")
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base-{n:08d}")
+        n = 1 + int(base[0].removeprefix("base-")) if base else 0
+        self.spark.createDataFrame([(b,) for b in after], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/members-{n:08d}")
+        sums = self._rows(base + after).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums.where("n_docs <> 0 or n_tokens <> 0").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base-{n:08d}")
+        self._move(after)
+        for kind in ("base", "members"):  # the last base stays for those who read it now
+            fs, p = self._fs(f"{self.path}/{kind}-{n - 2:08d}")
+            fs.delete(p, True)

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import slices
+
 PACKET, SYNC, PMT_PID, ES_PID, STREAM_ID, STREAM_TYPE = 188, 0x47, 0x1000, 0x0100, 0xBD, 0x06
 UNIT, TICKS = 16_384, 3003
 
@@ -60,12 +62,12 @@ def write(payload: bytes, unit: int = UNIT, rap_every: int = 4) -> bytes:
     for k, at in enumerate(range(0, max(len(payload), 1), unit)):
         data = payload[at : at + unit]
         pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(k * TICKS) + data
-        flag = 0x40 if k % rap_every == 0 else 0
-        # the first packet has an adaptation field with the random-access flag
-        room = 182
+        # a random-access point's first packet has its flag and the clock reference in the adaptation field
+        flag, clock = (0x50, (k * TICKS << 15 | 0x7E00).to_bytes(6, "big")) if k % rap_every == 0 else (0, b"")
+        room = 182 - len(clock)
         head = pes[:room]
         fill = room - len(head)
-        out.append(bytes([SYNC, 0x40 | ES_PID >> 8, ES_PID & 0xFF, 0x30 | counter, 1 + fill, flag]) + b"\xff" * fill + head)
+        out.append(bytes([SYNC, 0x40 | ES_PID >> 8, ES_PID & 0xFF, 0x30 | counter, 1 + len(clock) + fill, flag]) + clock + b"\xff" * fill + head)
         counter = counter + 1 & 15
         rest = pes[room:]
         full = len(rest) // 184
@@ -93,6 +95,7 @@ class Stream:
     stamps: list[int] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)
     offsets: list[int] = field(default_factory=list)
+    clocks: list[int] = field(default_factory=list)
     packets: int = 0
     program: int = -1
     stream_type: int = -1
@@ -223,6 +226,9 @@ def _read(s: Stream, view: np.ndarray, pids: np.ndarray) -> None:
         rows, adapted = own[b:e], control[b:e] == 3
         if adapted[0] and rows[0, 4] and rows[0, 5] & 0x40:
             s.random_access.append(len(s.stamps))
+        for row in rows[adapted & (rows[:, 4] >= 7) & (rows[:, 5] & 0x10 > 0)]:
+            at = int.from_bytes(row[6:12].tobytes(), "big")
+            s.clocks.append((at >> 15) * 300 + (at & 0x1FF))
         pieces, last = [], 0
         for k in np.flatnonzero(adapted):
             pieces += [rows[last:k, 4:].tobytes(), rows[k, 5 + int(rows[k, 4]) :].tobytes()]
@@ -246,13 +252,13 @@ def _read(s: Stream, view: np.ndarray, pids: np.ndarray) -> None:
 
 
 def features(s: Stream) -> str:
-    """A summary: units, random-access points (the first four and a digest of all), timestamps, packets, and the payload's moments."""
+    """A summary: units, all random-access points and clock references (by digest), timestamps, packets, and the payload's moments."""
     x = np.frombuffer(s.payload, dtype=np.uint8)
     total = int(x.sum(dtype=np.int64))
-    square = int((x.astype(np.int64) ** 2).sum()) if len(x) < 1 << 20 else sum(int((x[i : i + (1 << 20)].astype(np.int64) ** 2).sum()) for i in range(0, len(x), 1 << 20))
-    raps = ",".join(f"{s.stamps[i]}@{s.offsets[i]}" for i in s.random_access[:4]) + (",..." if len(s.random_access) > 4 else "")
-    digest = zlib.crc32(",".join(f"{s.stamps[i]}@{s.offsets[i]}" for i in s.random_access).encode())
-    return f"prog={s.program};type={s.stream_type};units={len(s.stamps)};rap={len(s.random_access)};points={raps};points_crc32={digest};last_pts={max(s.stamps, default=-1)};packets={s.packets};gaps={s.gaps};sum={total};sumsq={square};errors={'|'.join(s.errors)}"
+    square = sum(int((x[i : i + (1 << 20)].astype(np.int64) ** 2).sum()) for i in range(0, len(x), 1 << 20))
+    points = zlib.crc32(",".join(f"{s.stamps[i]}@{s.offsets[i]}" for i in s.random_access).encode())
+    clocks = zlib.crc32(",".join(map(str, s.clocks)).encode())
+    return f"prog={s.program};type={s.stream_type};units={len(s.stamps)};rap={len(s.random_access)};points_crc32={points};clocks={len(s.clocks)};clocks_crc32={clocks};last_pts={max(s.stamps, default=-1)};packets={s.packets};gaps={s.gaps};sum={total};sumsq={square};errors={'|'.join(s.errors)}"
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -266,9 +272,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = part.schema[0].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                c = b.slice(i, 512)
+        for c in slices(batches):
+            if c.num_rows:
                 pads = [padded(t) for t in c.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array([n for _, n in pads], pa.int64()), pa.array([write(p) for p, _ in pads], pa.binary())], names=["id", "n_bytes", "media"])
 
@@ -281,38 +286,39 @@ def probe(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("
     Null, empty and broken streams give empty lists and the error's name.
     """
     part = media.select(*keep, F.col(media_col).alias("_media"))
-    parsed = T.StructType.fromDDL("program int, stream_type int, pid int, payload binary, stamps array<bigint>, random_access array<int>, offsets array<bigint>, packets bigint, gaps bigint, errors array<string>")
+    parsed = T.StructType.fromDDL("program int, stream_type int, pid int, payload binary, stamps array<bigint>, random_access array<int>, offsets array<bigint>, clocks array<bigint>, packets bigint, gaps bigint, errors array<string>")
     out = T.StructType([*part.drop("_media").schema.fields, *parsed.fields])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             each = [parse_all(m) for m in b.column(b.num_columns - 1).to_pylist()]
             got = [g for streams in each for g in streams]
             b = b.take(pa.array([i for i, streams in enumerate(each) for _ in streams], pa.int64()))
             numbers = [pa.array([getattr(g, c) for g in got], pa.int32()) for c in ("program", "stream_type", "pid")]
-            cols = [*numbers, pa.array([g.payload for g in got], pa.binary()), pa.array([g.stamps for g in got], pa.list_(pa.int64())), pa.array([g.random_access for g in got], pa.list_(pa.int32())), pa.array([g.offsets for g in got], pa.list_(pa.int64())), pa.array([g.packets for g in got], pa.int64()), pa.array([g.gaps for g in got], pa.int64()), pa.array([g.errors for g in got], pa.list_(pa.string()))]
+            cols = [*numbers, pa.array([g.payload for g in got], pa.binary()), pa.array([g.stamps for g in got], pa.list_(pa.int64())), pa.array([g.random_access for g in got], pa.list_(pa.int32())), pa.array([g.offsets for g in got], pa.list_(pa.int64())), pa.array([g.clocks for g in got], pa.list_(pa.int64())), pa.array([g.packets for g in got], pa.int64()), pa.array([g.gaps for g in got], pa.int64()), pa.array([g.errors for g in got], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=out.names)
 
     return part.mapInArrow(run, out)
 
 
-def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with the digests of its payload, as read back from the stored stream."""
-    part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def summary(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per row of ``store``'s table with the digests of its stream and of the payload that is read back from it.
+
+    A stream that can't be read has an empty payload and its errors in ``feature``.
+    """
+    part = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
     kind = part.schema[0].dataType.simpleString()
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
-    def one(text):
-        payload, n = padded(text)
-        media = write(payload)
+    def one(media):
         s = parse(media)
-        return n, len(s.payload), sha(s.payload), zlib.crc32(s.payload[-64:]), len(media), sha(media), features(s)
+        return len(s.payload), sha(s.payload), zlib.crc32(s.payload[-64:]), len(media or b""), sha(media or b""), features(s)
 
     def run(batches):
-        for b in batches:
-            rows = list(zip(*map(one, b.column(1).to_pylist()))) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(r), k) for r, k in zip(rows, kinds))], names=names)
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        for b in slices(batches):
+            rows = list(zip(*map(one, b.column(2).to_pylist()))) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(r), k) for r, k in zip(rows, kinds))], names=names)
 
     return part.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)

@@ -122,6 +122,7 @@ def test_streams_round_trip(size, unit, rap, start):
     assert s.stamps == [k * ts.TICKS for k in range(n)]
     assert s.random_access == list(range(0, n, rap))
     assert s.offsets == [k * unit for k in range(n)]
+    assert s.clocks == [k * ts.TICKS * 300 for k in range(0, n, rap)]
     assert (s.program, s.stream_type, s.pid) == (1, ts.STREAM_TYPE, ts.ES_PID)
 
 
@@ -228,4 +229,6 @@ def test_media_query_equals_its_definition(spark, data):
         media = ts.write(whole)
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
         assert by_text.setdefault(texts[r["doc_id"]], r["feature"]) == r["feature"]
-    assert ts.summary(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert ts.summary(ts.store(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+    broken = spark.createDataFrame([(1, 0, b"\x47"), (2, 0, None)], "doc_id long, n_bytes long, media binary")
+    assert [(r["payload_bytes"], r["feature"].endswith("errors=length")) for r in ts.summary(broken).collect()] == [(0, True)] * 2

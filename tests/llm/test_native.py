@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import re
 
 import duckdb
@@ -92,6 +93,55 @@ def test_mix_edge_cases(spark):
     assert mixing.mix(spark.createDataFrame([], DOC)).collect() == []
 
 
+def brute_mix(rows, most=3):
+    """(id, text) of all copies in the queue's order, as (time, id, text); rows are (id, text, source)."""
+    size = lambda t: len((t or "").split())
+    digest = lambda r: hashlib.md5(b"" if r[0] is None else str(r[0]).encode()).hexdigest()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    target = filled(sizes)
+    queue = []
+    for s in sizes:
+        upto = 0
+        own = sorted((r for r in rows if r[2] == s), key=lambda r: (digest(r), r[0] or 0, size(r[1])))
+        for r in own:
+            upto += size(r[1])
+            queue += [((k * sizes[s] + upto) / target[s], digest(r), r) for k in range(most) if size(r[1])]
+    out, words = [], 0
+    for time, _, r in sorted(queue, key=lambda q: q[:2]):
+        words += size(r[1])
+        if words > sum(sizes.values()):
+            break
+        out.append((time, r[0], r[1]))
+    return out
+
+
+def test_mix_and_plan_equal_the_queue_by_brute_force(spark):
+    rows = [(i, " ".join(["w"] * (1 + 37 * i % 50)), "abc"[i * i % 3]) for i in range(60)]
+    want = brute_mix(rows)
+    df = spark.createDataFrame(rows, DOC)
+    assert sorted((r["doc_id"], r["text"]) for r in mixing.mix(df).collect()) == sorted(w[1:] for w in want)
+    times = {}
+    for time, i, _ in want:
+        times.setdefault(i, []).append(time)
+    order = [times[r["doc_id"]].pop(0) for r in mixing.mix(df).collect()]  # each copy stands at its own finish time
+    assert order == sorted(order)
+    taken = {r["doc_id"]: r["copies"] for r in mixing.plan(df).collect()}
+    assert taken == {i: sum(w[1] == i for w in want) for i, *_ in rows}
+
+
+def test_equal_rows_and_equal_ids_are_taken_as_planned(spark):
+    rows = [(1, "a b", "s"), (1, "c d", "s"), (1, "e f", "s"), (2, "same text here", "t"), (2, "same text here", "t"), (2, "same text here", "t"), (None, "q r", "t"), (None, "q r", "t"), (3, "u", "u")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], DOC + ", no int")
+    planned = sorted((r["doc_id"] or 0, r["source"], r["size"], r["copies"]) for r in mixing.plan(df).collect())
+    got = {}
+    for r in mixing.mix(df).collect():
+        got[r["no"]] = got.get(r["no"], 0) + 1
+    assert sorted((i or 0, s, len(t.split()), got.get(k, 0)) for k, (i, t, s) in enumerate(rows)) == planned
+    assert sum(r[2] * r[3] for r in planned) <= sum(len(t.split()) for _, t, _ in rows)
+
+
 def test_mix_returns_the_documents_with_all_their_columns(spark):
     df = spark.createDataFrame([(i, f"w{i} x y", "ab"[i % 2], i * 10, "t") for i in range(20)], DOC + ", _time long, _nth string")
     out = mixing.mix(df)

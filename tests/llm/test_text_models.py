@@ -32,15 +32,58 @@ def presence(text, n):
 def test_scores_are_the_kernel_machines(spark):
     model = langid.train(ROWS, landmarks=6, max_n=3)
     vocabulary = set().union(*(presence(t, 3) for t, _ in ROWS))
-    p = model.presence([t for t, _ in ROWS])
+    p, norm = model.presence([t for t, _ in ROWS])
     assert p.shape[1] == len(vocabulary)
-    for row, (t, _) in zip(p, ROWS):
+    for row, root, (t, _) in zip(p, norm, ROWS):
         assert row.sum() == len(presence(t, 3))
+        assert root[0] ** 2 == pytest.approx(len(presence(t, 3)), rel=1e-3)
     # the kernel of two texts: common n-grams over the geometric mean of their own
     a, b = ROWS[0][0], ROWS[1][0]
     want = len(presence(a, 3) & presence(b, 3)) / np.sqrt(len(presence(a, 3)) * len(presence(b, 3)))
-    q = p / np.sqrt(p.sum(axis=1, keepdims=True))
-    assert q[0] @ q[1] == pytest.approx(want, rel=1e-5)
+    q = p / norm
+    assert q[0] @ q[1] == pytest.approx(want, rel=1e-3)
+    # the same for texts with n-grams that no landmark has
+    new = "the hound jumped over six quick foxes"
+    p2, norm2 = model.presence([new])
+    want = len(presence(a, 3) & presence(new, 3)) / np.sqrt(len(presence(a, 3)) * len(presence(new, 3)))
+    assert float((p2 / norm2)[0] @ q[0]) == pytest.approx(want, rel=1e-3)
+
+
+def brute_scores(rows, texts, n=3, ridge=1e-2):
+    """Kernel ridge regression over all texts as landmarks, from sets of n-grams."""
+    rows = sorted(rows)
+    sets = [presence(t, n) for t, _ in rows]
+    marks = []  # each text once
+    for y in sorted({y for _, y in rows}):
+        marks += [s for s, (_, l) in zip(sets, rows) if l == y]
+    k = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    gram = np.array([[k(a, b) for b in marks] for a in marks])
+    val, vec = np.linalg.eigh(gram)
+    good = val > 1e-6 * val.max()
+    white = vec[:, good] / np.sqrt(val[good])
+    phi = lambda s: np.array([k(s, m) for m in marks]) @ white
+    x, labels = np.array([phi(s) for s in sets]), sorted({y for _, y in rows})
+    y = np.array([[1.0 if l == c else -1.0 for c in labels] for _, l in rows])
+    mx, my = x.mean(0), y.mean(0)
+    beta = np.linalg.solve((x - mx).T @ (x - mx) + ridge * len(rows) * np.eye(x.shape[1]), (x - mx).T @ (y - my))
+    return labels, np.array([(phi(presence(t, n)) - mx) @ beta + my for t in texts])
+
+
+def test_scores_equal_brute_force():
+    rows = ROWS[:6]
+    texts = ["the dog and the cat", "ein Hund im Haus", "la table et le chien", "nothing of these"]
+    model = langid.train(rows, landmarks=6, max_n=3)
+    labels, want = brute_scores(rows, texts)
+    assert model.labels == labels
+    assert np.abs(model.scores(texts) - want).max() < 5e-3
+
+
+def test_long_texts_are_counted_whole():
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz "], size=300_000))
+    own, h = langid.grams([text, "short"], 4)
+    got = langid.distinct(own, h, 2)
+    assert got[0] == pytest.approx(len(presence(text, 4)), rel=5e-3) and got[1] == pytest.approx(len(presence("short", 4)), rel=1e-3)
 
 
 def test_training_texts_are_told_apart():
@@ -101,11 +144,29 @@ def test_predictions_use_the_text_only(spark, data):
 
 def test_keep_fills_in_the_language_and_rejects_the_rest(spark):
     df = spark.createDataFrame([(1, "the dog of the house", None), (2, None, "en"), (3, "123", "en"), (4, "le chat est sur la", "fr")], "doc_id long, text string, lang string")
-    out = langid.keep(df, langid.train(ROWS, landmarks=6), 0.0)
+    out = langid.keep(df, langid.train(ROWS, landmarks=6), -1.0)
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect())) == [(1, "the dog of the house", "en"), (4, "le chat est sur la", "fr")]
 
 
+UNLEARNED = {
+    "ru": "все люди рождаются свободными и равными в своем достоинстве и правах", "el": "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια", "fi": "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+    "tr": "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar", "zh": "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系", "sw": "watu wote wamezaliwa huru hadhi na haki zao ni sawa wote",
+}
+
+
+def test_the_pipeline_rejects_unlearned_languages_and_keeps_clean_documents(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = [(1_000_000 + i, t, None, "s", len(t)) for i, t in enumerate([*UNLEARNED.values(), "ok", "12 34", "x" * 200])]
+    both = docs.union(spark.createDataFrame(foreign, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, both, "").collect()}
+    assert {i for i in kept if i >= 1_000_000} == {1_000_000 + len(UNLEARNED)}  # "ok" is too short to tell
+    lettered = {r["doc_id"] for r in docs.collect() if r["text"] and any(map(str.isalpha, r["text"]))}
+    assert len(lettered - kept) <= 0.002 * len(lettered)
+
+
 # --- SentencePiece ----------------------------------------------------------
 
 
@@ -235,6 +296,27 @@ def test_a_batch_that_broke_off_is_not_seen_and_can_be_written_again(spark, tmp_
     assert sum(n for n, _ in totals(r).values()) == len(DOCS)
 
 
+def test_compactions_take_in_new_batches_only_and_go_on_where_one_broke_off(spark, tmp_path):
+    path = tmp_path / "rollup"
+    r = token_rollups.Rollup(spark, str(path))
+    load = token_rollups.inserts(counted(spark, DOCS), "v1", "n_words").cache()
+    for k in range(4):
+        assert r.commit(f"b{k}", load)
+        r.compact()
+    assert not list(path.glob("batch-*")) and len(list(path.glob("base-*"))) == 2
+    assert sum(n for n, _ in totals(r).values()) == 4 * len(DOCS)
+    assert not any(r.commit(f"b{k}", load) for k in range(4))
+    r.commit("b4", load)
+    move, r._move = r._move, lambda batches: None
+    r.compact()  # breaks off before the folders are moved
+    assert list(path.glob("batch-*")) and sum(n for n, _ in totals(r).values()) == 5 * len(DOCS)
+    assert not r.commit("b4", load)
+    r._move = move
+    r.commit("b5", load)
+    r.compact()
+    assert not list(path.glob("batch-*")) and sum(n for n, _ in totals(r).values()) == 6 * len(DOCS)
+
+
 def test_empty_batches(spark, tmp_path):
     r = token_rollups.Rollup(spark, str(tmp_path / "rollup"))
     assert r.commit("none", token_rollups.inserts(counted(spark, DOCS).limit(0), "v1"))
@@ -245,6 +327,8 @@ def test_rollup_query_equals_direct_sums(spark, data):
     enc = byte_bpe()
     want = {}
     for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        if not (r["text"] or "").split():
+            continue  # deleted by the last batch
         k = (r["source"], r["lang"], "byte_bpe_50k")
         n, t = want.get(k, (0, 0))
         want[k] = (n + 1, t + len(enc.encode_ordinary(r["text"] or "")))
