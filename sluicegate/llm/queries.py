@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, one per operator (op7 has two), and their SQL."""
+"""The registered queries of this subpackage, one per operator, and their SQL."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from .common import cut, ensure_checkpoint_dir
 
 #: The session setting of the pseudonyms' secret key, and what queries take where it is not set.
 KEY_SETTING, TEST_KEY = "spark.sluicegate.pii.key", "no secret, for tests only"
+#: Token ids of a sequence; ids of the vocabulary of 50,256 take two bytes each.
+SEQ_LEN = 512
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,19 +71,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence's global slot, as read back from the written shards."""
-    path = _shared(spark, "shards")
-    training_order.materialise(_read(spark, sf_dir, "documents"), path, key=20_240_229)
-    back = training_order.read_slots(spark, path)
-    return back.select("slot", F.col("id").alias("doc_id"), "seq", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
-
-
-def op7_training_order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the byte-level vocabulary's ids, tokenised once into a written table."""
+    """Every sequence of token ids with its global slot, as read back from the written shards."""
     table, path = _shared(spark, "ids"), _shared(spark, "shards")
-    training_order.tokenise(_read(spark, sf_dir, "documents"), table)
-    training_order.materialise(spark.read.parquet(table), path, key=20_240_229, ids_col="ids")
-    back = training_order.read_slots(spark, path, width=4)
+    training_order.tokenise(_read(spark, sf_dir, "documents"), table, SEQ_LEN)
+    training_order.materialise(spark, table, path, key=20_240_229, seq_len=SEQ_LEN, width=2)
+    back = training_order.read_slots(spark, path)
     return back.select("slot", F.col("id").alias("doc_id"), "seq", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
 
 
@@ -114,7 +108,6 @@ QUERIES = {
         op5_fair_queue_mix,
         op6_sentencepiece,
         op7_training_order,
-        op7_training_order_ids,
         op8_transport_stream,
         op9_line_windows,
         op10_pii_pseudonyms,

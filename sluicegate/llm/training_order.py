@@ -1,22 +1,30 @@
 """Training-order materialisation of token ids as fixed-stride shards.
 
-Texts are cut to sequences of at most ``seq_len`` token ids.  The sequences
-are numbered densely, a keyed Feistel permutation with cycle-walking gives
-each number its global slot, and slots are written in order as records of one
-fixed length, so record k of a shard starts at k times the stride.  A reader
-that stopped at a slot goes on from there by seeking.
+Token ids are cut to sequences of at most ``seq_len``.  ``tokenise`` writes them
+as a table in which every row holds its part and the number of sequences before
+it in that part, so a sequence's number is fixed by what is written and not by
+how it is scanned.  A keyed Feistel permutation with cycle-walking gives each
+number its global slot.  ``materialise`` sorts ranges of slots and writes raw
+files: shard k holds the slots from k times ``shard_rows``, record i of it begins
+at i times the stride.  A reader that stopped at a slot goes on by seeking.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import slices
 from .tokenizers import FOLDER, byte_bpe
 
+MANIFEST = "manifest.json"
 HEAD = 16  # int64 document id, int32 sequence number, int32 tokens
 
 
@@ -43,126 +51,189 @@ def permute(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.nda
     return out.astype(np.int64)
 
 
-def tokenise(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = FOLDER, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write (id, ids) of each whole text below ``path``, a table that can be scanned again; null gives null."""
-    part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = part.schema[0].dataType.simpleString()
+def number(rows: DataFrame, path: str, seq_len: int, id_col: str = "doc_id", ids_col: str = "ids") -> None:
+    """Write (part, before, id, ids) of a table of token ids below ``path``.
 
-    def run(batches):
+    ``before`` counts the sequences of the part's earlier rows.  Null and empty
+    arrays have no sequence and no row; a null id is written as -1.
+    """
+    part = rows.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).where(F.size("ids") > 0)
+    part.mapInArrow(_numbered(lambda b: b, seq_len), _NUMBERED).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def tokenise(docs: DataFrame, path: str, seq_len: int, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = FOLDER, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """``number`` for the vocabulary's ids of each whole text; a null or empty text has none."""
+    part = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+
+    def encode(b):
         enc = byte_bpe(vocabulary, folder)
+        ids = [enc.encode_ordinary(t) for t in b.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+
+    part.mapInArrow(_numbered(encode, seq_len), _NUMBERED).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+_NUMBERED = "part int, before long, id long, ids array<int>"
+
+
+def _numbered(encode, seq_len: int):
+    def run(batches):
+        part, at = TaskContext.get().partitionId(), 0
         for b in slices(batches):
-            ids = [None if t is None else enc.encode_ordinary(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+            if b.num_rows:
+                b = encode(b)
+                own = -(-np.diff(b.column(1).offsets.to_numpy()).astype(np.int64) // seq_len)
+                before = at + np.cumsum(own) - own
+                at += int(own.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), pa.array(before), b.column(0), b.column(1)], names=["part", "before", "id", "ids"])
+
+    return run
+
+
+def _place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder's URI and the folder in it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
 
-    part.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col).write.mode("overwrite").parquet(path)
 
+def _shard(folder: str, k: int) -> str:
+    return f"{folder}/shard-{k:010d}.bin"
 
-def materialise(docs: DataFrame, path: str, key: int, seq_len: int = 2048, shard_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", ids_col: str | None = None) -> int:
-    """Write a table's token ids as shards below ``path``; returns the number of sequences.
 
-    The ids are the text's UTF-8 bytes, one byte each, or with ``ids_col`` that
-    column's array<int>, four bytes each.  Part files hold ascending ranges of
-    slots, each a row per shard of ``shard_rows`` records.
+def materialise(spark: SparkSession, table: str, path: str, key: int, seq_len: int, shard_rows: int = 8192, width: int = 4) -> int:
+    """Write the sequences of a numbered table as shards below ``path``; returns their number.
 
-    ``docs`` must be a table that is scanned with nothing but projections and
-    filters, so that its partitions hold the same rows in the same order
-    whenever they are computed; this is checked.  The per-partition counts are
-    all that the driver holds.  Null and empty texts or arrays have no sequence; a null
-    id is written as -1; repeated rows are sequences of their own.
+    A record is the document's id (8 bytes), the sequence's number in it (4),
+    its number of ids (4), and ``seq_len`` ids of ``width`` bytes (2 or 4), the
+    rest zeros; numbers are little-endian.  An id that ``width`` can't hold is
+    an error.  A shard is written under a name of the attempt's own and then
+    renamed, so lost executors and repeated tasks leave whole shards only; the
+    manifest comes last.  The driver holds a number for each part of the table.
     """
-    spark = docs.sparkSession
-    source = F.col(text_col if ids_col is None else ids_col).alias("source")
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), source)
-    width, size = (1, F.octet_length("source")) if ids_col is None else (4, F.when(F.col("source").isNotNull(), F.size("source")))
-    n_seq = F.ceil(F.coalesce(size, F.lit(0)) / seq_len)
-    seq_bytes = seq_len * width
-    counts = {r["p"]: int(r["n"] or 0) for r in base.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(n_seq).alias("n")).collect()}
+    if width not in (2, 4):
+        raise ValueError("an id has 2 or 4 bytes")
+    rows = spark.read.schema(_NUMBERED).parquet(table)
+    counts = rows.groupBy("part").agg(F.max(F.col("before") + F.ceil(F.size("ids") / seq_len)).alias("n")).collect()
     offsets, total = {}, 0
-    for p in sorted(counts):
-        offsets[p] = total
-        total += counts[p]
-    told = spark.sparkContext.broadcast((offsets, counts))
+    for r in sorted(counts, key=lambda r: r["part"]):
+        offsets[r["part"]] = total
+        total += int(r["n"])
+    told = spark.sparkContext.broadcast(offsets)
+    kind, top = ("<u2", 1 << 16) if width == 2 else ("<i4", 1 << 31)
 
     def sequences(batches):
-        p = TaskContext.get().partitionId()
-        at, end = told.value[0].get(p, 0), told.value[0].get(p, 0) + told.value[1].get(p, 0)
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            own, no, parts = [], [], []
-
-            def flush():
-                nonlocal at, own, no, parts
-                slots = permute(np.arange(at, at + len(parts)), total, key)
-                at += len(parts)
-                if at > end:
-                    raise RuntimeError("the table's partitions changed between two scans")
-                out = pa.RecordBatch.from_arrays([pa.array(slots), pa.array(own, pa.int64()), pa.array(no, pa.int32()), pa.array(parts, pa.binary())], names=["slot", "id", "seq", "tokens"])
-                own, no, parts = [], [], []
-                return out
-
-            for i, t in zip(ids, texts):
-                raw = (t or "").encode() if ids_col is None else np.array(t or [], dtype="<i4").tobytes()
-                for k in range(0, len(raw), seq_bytes):
-                    own.append(i)
-                    no.append(k // seq_bytes)
-                    parts.append(raw[k : k + seq_bytes])
-                    if len(parts) >= 8192:
-                        yield flush()
-            if parts:
-                yield flush()
-        if at != end:
-            raise RuntimeError("the table's partitions changed between two scans")
-
-    stride = HEAD + seq_bytes
-    slots = base.mapInArrow(sequences, "slot long, id long, seq int, tokens binary").withColumn("shard", F.expr(f"slot div {shard_rows}"))
-    parts = max(1, min(-(-total // shard_rows), int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * 4))
+        for b in slices(batches):
+            if not b.num_rows:
+                continue
+            ids = b.column(3)
+            ends = ids.offsets.to_numpy()
+            flat = ids.values.to_numpy(zero_copy_only=False)[: ends[-1]]
+            if len(flat) and (flat[ends[0] :].max() >= top or flat[ends[0] :].min() < 0):
+                raise ValueError(f"an id doesn't fit into {width} bytes")
+            data = flat.astype(kind)
+            parts, befores, owners = (b.column(c).to_pylist() for c in range(3))
+            own, no, size, raw, numbers = [], [], [], [], []
+            for k in range(b.num_rows):
+                lo, hi = int(ends[k]), int(ends[k + 1])
+                first = told.value[parts[k]] + befores[k]
+                for q, at in enumerate(range(lo, hi, seq_len)):
+                    chunk = data[at : min(at + seq_len, hi)]
+                    numbers.append(first + q)
+                    own.append(owners[k])
+                    no.append(q)
+                    size.append(len(chunk))
+                    raw.append(chunk.tobytes())
+                    if len(raw) >= 4096:
+                        yield _batch(permute(np.array(numbers), total, key), own, no, size, raw)
+                        own, no, size, raw, numbers = [], [], [], [], []
+            if raw:
+                yield _batch(permute(np.array(numbers), total, key), own, no, size, raw)
+
+    stride = HEAD + seq_len * width
+    n_shards = -(-total // shard_rows)
+    # slots are dense, so equal ranges of shards need no sampling
+    parts = max(1, min(n_shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    each = -(-max(1, n_shards) // parts)
+    slots = rows.mapInArrow(sequences, _SLOTS)
+    ranged = slots.repartitionById(parts, F.expr(f"cast(slot div {shard_rows * each} as int)")).sortWithinPartitions("slot")
 
     def shards(batches):
-        now, buffer, first = None, [], 0
-        names = ["shard", "first_slot", "n_slots", "stride", "payload"]
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([first]), pa.array([len(buffer)], pa.int32()), pa.array([stride], pa.int32()), pa.array([b"".join(buffer)], pa.binary())], names=names)
+        fs, folder = _place(path)
+        fs.create_dir(folder, recursive=True)
+        now, out, mine, done = None, None, "", []
+
+        def close():
+            if out is not None:
+                out.close()
+                try:
+                    fs.move(mine, _shard(folder, now))
+                except OSError:  # another attempt was first; its shard is the same
+                    if fs.get_file_info(_shard(folder, now)).type != pyarrow.fs.FileType.File:
+                        raise
+                    fs.delete_file(mine)
+                done.append(now)
 
         for b in batches:
-            for shard, slot, i, seq, raw in zip(*(b.column(c).to_pylist() for c in ("shard", "slot", "id", "seq", "tokens"))):
-                if shard != now:
-                    if buffer:
-                        yield out()
-                    now, buffer, first = shard, [], slot
-                buffer.append(i.to_bytes(8, "little", signed=True) + seq.to_bytes(4, "little") + (len(raw) // width).to_bytes(4, "little") + raw.ljust(seq_bytes, b"\0"))
-        if buffer:
-            yield out()
-
-    # slots are dense, so equal ranges of shards need no sampling
-    each = -(-max(1, -(-total // shard_rows)) // parts)
-    ranged = slots.repartitionById(parts, F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("slot")
-    ranged.mapInArrow(shards, "shard long, first_slot long, n_slots int, stride int, payload binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
+            for slot, i, seq, n, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if slot // shard_rows != now:
+                    close()
+                    now, mine = slot // shard_rows, f"{folder}/.{slot // shard_rows}-{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(mine, buffer_size=1 << 20)
+                out.write(i.to_bytes(8, "little", signed=True) + seq.to_bytes(4, "little") + n.to_bytes(4, "little") + raw.ljust(seq_len * width, b"\0"))
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["shard"])
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["shard"])
+
+    written = ranged.mapInArrow(shards, "shard long").agg(F.count_distinct("shard")).first()[0]
+    if written != n_shards:
+        raise RuntimeError(f"{written} of {n_shards} shards were written")
+    fs, folder = _place(path)
+    fs.create_dir(folder, recursive=True)
+    with fs.open_output_stream(f"{folder}/{MANIFEST}") as f:
+        f.write(json.dumps({"records": total, "stride": stride, "shard_rows": shard_rows, "seq_len": seq_len, "width": width}).encode())
     return total
 
 
-def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None, width: int = 1) -> DataFrame:
-    """(slot, id, seq, n_tokens, tokens as bytes) of the slots from ``start`` up to ``stop``.
+_SLOTS = "slot long, id long, seq int, n_tokens int, tokens binary"
 
-    Shards outside the range aren't read, within a shard records are sought by
-    the stride.  ``width`` is an id's bytes.
-    """
-    table = spark.read.parquet(path).where(F.col("first_slot") + F.col("n_slots") > start)
-    if stop is not None:
-        table = table.where(F.col("first_slot") < stop)
+
+def _batch(slot, own, no, size, raw) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(own, pa.int64()), pa.array(no, pa.int32()), pa.array(size, pa.int32()), pa.array(raw, pa.binary())], names=["slot", "id", "seq", "n_tokens", "tokens"])
+
+
+def manifest(path: str) -> dict:
+    fs, folder = _place(path)
+    with fs.open_input_stream(f"{folder}/{MANIFEST}") as f:
+        return json.loads(f.read())
+
+
+def records(path: str, about: dict, start: int, stop: int, block: int = 512) -> Iterator[pa.RecordBatch]:
+    """The records of the slots from ``start`` up to ``stop``, in order; nothing else of the files is read."""
+    fs, folder = _place(path)
+    stride, rows, width = about["stride"], about["shard_rows"], about["width"]
+    for k in range(start // rows, -(-stop // rows)):
+        lo, hi = max(start, k * rows), min(stop, (k + 1) * rows)
+        with fs.open_input_file(_shard(folder, k)) as f:
+            for at in range(lo, hi, block):
+                n = min(block, hi - at)
+                f.seek((at - k * rows) * stride)
+                data = f.read(n * stride)
+                cut = [data[i * stride : (i + 1) * stride] for i in range(n)]
+                size = [int.from_bytes(r[12:16], "little") for r in cut]
+                yield _batch(np.arange(at, at + n), [int.from_bytes(r[:8], "little", signed=True) for r in cut], [int.from_bytes(r[8:12], "little") for r in cut], size, [r[HEAD : HEAD + m * width] for r, m in zip(cut, size)])
+
+
+def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """(slot, id, seq, n_tokens, tokens as bytes) of the slots from ``start`` up to ``stop``; a task reads a shard."""
+    about = manifest(path)
+    stop = about["records"] if stop is None else min(stop, about["records"])
+    first, last = start // about["shard_rows"], -(-stop // about["shard_rows"])
 
     def run(batches):
         for b in batches:
-            for first, n, stride, payload in zip(*(b.column(c).to_pylist() for c in ("first_slot", "n_slots", "stride", "payload"))):
-                lo, hi = max(0, start - first), n if stop is None else min(n, stop - first)
-                slot, own, seq, size, raw = [], [], [], [], []
-                for k in range(lo, hi):
-                    at = k * stride
-                    slot.append(first + k)
-                    own.append(int.from_bytes(payload[at : at + 8], "little", signed=True))
-                    seq.append(int.from_bytes(payload[at + 8 : at + 12], "little"))
-                    size.append(int.from_bytes(payload[at + 12 : at + 16], "little"))
-                    raw.append(payload[at + HEAD : at + HEAD + size[-1] * width])
-                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(own, pa.int64()), pa.array(seq, pa.int32()), pa.array(size, pa.int32()), pa.array(raw, pa.binary())], names=["slot", "id", "seq", "n_tokens", "tokens"])
-
-    return table.select("first_slot", "n_slots", "stride", "payload").mapInArrow(run, "slot long, id long, seq int, n_tokens int, tokens binary")
+            for k in b.column(0).to_pylist():
+                yield from records(path, about, max(start, k * about["shard_rows"]), min(stop, (k + 1) * about["shard_rows"]))
+
+    parts = max(1, min(last - first, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    return spark.range(first, max(first, last), 1, parts).mapInArrow(run, _SLOTS)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from sluicegate.llm import queries, training_order, transport_stream as ts
 
 # --- training order ---------------------------------------------------------
@@ -26,80 +30,92 @@ def test_keys_give_different_orders():
     assert (a != b).mean() > 0.9 and (a != np.arange(1000)).mean() > 0.9
 
 
-DOCS = [(1, "héllo" * 30), (2, None), (3, ""), (4, "x"), (4, "x"), (None, "no id"), (5, "long " * 5000)]
+IDS = [(1, [*range(60_000, 60_150)]), (2, None), (3, []), (4, [7]), (4, [7]), (None, [1, 2]), (5, [*range(25_000)])]
 
 
 def sequences(rows, seq_len):
-    return sorted((-1 if i is None else i, k // seq_len, raw[k : k + seq_len]) for i, t in rows for raw in [(t or "").encode()] for k in range(0, len(raw), seq_len))
+    return sorted((-1 if i is None else i, k // seq_len, t[k : k + seq_len]) for i, t in rows for t in [t or []] for k in range(0, len(t), seq_len))
+
+
+def written(spark, folder, rows, seq_len, shard_rows, width=4, key=9, parts=3):
+    """(number of sequences, folder of the shards) of (id, ids) rows."""
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(parts)
+    training_order.number(df, f"{folder}/table", seq_len)
+    return training_order.materialise(spark, f"{folder}/table", f"{folder}/shards", key, seq_len, shard_rows, width), f"{folder}/shards"
 
 
-def test_shards_hold_every_sequence_once_and_resume_anywhere(spark, tmp_path):
-    df = spark.createDataFrame(DOCS, "doc_id long, text string")
-    path = str(tmp_path / "shards")
-    n = training_order.materialise(df, path, key=9, seq_len=64, shard_rows=10)
-    want = sequences(DOCS, 64)
-    rows = training_order.read_slots(spark, path).orderBy("slot").collect()
+def plain(rows, width):
+    return [(r["slot"], r["id"], r["seq"], r["n_tokens"], np.frombuffer(r["tokens"], dtype="<u2" if width == 2 else "<i4").tolist()) for r in rows]
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_shards_hold_every_sequence_once_and_resume_anywhere(spark, tmp_path, width):
+    n, path = written(spark, tmp_path, IDS, 64, 10, width)
+    want = sequences(IDS, 64)
+    rows = plain(training_order.read_slots(spark, path).orderBy("slot").collect(), width)
     assert n == len(want) == len(rows)
-    assert [r["slot"] for r in rows] == list(range(n))
-    assert sorted((r["id"], r["seq"], bytes(r["tokens"])) for r in rows) == want
-    assert all(r["n_tokens"] == len(r["tokens"]) for r in rows)
-    part = training_order.read_slots(spark, path, 57, 123).orderBy("slot").collect()
-    assert [tuple(r) for r in part] == [tuple(r) for r in rows[57:123]]
-    shards = spark.read.parquet(path).orderBy("shard").collect()
-    assert [(r["first_slot"], r["n_slots"]) for r in shards] == [(k, min(10, n - k)) for k in range(0, n, 10)]
-    assert all(len(r["payload"]) == r["n_slots"] * r["stride"] for r in shards)
-
-
-def test_part_files_hold_ascending_ranges(spark, tmp_path):
-    df = spark.createDataFrame([(i, "t" * 50) for i in range(200)], "doc_id long, text string").repartition(3)
-    path = tmp_path / "shards"
-    training_order.materialise(spark.createDataFrame(df.toPandas()), str(path), key=1, seq_len=8, shard_rows=16)
-    ends = [[r["first_slot"] for r in spark.read.parquet(str(f)).collect()] for f in sorted(path.glob("part-*"))]
-    flat = [x for e in ends for x in e]
-    assert flat == sorted(flat) and len(ends) > 1
-
-
-def test_token_id_arrays(spark, tmp_path):
-    rows = [(1, list(range(70_000, 70_025))), (2, None), (3, []), (4, [7])]
-    df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
-    path = str(tmp_path / "ids")
-    assert training_order.materialise(df, path, key=3, seq_len=10, shard_rows=2, ids_col="ids") == 4
-    got = {}
-    for r in training_order.read_slots(spark, path, width=4).collect():
-        got[r["id"], r["seq"]] = np.frombuffer(r["tokens"], dtype="<i4").tolist()
-        assert r["n_tokens"] == len(got[r["id"], r["seq"]])
-    assert got == {(1, 0): rows[0][1][:10], (1, 1): rows[0][1][10:20], (1, 2): rows[0][1][20:], (4, 0): [7]}
-
-
-def test_no_sequences(spark, tmp_path):
-    path = str(tmp_path / "none")
-    assert training_order.materialise(spark.createDataFrame([(1, None)], "doc_id long, text string"), path, key=1) == 0
-    assert training_order.read_slots(spark, path).collect() == []
+    assert [r[0] for r in rows] == list(range(n))
+    assert sorted((r[1], r[2], r[4]) for r in rows) == want
+    assert all(r[3] == len(r[4]) for r in rows)
+    assert plain(training_order.read_slots(spark, path, 57, 123).orderBy("slot").collect(), width) == rows[57:123]
+    assert training_order.read_slots(spark, path, n, None).collect() == []
+    stride = 16 + 64 * width
+    files = sorted(os.listdir(path))
+    assert files == ["manifest.json", *(f"shard-{k:010d}.bin" for k in range(-(-n // 10)))]
+    assert [os.path.getsize(f"{path}/{f}") for f in files[1:]] == [stride * min(10, n - k) for k in range(0, n, 10)]
+    # record i of shard k begins at i strides
+    raw = open(f"{path}/{files[4]}", "rb").read()[7 * stride : 8 * stride]
+    assert int.from_bytes(raw[:8], "little", signed=True) == rows[37][1]
+
+
+def test_resuming_reads_the_needed_bytes_only(spark, tmp_path):
+    n, path = written(spark, tmp_path, IDS, 64, 50)
+    about = training_order.manifest(path)
+    want = [r for b in training_order.records(path, about, 0, n) for r in b.to_pylist()]
+    # all else is overwritten with a byte that no record could come out of
+    for k, name in enumerate(sorted(os.listdir(path))[1:]):
+        raw = bytearray(b"\xff" * os.path.getsize(f"{path}/{name}"))
+        whole = open(f"{path}/{name}", "rb").read()
+        for slot in range(120, 260):
+            if slot // 50 == k:
+                at = slot % 50 * about["stride"]
+                raw[at : at + about["stride"]] = whole[at : at + about["stride"]]
+        open(f"{path}/{name}", "wb").write(raw)
+    assert [r for b in training_order.records(path, about, 120, 260, block=7) for r in b.to_pylist()] == want[120:260]
+
+
+def test_numbers_are_those_written_whatever_the_scan(spark, tmp_path):
+    df = spark.createDataFrame([(i, [i] * (i % 40)) for i in range(300)], "doc_id long, ids array<int>").repartition(5)
+    training_order.number(df, f"{tmp_path}/t", 8)
+    spark.read.parquet(f"{tmp_path}/t").orderBy(F.desc("id")).repartition(2).write.parquet(f"{tmp_path}/moved")
+    got = []
+    for name in ("t", "moved"):
+        training_order.materialise(spark, f"{tmp_path}/{name}", f"{tmp_path}/out-{name}", 5, 8, 16)
+        got.append([open(f"{tmp_path}/out-{name}/{f}", "rb").read() for f in sorted(os.listdir(f"{tmp_path}/out-{name}"))])
+    assert got[0] == got[1]
+
+
+def test_ids_that_do_not_fit_and_no_sequences(spark, tmp_path):
+    with pytest.raises(Exception, match="doesn't fit"):
+        written(spark, tmp_path / "a", [(1, [70_000])], 8, 4, width=2)
+    n, path = written(spark, tmp_path / "b", [(1, None), (2, [])], 8, 4)
+    assert n == 0 and training_order.read_slots(spark, path).collect() == []
 
 
 def test_clashing_columns_do_not_matter(spark, tmp_path):
-    df = spark.createDataFrame([(1, "abc", 5, "z")], "doc_id long, text string, slot int, shard string")
-    training_order.materialise(df, str(tmp_path / "s"), key=1)
-    assert training_order.read_slots(spark, str(tmp_path / "s")).first()["tokens"] == b"abc"
+    df = spark.createDataFrame([(1, "abc", 5, "z"), (2, None, 6, "y"), (None, "", 7, "x")], "doc_id long, text string, part int, ids string")
+    training_order.tokenise(df, f"{tmp_path}/t", 8)
+    assert training_order.materialise(spark, f"{tmp_path}/t", f"{tmp_path}/s", 1, 8) == 1
+    assert training_order.read_slots(spark, f"{tmp_path}/s").first()["id"] == 1
 
 
 def test_order_query_equals_brute_force(spark, data):
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
-    want = sorted((i, k, len(raw), zlib.crc32(raw)) for i, k, raw in sequences(rows, 2048))
-    got = queries.op7_training_order(spark, data).collect()
-    assert sorted((r["doc_id"], r["seq"], r["n_tokens"], r["tokens_crc32"]) for r in got) == want
-    assert sorted(r["slot"] for r in got) == list(range(len(want)))
-
-
-def test_order_query_over_vocabulary_ids(spark, data):
     from sluicegate.llm.tokenizers import byte_bpe
 
-    encode, want = byte_bpe().encode_ordinary, []
-    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
-        ids = encode(r["text"] or "")
-        want += [(r["doc_id"], k // 2048, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<i4").tobytes())) for k in range(0, len(ids), 2048)]
-    got = queries.op7_training_order_ids(spark, data).collect()
-    assert sorted((r["doc_id"], r["seq"], r["n_tokens"], r["tokens_crc32"]) for r in got) == sorted(want)
+    encode, rows = byte_bpe().encode_ordinary, spark.read.parquet(f"{data}/documents.parquet").collect()
+    want = sorted((i, k, len(ids), zlib.crc32(np.array(ids, "<u2").tobytes())) for i, k, ids in sequences([(r["doc_id"], encode(r["text"] or "")) for r in rows], queries.SEQ_LEN))
+    got = queries.op7_training_order(spark, data).collect()
+    assert sorted((r["doc_id"], r["seq"], r["n_tokens"], r["tokens_crc32"]) for r in got) == want
     assert sorted(r["slot"] for r in got) == list(range(len(want)))
 
 
