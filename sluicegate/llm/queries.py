@@ -72,9 +72,8 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sequence of token ids with its global slot, as read back from the written shards."""
-    table, path = _shared(spark, "ids"), _shared(spark, "shards")
-    training_order.tokenise(_read(spark, sf_dir, "documents"), table, SEQ_LEN)
-    training_order.materialise(spark, table, path, key=20_240_229, seq_len=SEQ_LEN, width=2)
+    path = _shared(spark, "shards")
+    training_order.materialise(_read(spark, sf_dir, "documents"), path, key=20_240_229, seq_len=SEQ_LEN, width=2)
     back = training_order.read_slots(spark, path)
     return back.select("slot", F.col("id").alias("doc_id"), "seq", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
 

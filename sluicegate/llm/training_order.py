@@ -1,22 +1,25 @@
 """Training-order materialisation of token ids as fixed-stride shards.
 
-Token ids are cut to sequences of at most ``seq_len``.  ``tokenise`` writes them
-as a table in which every row holds its part and the number of sequences before
-it in that part, so a sequence's number is fixed by what is written and not by
-how it is scanned.  A keyed Feistel permutation with cycle-walking gives each
-number its global slot.  ``materialise`` sorts ranges of slots and writes raw
-files: shard k holds the slots from k times ``shard_rows``, record i of it begins
-at i times the stride.  A reader that stopped at a slot goes on by seeking.
+Token ids are cut to sequences of at most ``seq_len``.  Each document owns as
+many numbers as it can have sequences, which is known from its length before
+it is encoded; a keyed Feistel permutation with cycle-walking spreads all these
+numbers over their domain.  Range partitions sort by the permuted number and
+close up the numbers that no sequence took, which gives every sequence its
+global slot.  They write raw files of records of one length; record i of a
+file begins at i times the stride.  A reader that stopped at a slot goes on by
+seeking.  Texts are encoded once and nothing is kept between the two stages.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -51,45 +54,6 @@ def permute(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.nda
     return out.astype(np.int64)
 
 
-def number(rows: DataFrame, path: str, seq_len: int, id_col: str = "doc_id", ids_col: str = "ids") -> None:
-    """Write (part, before, id, ids) of a table of token ids below ``path``.
-
-    ``before`` counts the sequences of the part's earlier rows.  Null and empty
-    arrays have no sequence and no row; a null id is written as -1.
-    """
-    part = rows.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).where(F.size("ids") > 0)
-    part.mapInArrow(_numbered(lambda b: b, seq_len), _NUMBERED).write.mode("overwrite").option("compression", "zstd").parquet(path)
-
-
-def tokenise(docs: DataFrame, path: str, seq_len: int, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = FOLDER, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """``number`` for the vocabulary's ids of each whole text; a null or empty text has none."""
-    part = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-
-    def encode(b):
-        enc = byte_bpe(vocabulary, folder)
-        ids = [enc.encode_ordinary(t) for t in b.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
-
-    part.mapInArrow(_numbered(encode, seq_len), _NUMBERED).write.mode("overwrite").option("compression", "zstd").parquet(path)
-
-
-_NUMBERED = "part int, before long, id long, ids array<int>"
-
-
-def _numbered(encode, seq_len: int):
-    def run(batches):
-        part, at = TaskContext.get().partitionId(), 0
-        for b in slices(batches):
-            if b.num_rows:
-                b = encode(b)
-                own = -(-np.diff(b.column(1).offsets.to_numpy()).astype(np.int64) // seq_len)
-                before = at + np.cumsum(own) - own
-                at += int(own.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), pa.array(before), b.column(0), b.column(1)], names=["part", "before", "id", "ids"])
-
-    return run
-
-
 def _place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The file system of a folder's URI and the folder in it."""
     if path.startswith("file:"):
@@ -97,102 +61,116 @@ def _place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
 
 
-def _shard(folder: str, k: int) -> str:
-    return f"{folder}/shard-{k:010d}.bin"
-
+def materialise(docs: DataFrame, path: str, key: int, seq_len: int, shard_rows: int = 65_536, width: int = 4, id_col: str = "doc_id", text_col: str = "text", ids_col: str | None = None, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = FOLDER) -> int:
+    """Write the sequences of a table's token ids as shards below ``path``; returns their number.
 
-def materialise(spark: SparkSession, table: str, path: str, key: int, seq_len: int, shard_rows: int = 8192, width: int = 4) -> int:
-    """Write the sequences of a numbered table as shards below ``path``; returns their number.
+    The ids are a byte-level vocabulary's for each whole text, or with
+    ``ids_col`` that column's array<int>.  A record is the document's id (8
+    bytes), the sequence's number in it (4), its number of ids (4), and
+    ``seq_len`` ids of ``width`` bytes (2 or 4), the rest zeros; numbers are
+    little-endian.  An id that ``width`` can't hold is an error.  Null and
+    empty texts or arrays have no sequence; a null id is written as -1;
+    repeated rows are sequences of their own; other columns are ignored.
 
-    A record is the document's id (8 bytes), the sequence's number in it (4),
-    its number of ids (4), and ``seq_len`` ids of ``width`` bytes (2 or 4), the
-    rest zeros; numbers are little-endian.  An id that ``width`` can't hold is
-    an error.  A shard is written under a name of the attempt's own and then
-    renamed, so lost executors and repeated tasks leave whole shards only; the
-    manifest comes last.  The driver holds a number for each part of the table.
+    ``docs`` must be a table that is scanned with nothing but projections and
+    filters, so that its partitions hold the same rows whenever they are
+    computed; their rows' digests are compared.  A shard is written under a name
+    of the attempt's own and then renamed, so lost executors and repeated tasks
+    leave whole shards only; the manifest comes last.  The driver holds a number
+    for each partition and each shard.
     """
     if width not in (2, 4):
         raise ValueError("an id has 2 or 4 bytes")
-    rows = spark.read.schema(_NUMBERED).parquet(table)
-    counts = rows.groupBy("part").agg(F.max(F.col("before") + F.ceil(F.size("ids") / seq_len)).alias("n")).collect()
+    spark = docs.sparkSession
+    source = F.col(text_col) if ids_col is None else F.col(ids_col).cast("array<int>")
+    size = F.octet_length("source") if ids_col is None else F.size("source")
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), source.alias("source")).where(F.col("source").isNotNull()).withColumn("most", F.ceil(size / seq_len).cast("long")).where("most > 0")
+    told = base.select("most", F.spark_partition_id().alias("p"), F.hash("id", "most").cast("long").alias("h")).groupBy("p").agg(F.sum("most").alias("n"), F.sum("h").alias("h")).collect()
     offsets, total = {}, 0
-    for r in sorted(counts, key=lambda r: r["part"]):
-        offsets[r["part"]] = total
-        total += int(r["n"])
-    told = spark.sparkContext.broadcast(offsets)
+    for r in sorted(told, key=lambda r: r["p"]):
+        offsets[r["p"]] = (total, r["n"], r["h"])
+        total += r["n"]
+    shared = spark.sparkContext.broadcast(offsets)
     kind, top = ("<u2", 1 << 16) if width == 2 else ("<i4", 1 << 31)
+    parts = max(1, min(-(-total // shard_rows), 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
 
     def sequences(batches):
+        enc = None if ids_col is not None else byte_bpe(vocabulary, folder)
+        at, n, h = shared.value.get(TaskContext.get().partitionId(), (0, 0, 0))
+        end = at + n
+        numbers, own, no, sizes, raw = [], [], [], [], []
+
+        def flush():
+            slots = permute(np.array(numbers), total, key)
+            out = pa.RecordBatch.from_arrays([pa.array((slots.astype(object) * parts // total).astype(np.int32) if total * parts >= 1 << 62 else (slots * parts // total).astype(np.int32)), *_batch(slots, own, no, sizes, raw).columns], names=["range", "slot", "id", "seq", "n_tokens", "tokens"])
+            for x in (numbers, own, no, sizes, raw):
+                x.clear()
+            return out
+
         for b in slices(batches):
-            if not b.num_rows:
-                continue
-            ids = b.column(3)
-            ends = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy(zero_copy_only=False)[: ends[-1]]
-            if len(flat) and (flat[ends[0] :].max() >= top or flat[ends[0] :].min() < 0):
-                raise ValueError(f"an id doesn't fit into {width} bytes")
-            data = flat.astype(kind)
-            parts, befores, owners = (b.column(c).to_pylist() for c in range(3))
-            own, no, size, raw, numbers = [], [], [], [], []
-            for k in range(b.num_rows):
-                lo, hi = int(ends[k]), int(ends[k + 1])
-                first = told.value[parts[k]] + befores[k]
-                for q, at in enumerate(range(lo, hi, seq_len)):
-                    chunk = data[at : min(at + seq_len, hi)]
-                    numbers.append(first + q)
-                    own.append(owners[k])
+            h -= int(pc.sum(b.column(3)).as_py() or 0)
+            for i, t, most in zip(*(b.column(c).to_pylist() for c in range(3))):
+                ids = np.asarray(enc.encode_ordinary(t) if enc else t, dtype=np.int64)
+                if ids.max() >= top or ids.min() < 0:
+                    raise ValueError(f"an id doesn't fit into {width} bytes")
+                data = ids.astype(kind).tobytes()
+                for q, a in enumerate(range(0, len(data), seq_len * width)):
+                    numbers.append(at + q)
+                    own.append(i)
                     no.append(q)
-                    size.append(len(chunk))
-                    raw.append(chunk.tobytes())
+                    raw.append(data[a : a + seq_len * width])
+                    sizes.append(len(raw[-1]) // width)
                     if len(raw) >= 4096:
-                        yield _batch(permute(np.array(numbers), total, key), own, no, size, raw)
-                        own, no, size, raw, numbers = [], [], [], [], []
-            if raw:
-                yield _batch(permute(np.array(numbers), total, key), own, no, size, raw)
+                        yield flush()
+                at += most
+        if at != end or h:
+            raise RuntimeError("the table's partitions changed between two scans")
+        if raw:
+            yield flush()
 
     stride = HEAD + seq_len * width
-    n_shards = -(-total // shard_rows)
-    # slots are dense, so equal ranges of shards need no sampling
-    parts = max(1, min(n_shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-    each = -(-max(1, n_shards) // parts)
-    slots = rows.mapInArrow(sequences, _SLOTS)
-    ranged = slots.repartitionById(parts, F.expr(f"cast(slot div {shard_rows * each} as int)")).sortWithinPartitions("slot")
+    coded = base.withColumn("h", F.hash("id", "most").cast("long")).mapInArrow(sequences, f"range int, {_SLOTS}")
+    ranged = coded.repartitionById(parts, F.col("range")).sortWithinPartitions("slot")
 
     def shards(batches):
-        fs, folder = _place(path)
-        fs.create_dir(folder, recursive=True)
-        now, out, mine, done = None, None, "", []
+        fs, where = _place(path)
+        fs.create_dir(where, recursive=True)
+        out, mine, done, n = None, "", [], 0
 
         def close():
-            if out is not None:
-                out.close()
-                try:
-                    fs.move(mine, _shard(folder, now))
-                except OSError:  # another attempt was first; its shard is the same
-                    if fs.get_file_info(_shard(folder, now)).type != pyarrow.fs.FileType.File:
-                        raise
-                    fs.delete_file(mine)
-                done.append(now)
+            final = f"{where}/{done[-1][0]}"
+            out.close()
+            try:
+                fs.move(mine, final)
+            except OSError:  # another attempt was first; its shard is the same
+                if fs.get_file_info(final).type != pyarrow.fs.FileType.File:
+                    raise
+                fs.delete_file(mine)
 
         for b in batches:
-            for slot, i, seq, n, raw in zip(*(c.to_pylist() for c in b.columns)):
-                if slot // shard_rows != now:
-                    close()
-                    now, mine = slot // shard_rows, f"{folder}/.{slot // shard_rows}-{uuid.uuid4().hex}"
+            for part, i, seq, m, raw in zip(*(b.column(c).to_pylist() for c in ("range", "id", "seq", "n_tokens", "tokens"))):
+                if out is None or done[-1][3] == shard_rows:
+                    if out is not None:
+                        close()
+                    name = f"shard-{part:07d}-{len(done):05d}.bin"
+                    done.append([name, part, len(done), 0])
+                    mine = f"{where}/.{name}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(mine, buffer_size=1 << 20)
-                out.write(i.to_bytes(8, "little", signed=True) + seq.to_bytes(4, "little") + n.to_bytes(4, "little") + raw.ljust(seq_len * width, b"\0"))
-            yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["shard"])
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["shard"])
-
-    written = ranged.mapInArrow(shards, "shard long").agg(F.count_distinct("shard")).first()[0]
-    if written != n_shards:
-        raise RuntimeError(f"{written} of {n_shards} shards were written")
-    fs, folder = _place(path)
-    fs.create_dir(folder, recursive=True)
-    with fs.open_output_stream(f"{folder}/{MANIFEST}") as f:
-        f.write(json.dumps({"records": total, "stride": stride, "shard_rows": shard_rows, "seq_len": seq_len, "width": width}).encode())
-    return total
+                out.write(i.to_bytes(8, "little", signed=True) + seq.to_bytes(4, "little") + m.to_bytes(4, "little") + raw.ljust(seq_len * width, b"\0"))
+                done[-1][3] += 1
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_pylist([{"name": a, "part": b, "no": c, "n": d} for a, b, c, d in done], schema=pa.schema([("name", pa.string()), ("part", pa.int32()), ("no", pa.int32()), ("n", pa.int64())]))
+
+    files = sorted(ranged.mapInArrow(shards, "name string, part int, no int, n long").collect(), key=lambda r: (r["part"], r["no"]))
+    firsts = [0]
+    for r in files:
+        firsts.append(firsts[-1] + r["n"])
+    fs, where = _place(path)
+    fs.create_dir(where, recursive=True)
+    with fs.open_output_stream(f"{where}/{MANIFEST}") as f:
+        f.write(json.dumps({"records": firsts[-1], "stride": stride, "seq_len": seq_len, "width": width, "shards": [r["name"] for r in files], "firsts": firsts}).encode())
+    return firsts[-1]
 
 
 _SLOTS = "slot long, id long, seq int, n_tokens int, tokens binary"
@@ -211,29 +189,35 @@ def manifest(path: str) -> dict:
 def records(path: str, about: dict, start: int, stop: int, block: int = 512) -> Iterator[pa.RecordBatch]:
     """The records of the slots from ``start`` up to ``stop``, in order; nothing else of the files is read."""
     fs, folder = _place(path)
-    stride, rows, width = about["stride"], about["shard_rows"], about["width"]
-    for k in range(start // rows, -(-stop // rows)):
-        lo, hi = max(start, k * rows), min(stop, (k + 1) * rows)
-        with fs.open_input_file(_shard(folder, k)) as f:
-            for at in range(lo, hi, block):
+    stride, width, firsts = about["stride"], about["width"], about["firsts"]
+    k = bisect_right(firsts, start) - 1
+    while start < stop:
+        hi = min(stop, firsts[k + 1])
+        with fs.open_input_file(f"{folder}/{about['shards'][k]}") as f:
+            for at in range(start, hi, block):
                 n = min(block, hi - at)
-                f.seek((at - k * rows) * stride)
+                f.seek((at - firsts[k]) * stride)
                 data = f.read(n * stride)
                 cut = [data[i * stride : (i + 1) * stride] for i in range(n)]
                 size = [int.from_bytes(r[12:16], "little") for r in cut]
                 yield _batch(np.arange(at, at + n), [int.from_bytes(r[:8], "little", signed=True) for r in cut], [int.from_bytes(r[8:12], "little") for r in cut], size, [r[HEAD : HEAD + m * width] for r, m in zip(cut, size)])
+        start, k = hi, k + 1
 
 
 def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
-    """(slot, id, seq, n_tokens, tokens as bytes) of the slots from ``start`` up to ``stop``; a task reads a shard."""
+    """(slot, id, seq, n_tokens, tokens as bytes) of the slots from ``start`` up to ``stop``; a task reads a shard or a few."""
     about = manifest(path)
     stop = about["records"] if stop is None else min(stop, about["records"])
-    first, last = start // about["shard_rows"], -(-stop // about["shard_rows"])
+    if start >= stop:
+        return spark.createDataFrame([], _SLOTS)
+    firsts = about["firsts"]
+    first, last = bisect_right(firsts, start) - 1, bisect_right(firsts, stop - 1)
+    shared = spark.sparkContext.broadcast(about)
 
     def run(batches):
         for b in batches:
             for k in b.column(0).to_pylist():
-                yield from records(path, about, max(start, k * about["shard_rows"]), min(stop, (k + 1) * about["shard_rows"]))
+                yield from records(path, shared.value, max(start, firsts[k]), min(stop, firsts[k + 1]))
 
     parts = max(1, min(last - first, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-    return spark.range(first, max(first, last), 1, parts).mapInArrow(run, _SLOTS)
+    return spark.range(first, last, 1, parts).mapInArrow(run, _SLOTS)

@@ -39,9 +39,8 @@ def sequences(rows, seq_len):
 
 def written(spark, folder, rows, seq_len, shard_rows, width=4, key=9, parts=3):
     """(number of sequences, folder of the shards) of (id, ids) rows."""
-    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(parts)
-    training_order.number(df, f"{folder}/table", seq_len)
-    return training_order.materialise(spark, f"{folder}/table", f"{folder}/shards", key, seq_len, shard_rows, width), f"{folder}/shards"
+    spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(parts).write.parquet(f"{folder}/table")
+    return training_order.materialise(spark.read.parquet(f"{folder}/table"), f"{folder}/shards", key, seq_len, shard_rows, width, ids_col="ids"), f"{folder}/shards"
 
 
 def plain(rows, width):
@@ -59,13 +58,14 @@ def test_shards_hold_every_sequence_once_and_resume_anywhere(spark, tmp_path, wi
     assert all(r[3] == len(r[4]) for r in rows)
     assert plain(training_order.read_slots(spark, path, 57, 123).orderBy("slot").collect(), width) == rows[57:123]
     assert training_order.read_slots(spark, path, n, None).collect() == []
-    stride = 16 + 64 * width
-    files = sorted(os.listdir(path))
-    assert files == ["manifest.json", *(f"shard-{k:010d}.bin" for k in range(-(-n // 10)))]
-    assert [os.path.getsize(f"{path}/{f}") for f in files[1:]] == [stride * min(10, n - k) for k in range(0, n, 10)]
-    # record i of shard k begins at i strides
-    raw = open(f"{path}/{files[4]}", "rb").read()[7 * stride : 8 * stride]
-    assert int.from_bytes(raw[:8], "little", signed=True) == rows[37][1]
+    about = training_order.manifest(path)
+    assert sorted(os.listdir(path)) == ["manifest.json", *about["shards"]] and len(about["shards"]) >= n // 10
+    sizes = [b - a for a, b in zip(about["firsts"], about["firsts"][1:])]
+    assert max(sizes) <= 10 and [os.path.getsize(f"{path}/{f}") for f in about["shards"]] == [(16 + 64 * width) * k for k in sizes]
+    # record i of a shard begins at i strides
+    at = about["firsts"][4] + 2
+    raw = open(f"{path}/{about['shards'][4]}", "rb").read()[2 * about["stride"] : 3 * about["stride"]]
+    assert int.from_bytes(raw[:8], "little", signed=True) == rows[at][1]
 
 
 def test_resuming_reads_the_needed_bytes_only(spark, tmp_path):
@@ -73,26 +73,30 @@ def test_resuming_reads_the_needed_bytes_only(spark, tmp_path):
     about = training_order.manifest(path)
     want = [r for b in training_order.records(path, about, 0, n) for r in b.to_pylist()]
     # all else is overwritten with a byte that no record could come out of
-    for k, name in enumerate(sorted(os.listdir(path))[1:]):
-        raw = bytearray(b"\xff" * os.path.getsize(f"{path}/{name}"))
+    for first, name in zip(about["firsts"], about["shards"]):
         whole = open(f"{path}/{name}", "rb").read()
-        for slot in range(120, 260):
-            if slot // 50 == k:
-                at = slot % 50 * about["stride"]
-                raw[at : at + about["stride"]] = whole[at : at + about["stride"]]
+        raw = bytearray(b"\xff" * len(whole))
+        lo, hi = (min(max(0, x - first) * about["stride"], len(whole)) for x in (120, 260))
+        raw[lo:hi] = whole[lo:hi]
         open(f"{path}/{name}", "wb").write(raw)
     assert [r for b in training_order.records(path, about, 120, 260, block=7) for r in b.to_pylist()] == want[120:260]
 
 
-def test_numbers_are_those_written_whatever_the_scan(spark, tmp_path):
-    df = spark.createDataFrame([(i, [i] * (i % 40)) for i in range(300)], "doc_id long, ids array<int>").repartition(5)
-    training_order.number(df, f"{tmp_path}/t", 8)
-    spark.read.parquet(f"{tmp_path}/t").orderBy(F.desc("id")).repartition(2).write.parquet(f"{tmp_path}/moved")
+def test_reruns_give_the_same_files_and_other_keys_other_orders(spark, tmp_path):
+    rows = [(i, [i] * (1 + i % 40)) for i in range(300)]
     got = []
-    for name in ("t", "moved"):
-        training_order.materialise(spark, f"{tmp_path}/{name}", f"{tmp_path}/out-{name}", 5, 8, 16)
-        got.append([open(f"{tmp_path}/out-{name}/{f}", "rb").read() for f in sorted(os.listdir(f"{tmp_path}/out-{name}"))])
-    assert got[0] == got[1]
+    for k, key in enumerate((5, 5, 6)):
+        n, path = written(spark, tmp_path / str(k), rows, 8, 16, key=key, parts=1)
+        got.append([r["id"] for r in training_order.read_slots(spark, path).orderBy("slot").collect()])
+    assert got[0] == got[1] != got[2] and sorted(got[0]) == sorted(got[2])
+    assert got[0] != sorted(got[0])
+
+
+def test_a_table_that_changes_between_the_scans_is_noticed(spark, tmp_path):
+    size = F.unix_micros(F.current_timestamp()) % 997 + 1  # of the time of each scan
+    moved = spark.range(4).select(F.col("id").alias("doc_id"), F.sequence(F.lit(1), size.cast("int")).alias("ids"))
+    with pytest.raises(Exception, match="changed between two scans"):
+        training_order.materialise(moved, str(tmp_path / "s"), 1, 1, ids_col="ids")
 
 
 def test_ids_that_do_not_fit_and_no_sequences(spark, tmp_path):
@@ -104,8 +108,7 @@ def test_ids_that_do_not_fit_and_no_sequences(spark, tmp_path):
 
 def test_clashing_columns_do_not_matter(spark, tmp_path):
     df = spark.createDataFrame([(1, "abc", 5, "z"), (2, None, 6, "y"), (None, "", 7, "x")], "doc_id long, text string, part int, ids string")
-    training_order.tokenise(df, f"{tmp_path}/t", 8)
-    assert training_order.materialise(spark, f"{tmp_path}/t", f"{tmp_path}/s", 1, 8) == 1
+    assert training_order.materialise(df, f"{tmp_path}/s", 1, 8) == 1
     assert training_order.read_slots(spark, f"{tmp_path}/s").first()["id"] == 1
 
 
