@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import WORD, cut
 
 #: Rows of a bucket of the shuffled order and, at most, of a slice of the queue, on average; at least so many slices.
-BUCKET_ROWS, SLICE_ROWS, SLICES = 16_384, 4096, 65_536
+BUCKET_ROWS, SLICE_ROWS, SLICES, LATE = 16_384, 4096, 65_536, 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -82,7 +82,9 @@ def _planned(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, id_col
     budget = F.lit(per_source.agg(F.sum("source_size")).first()[0] or 0).cast("long")
     # virtual time 1 is where all targets are met; a slice of time is a bucket of the global order
     slices_ = max(SLICES, n_rows // SLICE_ROWS)
-    slice_ = F.when(F.col("time") < 2, F.floor(F.col("time") * slices_)).otherwise(2 * slices_ - 2 + F.floor("time")).cast("long")
+    # a source that is much larger than its target has most of its copies beyond 2; they are dealt to a bounded number of slices too
+    late = F.least(F.floor((F.col("time") - 2) * 1024), F.lit(LATE))
+    slice_ = F.when(F.col("time") < 2, F.floor(F.col("time") * slices_)).otherwise(2 * slices_ + late).cast("long")
     copies = copies.withColumn("slice", slice_)
     per_slice = copies.groupBy("slice").agg(F.sum("size").alias("slice_size"))
     slices = per_slice.withColumn("past", F.coalesce(F.sum("slice_size").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
