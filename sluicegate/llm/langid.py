@@ -23,7 +23,6 @@ from .common import slices
 UNKNOWN = "und"
 #: The presence matrix of a batch has no more cells than this.
 _CELLS = 1 << 24
-_TABLE_BITS = 22
 _COUNT_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,8 +58,8 @@ def _keep(x: np.ndarray) -> np.ndarray:
     return keep
 
 
-def grams(texts: list[str], max_n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of all n-grams of a batch, repeats included.
+def grams(texts: list[str], max_n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(text number, hash) of all n-grams of a batch, repeats included, for each order; in the order of the texts.
 
     Texts are joined with separators that no n-gram may span.
     """
@@ -71,7 +70,7 @@ def grams(texts: list[str], max_n: int) -> tuple[np.ndarray, np.ndarray]:
         parts.append(np.concatenate([[np.uint64(32)], c, [np.uint64(32)]]))
         owner.append(np.full(len(parts[-1]), i, dtype=np.int32))
     x, own = np.concatenate(parts), np.concatenate(owner)
-    out_h, out_o = [], []
+    out = []
     h = np.zeros(len(x), dtype=np.uint64)
     for n in range(1, max_n + 1):
         m = len(x) - n + 1
@@ -80,24 +79,28 @@ def grams(texts: list[str], max_n: int) -> tuple[np.ndarray, np.ndarray]:
         h = (h[:m] * _MIX) ^ (x[n - 1 :] + np.uint64(n))
         h ^= h >> np.uint64(29)
         same = own[:m] == own[n - 1 :]
-        out_h.append(h[same])
-        out_o.append(own[:m][same])
-    return np.concatenate(out_o), np.concatenate(out_h)
+        out.append((own[:m][same], h[same]))
+    return out
+
 
+def cells(h: np.ndarray) -> np.ndarray:
+    """The place of each hash in tables of ``_COUNT_BITS`` bits."""
+    return (h * _MIX >> np.uint64(64 - _COUNT_BITS)).astype(np.int32)
 
-def distinct(own: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
-    """How many different hashes each text has, by linear counting."""
+
+def distinct(found: list[tuple[np.ndarray, np.ndarray]], texts: int) -> np.ndarray:
+    """How many different n-grams each text has, by linear counting; ``found`` has the text numbers and cells of each order."""
     size = 1 << _COUNT_BITS
     seen, out = np.zeros(size, dtype=bool), np.zeros(texts)
-    order = np.argsort(own, kind="stable")  # the orders of n-grams follow one another
-    at = (h * _MIX >> np.uint64(64 - _COUNT_BITS)).astype(np.int32)[order]
-    ends = np.searchsorted(own[order], np.arange(texts + 1))
+    ends = [np.searchsorted(own, np.arange(texts + 1)).tolist() for own, _ in found]
     for i in range(texts):
-        part = at[ends[i] : ends[i + 1]]
-        seen[part] = True
+        mine = [c[e[i] : e[i + 1]] for (_, c), e in zip(found, ends)]
+        for part in mine:
+            seen[part] = True
         ones = np.count_nonzero(seen)
         out[i] = -size * np.log1p(-min(ones, size - 1) / size)
-        seen[part] = False
+        for part in mine:
+            seen[part] = False
     return out
 
 
@@ -106,40 +109,57 @@ class Model:
 
     def __init__(self, labels: list[str], max_n: int, vocabulary: np.ndarray, weights: np.ndarray, intercept: np.ndarray, sharpness: float):
         self.labels, self.max_n, self.vocabulary, self.weights, self.intercept, self.sharpness = labels, max_n, vocabulary, weights, intercept, sharpness
-        self._table: np.ndarray | None = None
+        self._table: tuple[np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"_table": None}
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
+    def lookup(self, h: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Places in the vocabulary, -1 for hashes that aren't there."""
         if self._table is None:
-            self._table = np.zeros(1 << _TABLE_BITS, dtype=bool)
-            self._table[(self.vocabulary >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-        place = np.full(len(h), -1, dtype=np.int32)
-        maybe = np.flatnonzero(self._table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-        at = np.searchsorted(self.vocabulary, h[maybe])
-        at[at == len(self.vocabulary)] = 0
-        hit = self.vocabulary[at] == h[maybe]
-        place[maybe[hit]] = at[hit]
+            own = cells(self.vocabulary)
+            first = np.full(1 << _COUNT_BITS, -1, dtype=np.int32)
+            first[own] = np.arange(len(own), dtype=np.int32)
+            shared = np.zeros(1 << _COUNT_BITS, dtype=bool)
+            shared[own[first[own] != np.arange(len(own))]] = True
+            self._table = first, shared
+        first, shared = self._table
+        place = first[cell]
+        other = (place < 0) | (self.vocabulary[place] != h)
+        place[other] = -1
+        again = np.flatnonzero(other)
+        again = again[shared[cell[again]]]  # another n-gram of the vocabulary has that cell
+        if len(again):
+            at = np.searchsorted(self.vocabulary, h[again])
+            at[at == len(self.vocabulary)] = 0
+            hit = self.vocabulary[at] == h[again]
+            place[again[hit]] = at[hit]
         return place
 
     def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Which n-grams of the vocabulary each text has, and the root of the number of all of its own."""
         out = np.zeros((len(texts), len(self.vocabulary)), dtype=np.float32)
-        own, h = grams(texts, self.max_n)
-        if len(self.vocabulary):
-            place = self.lookup(h)
-            hit = place >= 0
-            out[own[hit], place[hit]] = 1
-        return out, np.sqrt(np.maximum(distinct(own, h, len(texts)), 1))[:, None].astype(np.float32)
+        found = []
+        for own, h in grams(texts, self.max_n):
+            cell = cells(h)
+            found.append((own, cell))
+            if len(self.vocabulary):
+                place = self.lookup(h, cell)
+                hit = np.flatnonzero(place >= 0)
+                out[own[hit], place[hit]] = 1
+        return out, np.sqrt(np.maximum(distinct(found, len(texts)), 1))[:, None].astype(np.float32)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         p, norm = self.presence(texts)
         return (p @ self.weights) / norm + self.intercept
 
     def decide(self, texts: list[str | None], batch_chars: int = 400_000) -> list[tuple[str, float, float]]:
-        """(language, its share after a softmax, its score in the regression) of each text."""
+        """(language, its share after a softmax, the evidence for it) of each text.
+
+        The evidence is the score in the regression on a scale from 0, which a
+        text without an n-gram of any landmark has, to 1, the target of texts
+        of the language.
+        """
         out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, float("-inf"))] * len(texts)
         if not self.labels:
             return out
@@ -152,9 +172,10 @@ class Model:
                 chars += len(texts[todo[end]])
                 end += 1
             raw = self.scores([texts[i] for i in todo[at:end]])
+            evidence = (raw - self.intercept) / np.maximum(1 - self.intercept, 1e-6) if len(self.labels) > 1 else np.ones_like(raw)
             e = np.exp((raw - raw.max(axis=1, keepdims=True)) * self.sharpness)
             e /= e.sum(axis=1, keepdims=True)
-            for i, k, row, score in zip(todo[at:end], e.argmax(axis=1), e, raw):
+            for i, k, row, score in zip(todo[at:end], e.argmax(axis=1), e, evidence):
                 out[i] = (self.labels[k], float(row[k]), float(score[k]))
             at = end
         return out
@@ -174,7 +195,7 @@ def train(rows: list[tuple[str, str]], landmarks: int = 160, max_n: int = 4, rid
     for y in labels:
         own = [t for t, l in rows if l == y]
         marks += [own[i] for i in sorted({int(v) for v in np.linspace(0, len(own) - 1, min(per, len(own)))})]
-    vocabulary = np.unique(np.concatenate([np.unique(grams([t], max_n)[1]) for t in marks]))
+    vocabulary = np.unique(np.concatenate([np.unique(h) for t in marks for _, h in grams([t], max_n)]))
     model = Model(labels, max_n, vocabulary, np.zeros((0, 0), np.float32), np.zeros(0, np.float32), sharpness)
 
     def unit_presence(texts):
@@ -251,13 +272,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep(docs: DataFrame, model: Model, least: float, short: int = 24, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose best score in the regression is ``least`` or more; a null language is filled in.
+    """The rows of ``docs`` for whose language there is ``least`` evidence or more; a null language is filled in.
 
-    The score is 1 for a text like those of its language and -1 for one like
-    those of others; a text of few n-grams in common with any landmark comes
-    near the regression's intercepts.  Texts of fewer than ``short`` letters say
-    too little to be rejected by their score.  Null texts and those without a
-    letter go.
+    A text of few n-grams in common with any landmark comes near 0, whatever
+    the number of languages.  Texts of fewer than ``short`` letters say too
+    little to be rejected.  Null texts and those without a letter go.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns

@@ -81,8 +81,7 @@ def test_scores_equal_brute_force():
 def test_long_texts_are_counted_whole():
     rng = np.random.default_rng(4)
     text = "".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz "], size=300_000))
-    own, h = langid.grams([text, "short"], 4)
-    got = langid.distinct(own, h, 2)
+    got = langid.distinct([(own, langid.cells(h)) for own, h in langid.grams([text, "short"], 4)], 2)
     assert got[0] == pytest.approx(len(presence(text, 4)), rel=5e-3) and got[1] == pytest.approx(len(presence("short", 4)), rel=1e-3)
 
 
@@ -234,6 +233,34 @@ def test_lattice_equals_brute_force(spark):
         assert "".join(name.get(i, "?") for i in got[w]) == "".join(c if c in "abc" else "?" for c in w)
 
 
+def best_path(word, table, longest, worst):
+    """Viterbi over a dict of pieces; of equal scores the longer last piece."""
+    best = [(0.0, [])] + [None] * len(word)
+    for e in range(1, len(word) + 1):
+        for s in range(max(0, e - longest), e):
+            known = table.get(word[s:e]) or ((0, worst) if e - s == 1 else None)
+            if known and (best[e] is None or best[s][0] + known[1] > best[e][0]):
+                best[e] = (best[s][0] + known[1], best[s][1] + [known[0]])
+    return best[-1][1]
+
+
+def test_lattice_of_a_public_table_and_of_long_words(spark):
+    df = sentencepiece_codec.piece_table(spark)
+    table = {r["piece"]: (r["id"], r["score"]) for r in df.collect()}
+    longest, worst = max(map(len, table)), min(s for _, s in table.values()) - 10
+    words = ["▁" + w for w in "the quick brown fox jumps over Straßenbahn l'été x1.5 ça déjà".split()] + ["ab" * 200, "é" * 300]
+    got = {r["word"]: list(r["ids"]) for r in sentencepiece_codec.lattice_encode(spark.createDataFrame([(w,) for w in words], "word string"), df, longest).collect()}
+    for w in words:
+        runs = [w[i : i + 256] for i in range(0, len(w), 256)]
+        assert got[w] == [i for r in runs for i in best_path(r, table, longest, worst)]
+    # the best-scored path isn't what the model's merges give
+    enc = pieces()
+    assert any(got[w] != enc.sp.encode(w[1:]) for w in words[:10])
+    long = "abcde" * 10_000
+    ids = sentencepiece_codec.lattice_encode(spark.createDataFrame([(long,)], "word string"), df, longest).first()["ids"]
+    assert list(ids[:20]) == best_path(long[:256], table, longest, worst)[:20] and len(ids) > 5000
+
+
 # --- token counts -----------------------------------------------------------
 
 
