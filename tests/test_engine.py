@@ -187,6 +187,15 @@ def test_scripts_that_fail(code):
     assert run_script("typeof leaked", {}) == "undefined"
 
 
+@pytest.mark.parametrize("code", ["while (true) {}", "for (;;) { x = 1; }", "do { x = 1 } while (1)", "function f() { return f() } f()", "i = 0; while (i >= 0) { i++; } i"])
+def test_scripts_that_do_not_end_are_errors(monkeypatch, code):
+    from sluicegate.functions import script
+
+    monkeypatch.setattr(script, "STEPS", 5000)
+    with pytest.raises(Exception):
+        run_script(code, {})
+
+
 def test_xpath_core():
     n = Node(DOC)
     for i in range(3):
