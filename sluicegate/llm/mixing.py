@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, cut
 
-#: Rows of a bucket of the shuffled order and, at most, of a slice of the queue, on average; at least so many slices.
-BUCKET_ROWS, SLICE_ROWS, SLICES, LATE = 16_384, 4096, 65_536, 1 << 20
+#: Average rows of a bucket of the shuffled order and of a slice of the queue, and the least number of both.
+BUCKET_ROWS, BUCKETS, SLICE_ROWS, SLICES = 16_384, 4096, 4096, 65_536
+#: Slices for what comes after virtual time 2.
+LATE = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -61,7 +63,7 @@ def _planned(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"))
     rows = cut(rows.withColumn("shuffle", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))))
     n_rows = rows.count()
-    buckets = max(16, n_rows // BUCKET_ROWS)
+    buckets = max(BUCKETS, n_rows // BUCKET_ROWS)
     # ascending in the digest, so that buckets are ranges of the shuffled order
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("shuffle", 1, 12), 16, 10).cast("double") / float(1 << 48) * buckets).cast("long"))
     per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))

@@ -330,9 +330,11 @@ def test_the_whole_query_equals_brute_force(spark, data):
     assert sum(r["n_replaced"] for r in rows) > 0
 
 
-@pytest.mark.parametrize("piece,lead", [(".c", "a@b"), ("a", ""), ("a.", ""), ("1", ""), ("1 ", ""), ("1234-", ""), ("1.", ""), ("+1", ""), ("@", ""), ("a@", ""), ("GB82 ", ""), ("-", "a@b"), ("%", ""), ("(415) ", ""), ("A1", "GB82")])
-def test_very_long_texts_of_any_shape(spark, piece, lead):
-    text = lead + piece * (1_000_000 // len(piece))
-    r = pii.pseudonymise(spark.createDataFrame([(1, text), (2, text + " x@y.org")], "doc_id long, text string"), "k").collect()
-    assert r[0]["text"] == text or len(r[0]["text"]) == len(text)
-    assert len(r[1]["text"]) == len(text) + 8
+def test_very_long_texts_of_any_shape(spark):
+    shapes = [(".c", "a@b"), ("a", ""), ("a.", ""), ("1", ""), ("1 ", ""), ("1234-", ""), ("1.", ""), ("+1", ""), ("@", ""), ("a@", ""), ("GB82 ", ""), ("-", "a@b"), ("%", ""), ("(415) ", ""), ("A1", "GB82")]
+    texts = [lead + piece * (1_000_000 // len(piece)) for piece, lead in shapes]
+    texts += [t + " x@y.org" for t in texts]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, "k").collect()}
+    for k, text in enumerate(texts):
+        assert len(got[k]) == len(text)
