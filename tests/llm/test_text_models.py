@@ -256,9 +256,9 @@ def test_lattice_of_a_public_table_and_of_long_words(spark):
     # the best-scored path isn't what the model's merges give
     enc = pieces()
     assert any(got[w] != enc.sp.encode(w[1:]) for w in words[:10])
-    long = "abcde" * 10_000
+    long = "abcde" * 2000
     ids = sentencepiece_codec.lattice_encode(spark.createDataFrame([(long,)], "word string"), df, longest).first()["ids"]
-    assert list(ids[:20]) == best_path(long[:256], table, longest, worst)[:20] and len(ids) > 5000
+    assert list(ids[:20]) == best_path(long[:256], table, longest, worst)[:20] and len(ids) > 1000
 
 
 # --- token counts -----------------------------------------------------------
