@@ -385,13 +385,23 @@ class Lines:
 
 
 class Stages:
-    """Columns computed once and then referred to by name."""
+    """Columns computed once and then referred to by name.
+
+    Whole-stage code is one method for all projections of a chain, and the JVM
+    doesn't compile methods of 8,000 bytes and more.  So every tenth column goes
+    through a higher-order function, which has no generated code; its
+    projection ends one stage's method and the next one begins another.
+    """
+
+    APART = 10
 
     def __init__(self):
         self.made: list[tuple[str, Column]] = []
 
     def bind(self, c: Column) -> Column:
         name = f"_stage{len(self.made)}"
+        if len(self.made) % self.APART == self.APART - 1:
+            c = F.get(F.transform(F.array(c), lambda x: x), F.lit(0))
         self.made.append((name, c))
         return F.col(name)
 

@@ -296,14 +296,14 @@ def test_lines_that_are_no_records_are_errors(spark):
 
 
 def test_generated_code_stays_small(spark, data):
-    """Operands are bound once: a script's plan grows with its length, not with its depth."""
+    """Operands are bound once, and no method is too long for the JVM to compile."""
     from sluicegate.plans.catalogue import QUERIES
 
     for name in ("script_arith", "script_case", "fn_datetime_rfc3339"):
         plan = QUERIES[name](spark, data)._jdf.queryExecution()
         codes = plan.debug().codegenToSeq()
         sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
-        assert sizes and 0 < max(sizes) < 64 * 1024 and len(plan.optimizedPlan().toString()) < 120_000
+        assert sizes and 0 < max(sizes) < 8000 and len(plan.optimizedPlan().toString()) < 120_000
 
 
 def test_files_sinks_and_streams(spark, tmp_path):
