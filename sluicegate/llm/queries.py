@@ -74,8 +74,8 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sequence of token ids with its global slot, as read back from the written shards."""
     path = _shared(spark, "shards")
     training_order.materialise(_read(spark, sf_dir, "documents"), path, key=20_240_229, seq_len=SEQ_LEN, width=2)
-    back = training_order.read_slots(spark, path)
-    return back.select("slot", F.col("id").alias("doc_id"), "seq", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
+    back = training_order.read_slots(spark, path, digest=True)
+    return back.select("slot", F.col("id").alias("doc_id"), "seq", "n_tokens", "tokens_crc32")
 
 
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,15 @@
 Token ids are cut to sequences of at most ``seq_len``.  Each document owns as
 many numbers as it can have sequences, which is known from its length before
 it is encoded; a keyed Feistel permutation with cycle-walking spreads all these
-numbers over their domain.  Range partitions sort by the permuted number and
-close up the numbers that no sequence took, which gives every sequence its
-global slot.  They write raw files of records of one length; record i of a
-file begins at i times the stride.  A reader that stopped at a slot goes on by
-seeking.  Texts are encoded once and nothing is kept between the two stages.
+numbers over their domain.  Ranges of permuted numbers, closed up where no sequence
+took a number, give every sequence its global slot.  Each range is a raw file
+of records of one length; record i of a file begins at i times the stride.  A
+reader that stopped at a slot goes on by seeking.
+
+Texts are encoded once.  Between the two stages the sequences lie in run files
+beside the shards, cut into compressed pieces by range; Spark's shuffle moves
+only where a range's pieces are, so no sequence passes through the executors'
+heap.  The runs are deleted when the shards are written.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from bisect import bisect_right
 import json
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,12 @@ from .common import slices
 from .tokenizers import FOLDER, byte_bpe
 
 MANIFEST = "manifest.json"
+CODEC = "zstd"
 HEAD = 16  # int64 document id, int32 sequence number, int32 tokens
+#: What a run's sequence has before its ids; the permuted number goes before the record's own head.
+RUN = np.dtype([("slot", "<i8"), ("id", "<i8"), ("seq", "<i4"), ("n", "<i4")])
+#: Bytes and sequences of a run that a worker holds, and bytes of records of a range that it puts in order at once.
+RUN_BYTES, RUN_ROWS, RANGE_BYTES = 1 << 24, 1 << 16, 1 << 26
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -61,6 +72,40 @@ def _place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
 
 
+def _shares(x, n: int, total: int):
+    """Which of ``n`` equal shares of 0..total-1 a number, or each of an array, is in."""
+    return x * n // total if isinstance(x, int) else (x.astype(object) * n // total).astype(np.int64) if n * total >= 1 << 62 else x * n // total
+
+
+def _read(fs: pyarrow.fs.FileSystem, name: str, at: int, n: int) -> bytes:
+    with fs.open_input_file(name) as f:
+        data = f.read_at(n, at)
+    if len(data) != n:
+        raise OSError(f"{name} ends before {at + n}")
+    return data
+
+
+def merged(fs: pyarrow.fs.FileSystem, pieces: list, seq_len: int, width: int, block: int = 4096) -> Iterator[bytes]:
+    """The records of (run file, begin, bytes there, sequences, bytes) pieces by permuted number, ``block`` at a time.
+
+    A piece is the heads of its sequences, then their ids, compressed.
+    """
+    every, begins, held = [], [], []
+    for run, at, packed, n, size in pieces:
+        held.append(memoryview(pa.decompress(_read(fs, run, at, packed), size, CODEC, asbytes=True)))
+        every.append(np.frombuffer(held[-1], RUN, n))
+        ends = n * RUN.itemsize + np.cumsum(every[-1]["n"].astype(np.int64) * width)
+        begins.append(ends - every[-1]["n"].astype(np.int64) * width)
+    piece, begin, every = np.repeat(np.arange(len(held)), [len(x) for x in every]), np.concatenate(begins), np.concatenate(every)
+    order, pad = np.argsort(every["slot"]), bytes(seq_len * width)
+    for a in range(0, len(order), block):
+        own = order[a : a + block]
+        head, out = every[["id", "seq", "n"]][own].astype([("id", "<i8"), ("seq", "<i4"), ("n", "<i4")]).tobytes(), []
+        for k, (p, at, m) in enumerate(zip(piece[own].tolist(), begin[own].tolist(), (every["n"][own] * width).tolist())):
+            out += (head[k * HEAD : (k + 1) * HEAD], held[p][at : at + m], pad[m:])
+        yield b"".join(out)
+
+
 def materialise(docs: DataFrame, path: str, key: int, seq_len: int, shard_rows: int = 65_536, width: int = 4, id_col: str = "doc_id", text_col: str = "text", ids_col: str | None = None, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = FOLDER) -> int:
     """Write the sequences of a table's token ids as shards below ``path``; returns their number.
 
@@ -74,10 +119,16 @@ def materialise(docs: DataFrame, path: str, key: int, seq_len: int, shard_rows:
 
     ``docs`` must be a table that is scanned with nothing but projections and
     filters, so that its partitions hold the same rows whenever they are
-    computed; their rows' digests are compared.  A shard is written under a name
-    of the attempt's own and then renamed, so lost executors and repeated tasks
-    leave whole shards only; the manifest comes last.  The driver holds a number
-    for each partition and each shard.
+    computed; their rows' digests are compared.  Runs have names of the attempt's
+    own, and only those of attempts that ended well are read; a shard is written
+    under a name of the attempt's own and then renamed, so lost executors and
+    repeated tasks leave whole shards only; the manifest comes last.  The driver
+    holds a number for each partition and each shard.  A range has as many
+    numbers as ``RANGE_BYTES`` have records, ``shard_rows`` at most, and is what
+    a worker holds; the ranges of a shard are written one after the other.  What
+    is shuffled is a row for each run's piece of each range, about 100 bytes;
+    their number is that of the runs times that of the ranges, so it grows with
+    the square of the table.
     """
     if width not in (2, 4):
         raise ValueError("an id has 2 or 4 bytes")
@@ -92,20 +143,42 @@ def materialise(docs: DataFrame, path: str, key: int, seq_len: int, shard_rows:
         total += r["n"]
     shared = spark.sparkContext.broadcast(offsets)
     kind, top = ("<u2", 1 << 16) if width == 2 else ("<i4", 1 << 31)
-    parts = max(1, min(-(-total // shard_rows), 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    files = max(1, -(-total // shard_rows))
+    split = -(-shard_rows // max(1, RANGE_BYTES // (seq_len * width)))  # ranges of a shard
+    parts = min(files, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    fs, where = _place(path)
+    runs = f"{where}/.runs-{uuid.uuid4().hex}"
+    fs.create_dir(runs, recursive=True)
+    placed = pa.schema([("part", pa.int32()), ("range", pa.int64()), ("run", pa.string()), ("at", pa.int64()), ("packed", pa.int64()), ("n", pa.int64()), ("size", pa.int64())])
 
     def sequences(batches):
         enc = None if ids_col is not None else byte_bpe(vocabulary, folder)
         at, n, h = shared.value.get(TaskContext.get().partitionId(), (0, 0, 0))
         end = at + n
         numbers, own, no, sizes, raw = [], [], [], [], []
+        name, held, out = uuid.uuid4().hex, 0, None
 
         def flush():
+            nonlocal held, out
+            if out is None:
+                out = _place(path)[0].open_output_stream(f"{runs}/{name}", buffer_size=1 << 20)
             slots = permute(np.array(numbers), total, key)
-            out = pa.RecordBatch.from_arrays([pa.array((slots.astype(object) * parts // total).astype(np.int32) if total * parts >= 1 << 62 else (slots * parts // total).astype(np.int32)), *_batch(slots, own, no, sizes, raw).columns], names=["range", "slot", "id", "seq", "n_tokens", "tokens"])
+            order = np.argsort(slots)
+            head = np.empty(len(order), RUN)
+            for field, x in (("slot", slots), ("id", own), ("seq", no), ("n", sizes)):
+                head[field] = np.asarray(x)[order]
+            of = _shares(head["slot"], files * split, total)
+            cuts = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(order)]
+            places, order = [], order.tolist()
+            for lo, hi in zip(cuts, cuts[1:]):
+                piece = head[lo:hi].tobytes() + b"".join([raw[k] for k in order[lo:hi]])
+                packed = pa.compress(piece, CODEC, asbytes=True)
+                places.append((_shares(int(of[lo]) // split, parts, files), int(of[lo]), name, out.tell(), len(packed), hi - lo, len(piece)))
+                out.write(packed)
             for x in (numbers, own, no, sizes, raw):
                 x.clear()
-            return out
+            held = 0
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*places), placed)], schema=placed)
 
         for b in slices(batches):
             h -= int(pc.sum(b.column(3)).as_py() or 0)
@@ -120,56 +193,54 @@ def materialise(docs: DataFrame, path: str, key: int, seq_len: int, shard_rows:
                     no.append(q)
                     raw.append(data[a : a + seq_len * width])
                     sizes.append(len(raw[-1]) // width)
-                    if len(raw) >= 4096:
+                    held += len(raw[-1])
+                    if held >= RUN_BYTES or len(raw) >= RUN_ROWS:
                         yield flush()
                 at += most
         if at != end or h:
             raise RuntimeError("the table's partitions changed between two scans")
         if raw:
             yield flush()
+        if out is not None:
+            out.close()
 
     stride = HEAD + seq_len * width
-    coded = base.withColumn("h", F.hash("id", "most").cast("long")).mapInArrow(sequences, f"range int, {_SLOTS}")
-    ranged = coded.repartitionById(parts, F.col("range")).sortWithinPartitions("slot")
+    coded = base.withColumn("h", F.hash("id", "most").cast("long")).mapInArrow(sequences, "part int, range long, run string, at long, packed long, n long, size long")
 
     def shards(batches):
         fs, where = _place(path)
-        fs.create_dir(where, recursive=True)
-        out, mine, done, n = None, "", [], 0
-
-        def close():
-            final = f"{where}/{done[-1][0]}"
-            out.close()
+        pieces: dict[int, list] = {}
+        for b in batches:
+            for r, name, *piece in zip(*(b.column(c).to_pylist() for c in placed.names[1:])):
+                pieces.setdefault(r, []).append((f"{runs}/{name}", *piece))
+        done = []
+        for r, own in groupby(sorted(pieces), lambda k: k // split):
+            name = f"shard-{r:09d}.bin"
+            mine, n = f"{where}/.{name}-{uuid.uuid4().hex}", 0
+            with fs.open_output_stream(mine, buffer_size=1 << 20) as out:
+                for k in own:
+                    for block in merged(fs, pieces.pop(k), seq_len, width):
+                        out.write(block)
+                        n += len(block) // stride
             try:
-                fs.move(mine, final)
+                fs.move(mine, f"{where}/{name}")
             except OSError:  # another attempt was first; its shard is the same
-                if fs.get_file_info(final).type != pyarrow.fs.FileType.File:
+                if fs.get_file_info(f"{where}/{name}").type != pyarrow.fs.FileType.File:
                     raise
                 fs.delete_file(mine)
-
-        for b in batches:
-            for part, i, seq, m, raw in zip(*(b.column(c).to_pylist() for c in ("range", "id", "seq", "n_tokens", "tokens"))):
-                if out is None or done[-1][3] == shard_rows:
-                    if out is not None:
-                        close()
-                    name = f"shard-{part:07d}-{len(done):05d}.bin"
-                    done.append([name, part, len(done), 0])
-                    mine = f"{where}/.{name}-{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(mine, buffer_size=1 << 20)
-                out.write(i.to_bytes(8, "little", signed=True) + seq.to_bytes(4, "little") + m.to_bytes(4, "little") + raw.ljust(seq_len * width, b"\0"))
-                done[-1][3] += 1
-        if out is not None:
-            close()
-        yield pa.RecordBatch.from_pylist([{"name": a, "part": b, "no": c, "n": d} for a, b, c, d in done], schema=pa.schema([("name", pa.string()), ("part", pa.int32()), ("no", pa.int32()), ("n", pa.int64())]))
-
-    files = sorted(ranged.mapInArrow(shards, "name string, part int, no int, n long").collect(), key=lambda r: (r["part"], r["no"]))
+            done.append({"name": name, "no": r, "n": n})
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("name", pa.string()), ("no", pa.int64()), ("n", pa.int64())]))
+
+    try:
+        written = sorted(coded.repartitionById(parts, F.col("part")).mapInArrow(shards, "name string, no long, n long").collect(), key=lambda r: r["no"])
+    finally:
+        if fs.get_file_info(runs).type == pyarrow.fs.FileType.Directory:
+            fs.delete_dir(runs)
     firsts = [0]
-    for r in files:
+    for r in written:
         firsts.append(firsts[-1] + r["n"])
-    fs, where = _place(path)
-    fs.create_dir(where, recursive=True)
     with fs.open_output_stream(f"{where}/{MANIFEST}") as f:
-        f.write(json.dumps({"records": firsts[-1], "stride": stride, "seq_len": seq_len, "width": width, "shards": [r["name"] for r in files], "firsts": firsts}).encode())
+        f.write(json.dumps({"records": firsts[-1], "stride": stride, "seq_len": seq_len, "width": width, "shards": [r["name"] for r in written], "firsts": firsts}).encode())
     return firsts[-1]
 
 
@@ -204,12 +275,17 @@ def records(path: str, about: dict, start: int, stop: int, block: int = 512) ->
         start, k = hi, k + 1
 
 
-def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
-    """(slot, id, seq, n_tokens, tokens as bytes) of the slots from ``start`` up to ``stop``; a task reads a shard or a few."""
+def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None, digest: bool = False) -> DataFrame:
+    """(slot, id, seq, n_tokens, tokens as bytes) of the slots from ``start`` up to ``stop``; a task reads a shard or a few.
+
+    With ``digest`` the last column is tokens_crc32, as the worker that reads
+    the bytes finds it, and the tokens themselves don't leave the worker.
+    """
     about = manifest(path)
     stop = about["records"] if stop is None else min(stop, about["records"])
+    kinds = _SLOTS.replace("tokens binary", "tokens_crc32 long") if digest else _SLOTS
     if start >= stop:
-        return spark.createDataFrame([], _SLOTS)
+        return spark.createDataFrame([], kinds)
     firsts = about["firsts"]
     first, last = bisect_right(firsts, start) - 1, bisect_right(firsts, stop - 1)
     shared = spark.sparkContext.broadcast(about)
@@ -217,7 +293,9 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
     def run(batches):
         for b in batches:
             for k in b.column(0).to_pylist():
-                yield from records(path, shared.value, max(start, firsts[k]), min(stop, firsts[k + 1]))
+                for found in records(path, shared.value, max(start, firsts[k]), min(stop, firsts[k + 1])):
+                    crc = [zlib.crc32(t.as_buffer()) for t in found.column(4)] if digest else None
+                    yield pa.RecordBatch.from_arrays([*found.columns[:4], pa.array(crc, pa.int64())], names=[*found.schema.names[:4], "tokens_crc32"]) if digest else found
 
     parts = max(1, min(last - first, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-    return spark.range(first, last, 1, parts).mapInArrow(run, _SLOTS)
+    return spark.range(first, last, 1, parts).mapInArrow(run, kinds)

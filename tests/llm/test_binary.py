@@ -7,6 +7,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -122,6 +123,70 @@ def test_order_query_equals_brute_force(spark, data):
     assert sorted(r["slot"] for r in got) == list(range(len(want)))
 
 
+def shuffled(spark):
+    """Bytes that the session's stages have written for a shuffle so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_sequences_do_not_pass_through_the_executors_heap(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    spark.createDataFrame([(i, rng.integers(0, 1 << 16, 4096).tolist()) for i in range(500)], "doc_id long, ids array<int>").write.parquet(f"{tmp_path}/table")
+    before = shuffled(spark)
+    n = training_order.materialise(spark.read.parquet(f"{tmp_path}/table"), f"{tmp_path}/s", 9, 512, 1000, 2, ids_col="ids")
+    assert n == 4000 and shuffled(spark) - before < 4000 * 1040 / 8
+
+
+def test_many_runs_of_one_partition(spark, tmp_path):
+    spark.range(0, 150_000, 1, 1).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("int")).alias("ids")).write.parquet(f"{tmp_path}/table")
+    assert training_order.materialise(spark.read.parquet(f"{tmp_path}/table"), f"{tmp_path}/s", 3, 4, 40_000, ids_col="ids") == 150_000 > 2 * training_order.RUN_ROWS
+    rows = plain(training_order.read_slots(spark, f"{tmp_path}/s").orderBy("slot").collect(), 4)
+    want = np.argsort(training_order.permute(np.arange(150_000), 150_000, 3)).tolist()
+    assert [(r[1], r[4]) for r in rows] == [(i, [i]) for i in want]
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_pieces_merge_in_any_block(tmp_path, block):
+    fs, pieces, want = training_order._place(str(tmp_path))[0], [], []
+    slots = np.random.default_rng(2).permutation(60)
+    for k, own in enumerate((range(0, 1), range(1, 40), range(40, 60))):
+        rows = [(s, s * 10 - 1, s + 1, s % 5, bytes([s]) * (2 * (s % 5))) for s in sorted(int(slots[i]) for i in own)]
+        raw = np.array([r[:4] for r in rows], training_order.RUN).tobytes() + b"".join(r[4] for r in rows)
+        packed = pa.compress(raw, training_order.CODEC, asbytes=True)
+        open(f"{tmp_path}/{k}", "wb").write(b"skip" + packed)
+        pieces.append([f"{tmp_path}/{k}", 4, len(packed), len(rows), len(raw)])
+        want += rows
+    blocks = list(training_order.merged(fs, pieces, 4, 2, block))
+    assert b"".join(blocks) == b"".join(i.to_bytes(8, "little", signed=True) + q.to_bytes(4, "little") + m.to_bytes(4, "little") + raw.ljust(8, b"\0") for _, i, q, m, raw in sorted(want))
+    assert max(map(len, blocks)) <= 24 * block
+    os.truncate(f"{tmp_path}/2", os.path.getsize(f"{tmp_path}/2") - 1)
+    with pytest.raises(OSError, match="ends before"):
+        list(training_order.merged(fs, pieces, 4, 2))
+
+
+def test_shards_of_several_ranges(spark, tmp_path):
+    # 40 kB a record: 1,677 records of a range, two ranges a shard
+    spark.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("int")).alias("ids")).write.parquet(f"{tmp_path}/table")
+    assert training_order.materialise(spark.read.parquet(f"{tmp_path}/table"), f"{tmp_path}/s", 3, 10_000, 2000, ids_col="ids") == 2500
+    rows = plain(training_order.read_slots(spark, f"{tmp_path}/s").orderBy("slot").collect(), 4)
+    assert [(r[1], r[4]) for r in rows] == [(i, [i]) for i in np.argsort(training_order.permute(np.arange(2500), 2500, 3)).tolist()]
+    assert len(training_order.manifest(f"{tmp_path}/s")["shards"]) == 2
+
+
+def test_digests_are_those_of_the_tokens(spark, tmp_path):
+    _, path = written(spark, tmp_path, IDS, 64, 50)
+    a, b = training_order.read_slots(spark, path, 3, 300), training_order.read_slots(spark, path, 3, 300, digest=True)
+    assert sorted((r["slot"], r["id"], r["seq"], r["n_tokens"], zlib.crc32(r["tokens"])) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+    assert b.columns[-1] == "tokens_crc32" == training_order.read_slots(spark, path, 9, 9, digest=True).columns[-1]
+
+
+def test_runs_are_gone_after_a_failure(spark, tmp_path):
+    with pytest.raises(Exception, match="doesn't fit"):
+        written(spark, tmp_path, [(1, [1] * 100), (2, [70_000])], 8, 4, width=2)
+    assert os.listdir(f"{tmp_path}/shards") == []
+
+
 # --- transport streams ------------------------------------------------------
 
 
