@@ -411,6 +411,16 @@ class Stages:
         return df
 
 
+def once(c: Column, f) -> Column:
+    """``f`` of a value that is computed once, not for each element that a function within ``f`` goes over."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def fixed(c: Column) -> Column:
+    """A column that filters above it refer to; the optimizer would write out all that it is made of in them."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def compile_lines(df: DataFrame, line_col: str, fmt: readers.Format, root: Decl, external: dict[str, str], column_functions: dict | None = None, first: str | None = None):
     """(DataFrame of records, node, error) of data lines, each of which is a record.
 
@@ -473,10 +483,10 @@ def compile_inputs(df: DataFrame, text_col: str, fmt: readers.Format, root: Decl
             good = good & begins
         head_no = F.when(begins, F.get(F.col("_lines"), F.lit(0))["no"]).otherwise(0)
     start = form.data_row or 0
-    data = F.filter("_lines", lambda s: (s["no"] > F.col("_head")) & (s["no"] >= start))
+    data = once(F.col("_head"), lambda head: F.filter("_lines", lambda s: (s["no"] > head) & (s["no"] >= start)))
     if form.pattern is not None:
         good = good & ~F.exists("_data", lambda s: ~form.subject(s["line"]).rlike(form.pattern))
-    base = df.withColumn("_lines", lines).withColumn("_head", head_no).withColumn("_data", data).withColumn("_good", F.coalesce(good, F.lit(False)))
+    base = df.withColumn("_lines", fixed(lines)).withColumn("_head", head_no).withColumn("_data", fixed(data)).withColumn("_good", F.coalesce(good, F.lit(False)))
     probe = Compiler({}, external, column_functions, stages.bind)
     if fmt.selector not in (None, "."):
         probe.predicate(fmt.selector)  # Unsupported before anything is built

@@ -344,3 +344,12 @@ def test_native_plans_run_no_python(spark, data):
         text = QUERIES[name](spark, data)._jdf.queryExecution().toString()
         assert "Python" not in text and "Arrow" not in text
     assert F is not None
+
+
+def test_an_input_is_split_into_lines_once(spark):
+    """Not again for each of its lines, as it was where the header decides which lines are data."""
+    declaration = {"delimiter": "|", "records": [{"name": "H", "header": "^K", "max": 1}, {"name": "R", "is_target": True, "columns": columns("A", "B")}]}
+    inputs = spark.range(3).select(F.col("id").cast("string").alias("n"), F.concat_ws("\n", F.lit("K|n"), F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.concat(F.lit("K"), i.cast("string"), F.lit("|b")))).alias("t"))
+    out = Engine(spark).compile(schema("csv2", obj(a=x("A"), b=x("B")), declaration)).transform_df(inputs, "t", "n")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("\n, -1)") == 2  # one for each of the two plans
+    assert out.groupBy("input_name").agg(F.count("a"), F.min("rec_no"), F.max("rec_no"), F.min("a"), F.max(F.length("a"))).orderBy("input_name").collect() == [(str(i), 3000, 1, 3000, "K1", 5) for i in range(3)]
