@@ -7,6 +7,7 @@ import os
 import shutil
 import subprocess
 import sys
+import time
 import uuid
 
 import pytest
@@ -353,3 +354,25 @@ def test_an_input_is_split_into_lines_once(spark):
     out = Engine(spark).compile(schema("csv2", obj(a=x("A"), b=x("B")), declaration)).transform_df(inputs, "t", "n")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("\n, -1)") == 2  # one for each of the two plans
     assert out.groupBy("input_name").agg(F.count("a"), F.min("rec_no"), F.max("rec_no"), F.min("a"), F.max(F.length("a"))).orderBy("input_name").collect() == [(str(i), 3000, 1, 3000, "K1", 5) for i in range(3)]
+
+
+def test_a_large_xml_document_takes_time_in_proportion(spark):
+    """The parent's children, among them the text between the records, aren't gone through for each record."""
+    plan = Engine(spark).compile(schema("xml", obj("ps/p", id=x("@id", "int"), brand=x("../brand"))))
+
+    def seconds(n):
+        text = "<ps><brand>b</brand>\n" + "\n".join(f'<p id="{i}"> <n>x</n></p>' for i in range(n)) + "</ps>"
+        began = time.process_time()
+        assert plan.transform_text(text) == [{"id": i, "brand": "b"} for i in range(n)]
+        return time.process_time() - began
+
+    assert seconds(12000) < 30 * seconds(1000)
+
+
+def test_children_by_name_follow_the_tree():
+    n = Node(DOC)
+    kids = [n.leaf("ab"[i % 2], str(i)) for i in range(40)]
+    assert [c.text() for c in xp.select(n, "a")] == [str(i) for i in range(0, 40, 2)]
+    kids[0].detach(), kids[38].detach(), n.leaf("a", "new")
+    assert [c.text() for c in xp.select(n, "a")] == [*(str(i) for i in range(2, 38, 2)), "new"]
+    assert xp.select(n, "p:a") == [] and len(xp.select(n, "*")) == 39
