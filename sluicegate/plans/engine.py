@@ -81,6 +81,27 @@ class Program:
             yield n + 1, None, f"input '{name}' is nested too deep", True, None
 
 
+#: Tasks a core for the interpreter, and the least bytes a task, where a scan's own tasks are few.
+_TASKS, _TASK_BYTES = 4, 1 << 14
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` over enough tasks for all cores, where it comes straight from a scan that has fewer.
+
+    Columnar files are small for what the interpreter does with their rows: a
+    million rows may be one row group.  Rows behind a shuffle stay as they are.
+    """
+    if df.isStreaming:
+        return df
+    query = df._jdf.queryExecution()
+    plan = query.executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    size = int(query.optimizedPlan().stats().sizeInBytes())
+    want = min(_TASKS * df.sparkSession.sparkContext.defaultParallelism, -(-size // _TASK_BYTES))
+    return df.repartition(want) if plan.execute().getNumPartitions() < want else df
+
+
 @lru_cache(maxsize=64)
 def _schema_type(ddl: str):
     from pyspark.sql.types import _parse_datatype_string
@@ -126,6 +147,7 @@ class Plan:
         program, mode, fixed = self.program, self.mode, self.external
         extra = F.lit(None).cast("map<string,string>") if external is None else F.col(external)
         part = df.select((F.lit("") if name is None else F.col(name).cast("string")).alias("n"), F.col(text).cast("string").alias("t"), extra.alias("e"))
+        part = _spread(part)
         names = ["input_name", "rec_no", "value", "error", "fatal", "raw"]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string()]
 

@@ -376,3 +376,14 @@ def test_children_by_name_follow_the_tree():
     kids[0].detach(), kids[38].detach(), n.leaf("a", "new")
     assert [c.text() for c in xp.select(n, "a")] == [*(str(i) for i in range(2, 38, 2)), "new"]
     assert xp.select(n, "p:a") == [] and len(xp.select(n, "*")) == 39
+
+
+def test_the_row_plan_uses_all_cores(spark, tmp_path):
+    """Rows of a file that is one task's scan are interpreted by many tasks; a few rows aren't spread."""
+    plan = Engine(spark).compile(schema("csv2", obj(a=x("A")), PIPE))
+    spark.range(50000).select(F.concat(F.col("id").cast("string"), F.lit("|"), F.md5(F.col("id").cast("string"))).alias("t")).coalesce(1).write.parquet(f"{tmp_path}/many")
+    out = plan.rows(spark.read.parquet(f"{tmp_path}/many"), "t")
+    assert out.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism
+    assert out.select(F.countDistinct("value")).first()[0] == 50000
+    few = spark.createDataFrame([("1|x",)], "t string").coalesce(1)
+    assert plan.rows(few, "t").select("value").collect() == [('{"a":"1"}',)]
