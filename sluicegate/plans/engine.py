@@ -11,6 +11,7 @@ start no record) through the row plan.
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Callable
 from functools import lru_cache
@@ -81,6 +82,9 @@ class Program:
             yield n + 1, None, f"input '{name}' is nested too deep", True, None
 
 
+#: When a Python worker of the row plan collects garbage.
+_COLLECT = (50_000, 20, 20)
+
 #: Tasks a core for the interpreter, and the least bytes a task, where a scan's own tasks are few.
 _TASKS, _TASK_BYTES = 4, 1 << 14
 
@@ -159,6 +163,8 @@ class Plan:
                 out.clear()
                 return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
 
+            # a record's tree refers to itself: rare collections go through less that is still in use
+            gc.set_threshold(*_COLLECT)
             size = 0
             for b in batches:
                 for n, t, e in zip(*(c.to_pylist() for c in b.columns)):

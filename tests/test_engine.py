@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import cProfile
 import json
 import os
+import pstats
 import shutil
 import subprocess
 import sys
@@ -21,8 +23,9 @@ from sluicegate.operators import xpath as xp
 from sluicegate.operators.evaluate import cast
 from sluicegate.operators.nodes import DOC, Node, plain_number, render, to_value
 from sluicegate.plans.catalogue import columns, func, obj, schema, x
+from sluicegate.plans.engine import Program
 from sluicegate.plans.sinks import json_array
-from sluicegate.sources.readers import csv_rows
+from sluicegate.sources.readers import FORMATS, csv_rows
 from sluicegate.streaming.ingest import Framer, frame_lines, stream_files
 
 PIPE = {"delimiter": "|", "records": [{"columns": columns("A", "B")}]}
@@ -387,3 +390,22 @@ def test_the_row_plan_uses_all_cores(spark, tmp_path):
     assert out.select(F.countDistinct("value")).first()[0] == 50000
     few = spark.createDataFrame([("1|x",)], "t string").coalesce(1)
     assert plan.rows(few, "t").select("value").collect() == [('{"a":"1"}',)]
+
+
+@pytest.mark.parametrize("most, form", [(850, "json"), (1150, "csv2")])
+def test_the_interpreter_takes_few_calls_a_record(most, form):
+    """What no record is in is read without a generator for each node; the records stay the same."""
+    ids = range(200)
+    if form == "json":
+        s = schema("json", obj("/o/*[k]", k=x("k", "int"), q={"array": [x(".//q", "float")]}, p=x("i/*[position()=2]/p"), r={"array": [x("i/*[f='R']/p")]}))
+        text = json.dumps({"o": [None, *({"k": i, "i": [{"p": j, "q": j + 0.5, "f": "RA"[j % 2]} for j in range(4)]} for i in ids)]})
+    else:
+        d = {"delimiter": ",", "records": [{"name": "H", "header": "^H", "is_target": True, "columns": [{"name": "K", "index": 2}], "child_records": [{"name": "G", "type": "record_group", "child_records": [{"name": "D", "header": "^D", "columns": [{"name": "P", "index": 2}], "child_records": [{"name": "E", "header": "^E", "max": 1, "columns": [{"name": "Q", "index": 2}]}]}]}]}]}
+        s = schema("csv2", obj(k=x("K", "int"), p=x("G/D[position()=2]/P"), q={"array": [x(".//Q", "float")]}, r={"array": [x("G/D[P='0' or P='2']/P")]}), d)
+        text = "\n".join(f"H,{i}\n" + "\n".join(f"D,{j}\nE,{j}.5" for j in range(4)) for i in ids)
+    program = Program(s, dict(builtin.BUILTIN), {}, dict(FORMATS))
+    program.ready()
+    calls = cProfile.Profile()
+    got = calls.runcall(lambda: [json.loads(v) for _, v, _, _, _ in program.run("", text, {}, False)])
+    assert got == [{"k": i, "p": "1", "q": [0.5, 1.5, 2.5, 3.5], "r": ["0", "2"]} for i in ids]
+    assert pstats.Stats(calls).total_calls / len(ids) < most
